@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geopanel.functions.bins import POLLUTION_BREAKS, cut_bins
@@ -108,6 +108,23 @@ def zscore(df: DataFrame, columns: list[str], by: list[str] | None = None, **sal
     return out.select(*df.columns)
 
 
+def zscore_rows(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Group-wise z-score by window, for tables whose groups are short by construction."""
+    group = Window.partitionBy(*by)
+    return df.withColumns(
+        {
+            c: _standard(
+                F.col(c),
+                F.avg(c).over(group),
+                F.stddev_samp(c).over(group),
+                F.min(c).over(group),
+                F.max(c).over(group),
+            )
+            for c in columns
+        }
+    )
+
+
 def build_panel(
     df: DataFrame,
     region: str = "CNTY_UNIQUE",
@@ -121,7 +138,7 @@ def build_panel(
     """Region-by-day panel: post count, exact medians, temperature extremes.
 
     ``pm25_cat`` bins the raw median; afterwards every measure is standardised
-    inside its region. Pass a filtered ``df`` for a subset (bots, fewer states).
+    inside its region, which by then has one row per date. Pass a filtered ``df`` for a subset (bots, fewer states).
     """
     plain = {"num_tweets": F.count(F.lit(1))}
     if temperature:
@@ -133,7 +150,7 @@ def build_panel(
     panel = panel.withColumn("day", weekday(F.col(date)))
     if standardize:
         measures = [c for c in plain if c != "num_tweets"] + list(medians)
-        panel = zscore(panel, measures, [region], **heavy)
+        panel = zscore_rows(panel, measures, [region])
     return panel
 
 

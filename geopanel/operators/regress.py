@@ -245,9 +245,9 @@ def fe_regression(
     1. Rows are summed up to one row per combination of effect and cluster
        levels: weight, means and within products. This is the only pass over
        the data, and it combines before the shuffle.
-    2. Means of all variables are swept out effect by effect on that table
-       until no mean moves by more than ``tol`` standard deviations. Each round
-       is written to the shared checkpoint folder.
+    2. The effects' level means are swept out of all variables on that table,
+       to a relative accuracy of ``tol``. Each round is written to the shared
+       checkpoint folder.
     3. The Gram matrix of the swept variables goes to the driver.
 
     Standard errors are clustered on one or two variables (V_a + V_b - V_ab),
@@ -296,8 +296,11 @@ def fe_regression(
     cells = materialize(cells, "fe-cells")
 
     means_now = [f"d{i}" for i in range(m)]
+    sizes = _level_counts(cells, [at[e] for e in effects])
+    # the effect with most levels is taken out exactly at the start
+    order = sorted((at[e] for e in effects), key=lambda e: -sizes[e])
     swept, rounds = _absorb(
-        cells.select(*at.values(), "w", *means_now), [at[e] for e in effects], means_now, tol, max_rounds, min_rows
+        cells.select(*at.values(), "w", *means_now), order, means_now, tol, max_rounds, min_rows
     )
     within = cells.drop("w", *means_now)
     done = swept.join(within, list(at.values()))
@@ -306,7 +309,6 @@ def fe_regression(
         i, j = (i, j) if (i, j) in pairs else (j, i)
         return F.col(f"c{i}_{j}") + F.col("w") * F.col(f"d{i}") * F.col(f"d{j}")
 
-    levels = [F.count_distinct(at[e]) for e in effects]
     sums = done.agg(F.sum("n"), F.sum("w"), *[F.sum(product(i, j)) for i, j in pairs]).first()
     n = int(sums[0])
     values = {pair: float(sums[2 + s]) for s, pair in enumerate(pairs)}
@@ -316,10 +318,9 @@ def fe_regression(
     beta, inverse, kept = _solve(gram, right, np.full(k, float(sums[1])))
     b, inv = np.nan_to_num(beta), np.nan_to_num(inverse)
 
-    sizes = [int(v) for v in cells.agg(*levels).first()] if effects else []
-    absorbed = sum(sizes) - (len(effects) - 1) if effects else 1
+    absorbed = sum(sizes.values()) - (len(effects) - 1) if effects else 1
     if cluster:
-        nested = sum(size - 1 for e, size in zip(effects, sizes) if e in cluster)
+        nested = sum(sizes[at[e]] - 1 for e in effects if e in cluster)
         params = len(kept) + absorbed - nested
         groups = [[at[c]] for c in cluster]
         signs = [1.0] * len(cluster)
@@ -348,6 +349,15 @@ def fe_regression(
     return Fit(list(regressors), list(outcomes), beta * ratio, errors, n, dof, rounds)
 
 
+def _level_counts(cells: DataFrame, effects: list[str]) -> dict[str, int]:
+    """Number of levels per effect."""
+    counts = None
+    for e in effects:
+        one = cells.select(e).distinct().agg(F.lit(e).alias("e"), F.count(F.lit(1)).alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    return {r["e"]: int(r["n"]) for r in counts.collect()} if effects else {}
+
+
 def _nearest_covariance(cov: np.ndarray) -> np.ndarray:
     """Two-way clustering can leave negative eigenvalues; they are set to zero."""
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
@@ -359,40 +369,128 @@ def _nearest_covariance(cov: np.ndarray) -> np.ndarray:
 def _absorb(
     cells: DataFrame, effects: list[str], columns: list[str], tol: float, max_rounds: int, min_rows: int | None
 ) -> tuple[DataFrame, int]:
-    """Sweep weighted level means out of ``columns`` until they stop moving.
-
-    Cells of a level that holds very many of them carry a salt, and the level's
-    means are repeated per salt, so the join back never gathers a level.
+    """Take every effect's weighted level means out of ``columns``, all at once.
+
+    One effect needs a single sweep. With more, sweeping in turn converges
+    slowly when effects overlap little, so the sweeps are the operator of a
+    conjugate-gradient iteration (Hernández-Ramos, Escalante and Raydan 2011):
+    with T one forward-and-back sweep, it solves (I - T) f = (I - T) v for the
+    effects' part f of v, and v - f remains. Every round is one job on the cell
+    table; only its inner products reach the driver.
     """
     if not effects:
         return cells, 0
+    cells, heavy = _salt_levels(cells, effects, min_rows)
+    first, others = effects[:1], effects[1:]
+    keys = [c for c in cells.columns if c not in columns]
+    swept = _sweep(cells, first, columns, heavy)
+    if not others:
+        return materialize(swept, "fe-swept").drop(*_salts(effects)), 1
+
+    back = [*others, *others[-2::-1], *first]
+    w = F.col("w")
+
+    def renamed(df: DataFrame, pick: dict[str, Column]) -> DataFrame:
+        return df.select(*keys, *[e.alias(n) for n, e in pick.items()])
+
+    # v itself and its image under the sweep give the first residual
+    start = renamed(swept, {**{f"x_{c}": F.col(c) for c in columns}, **{f"u_{c}": F.col(c) for c in columns}})
+    start = _sweep(start, back, [f"u_{c}" for c in columns], heavy)
+    seen = Observation()
+    start = start.observe(
+        seen,
+        *[F.sum(w * F.col(f"x_{c}") * F.col(f"x_{c}")).alias(f"xx_{c}") for c in columns],
+        *[F.sum(w * F.pow(F.col(f"x_{c}") - F.col(f"u_{c}"), 2)).alias(f"rr_{c}") for c in columns],
+    )
+    state = materialize(start, "fe-round")
+    sizes = seen.get
+    limit = {c: tol * tol * max(sizes[f"xx_{c}"], 1e-300) for c in columns}
+    left = {c: sizes[f"rr_{c}"] for c in columns}
+    gap = {c: F.col(f"x_{c}") - F.col(f"u_{c}") for c in columns}
+    state = renamed(
+        state,
+        {
+            **{f"x_{c}": F.col(f"x_{c}") for c in columns},
+            **{f"r_{c}": gap[c] for c in columns},
+            **{f"p_{c}": gap[c] for c in columns},
+        },
+    )
+    rounds = 1
+    while rounds < max_rounds and any(left[c] > limit[c] for c in columns):
+        rounds += 1
+        image = state.withColumns({f"u_{c}": F.col(f"p_{c}") for c in columns})
+        image = _sweep(image, back, [f"u_{c}" for c in columns], heavy)
+        image = image.withColumns({f"u_{c}": F.col(f"p_{c}") - F.col(f"u_{c}") for c in columns})
+        seen = Observation()
+        products = [("r", "r"), ("p", "u"), ("r", "u"), ("u", "u")]
+        image = image.observe(
+            seen,
+            *[
+                F.sum(w * F.col(f"{a}_{c}") * F.col(f"{b}_{c}")).alias(f"{a}{b}_{c}")
+                for c in columns
+                for a, b in products
+            ],
+        )
+        image = materialize(image, "fe-round")
+        got = seen.get
+        pick: dict[str, Column] = {}
+        for c in columns:
+            rr, pu, ru, uu = (got[f"{a}{b}_{c}"] for a, b in products)
+            step = rr / pu if pu > 0 and left[c] > limit[c] else 0.0
+            after = max(rr - 2 * step * ru + step * step * uu, 0.0)
+            turn = after / rr if rr > 0 and step else 0.0
+            left[c] = after if step else min(left[c], limit[c])
+            residual = F.col(f"r_{c}") - F.lit(step) * F.col(f"u_{c}")
+            pick[f"x_{c}"] = F.col(f"x_{c}") - F.lit(step) * F.col(f"p_{c}")
+            pick[f"r_{c}"] = residual
+            pick[f"p_{c}"] = residual + F.lit(turn) * F.col(f"p_{c}")
+        state = renamed(image, pick)
+    out = state.select(*[k for k in keys if k not in _salts(effects)], *[F.col(f"x_{c}").alias(c) for c in columns])
+    return out, rounds
+
+
+def _salts(effects: list[str]) -> list[str]:
+    return [f"_salt_{e}" for e in effects]
+
+
+def _salt_levels(
+    cells: DataFrame, effects: list[str], min_rows: int | None
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Salt the cells of levels that hold very many of them.
+
+    Returns the cells and, for the effects that have such levels, their list.
+    """
     limit = {} if min_rows is None else {"min_rows": min_rows}
     heavy = {}
-    state = cells
+    columns = cells.columns
     for e in effects:
-        heavy[e] = materialize(heavy_keys(cells, [e], **limit), "fe-heavy")
-        state = flag_heavy(state, heavy[e], [e], "_hot")
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*cells.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-        state = state.withColumn(f"_salt_{e}", salt).drop("_hot")
-    for rounds in range(1, max_rounds + 1):
-        swept = state
-        shift = F.lit(0.0)
-        for e in effects:
-            mean = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"_m_{c}") for c in columns]
-            levels = flag_heavy(swept.groupBy(e).agg(*mean), heavy[e], [e], "_hot")
-            salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            levels = levels.withColumn(f"_salt_{e}", F.explode(salts)).drop("_hot")
-            swept = swept.join(levels, [e, f"_salt_{e}"])
-            moved = F.greatest(*[F.abs(f"_m_{c}") for c in columns], F.lit(0.0))
-            previous = F.col("_shift") if "_shift" in swept.columns else F.lit(0.0)
-            swept = swept.withColumn("_shift", F.greatest(moved, previous))
-            swept = swept.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns})
-            swept = swept.drop(*[f"_m_{c}" for c in columns])
-        seen = Observation()
-        state = materialize(swept.observe(seen, F.max("_shift").alias("shift")).drop("_shift"), "fe-round")
-        if len(effects) == 1 or (seen.get["shift"] or 0.0) <= tol:
-            break
-    return state.select(*cells.columns), rounds
+        listed = heavy_keys(cells, [e], **limit)
+        if listed.isEmpty():
+            continue
+        heavy[e] = materialize(listed, "fe-heavy")
+        flagged = flag_heavy(cells, heavy[e], [e], "_hot")
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        cells = flagged.withColumn(f"_salt_{e}", salt).drop("_hot")
+    return cells, heavy
+
+
+def _sweep(df: DataFrame, effects: list[str], columns: list[str], heavy: dict[str, DataFrame]) -> DataFrame:
+    """Subtract weighted level means, effect after effect.
+
+    The means of a heavy level are repeated per salt, so that joining them back
+    never gathers the level.
+    """
+    for e in effects:
+        mean = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"_m_{c}") for c in columns]
+        levels, on = df.groupBy(e).agg(*mean), [e]
+        if e in heavy:
+            levels = flag_heavy(levels, heavy[e], [e], "_hot")
+            copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+            levels = levels.withColumn(f"_salt_{e}", F.explode(copies)).drop("_hot")
+            on = [e, f"_salt_{e}"]
+        df = df.join(levels, on)
+        df = df.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    return df
 
 
 def _meat(done: DataFrame, group: list[str], product, b: np.ndarray, k: int, m: int) -> tuple[list[np.ndarray], int]:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geopanel.skew import HEAVY_MAX_KEYS, HEAVY_MIN_ROWS, flag_heavy, heavy_keys
+from geopanel.skew import HEAVY_MAX_KEYS, HEAVY_MIN_ROWS, heavy_keys, match_heavy
 
 QUANTILE_SLICES = 4096
 QUANTILE_LEVELS = 2
@@ -200,7 +200,9 @@ def aggregate_with_quantiles(
     Spark's exact ``percentile`` keeps every distinct value of a group in one
     buffer, which is right for the many ordinary groups. Groups above the
     heavy-key limit go through :func:`spread_quantiles` instead, so no buffer
-    outgrows that limit. With no keys the whole table is one group and only the
+    outgrows that limit. Both ways start from a join with the (bounded) list of
+    heavy keys; when that list turns out empty, adaptive execution drops the
+    second way without reading its input. With no keys the whole table is one group and only the
     second way is used.
     """
     columns = sorted({column for column, _ in quantiles.values()})
@@ -228,13 +230,13 @@ def aggregate_with_quantiles(
         return rest.select(*plain, *picked({c: F.col(f"_q._q_{c}") for c in columns}))
 
     exact = F.array(*[F.lit(p) for p in probs])
-    flagged = flag_heavy(df, heavy_keys(df, keys, min_rows, max_keys), keys, "_hot")
-    usual = flagged.where(~F.col("_hot")).groupBy(*keys).agg(
+    heavy_list = heavy_keys(df, keys, min_rows, max_keys)
+    usual = match_heavy(df, heavy_list, keys, "left_anti").groupBy(*keys).agg(
         *[e.alias(n) for n, e in plain.items()],
         *[F.percentile(F.col(c).cast("double"), exact).alias(f"_q_{c}") for c in columns],
     )
     usual = usual.select(*keys, *plain, *picked({c: F.col(f"_q_{c}") for c in columns}))
-    hot = flagged.where("_hot").drop("_hot")
+    hot = match_heavy(df, heavy_list, keys, "left_semi")
     tops = wide(hot).withColumnsRenamed({k: f"_o_{k}" for k in keys})
     match = F.lit(True)
     for k in keys:

@@ -494,7 +494,8 @@ def region_population(spark, sf_dir):
     )
     # regions without posts must survive
     summary = summarized_regions(spark, sf_dir).where(F.col("NAME") != "NATION_4").select("NAME", "num_tweets")
-    return rounded(describe.attach_population(layer, summary, "NAME"), ["tweets_pc", "log10_tweets", "ln_tweets_pc"])
+    joined = describe.attach_population(layer, summary, "NAME")
+    return rounded(joined, ["POP2010", "num_tweets", "tweets_pc", "log10_tweets", "ln_tweets_pc"])
 
 
 @query
@@ -635,7 +636,7 @@ def points_in_regions_left(spark, sf_dir):
 @query
 def assign_grid_cell(spark, sf_dir):
     rows = src.posts(spark, sf_dir).select("id", (F.col("lon") - 3).alias("lon"), "lat")
-    return spatial.assign_grid_cell(rows, src.GRID).select("id", "id_geo")
+    return spatial.assign_grid_cell(rows, src.GRID).select("id", F.col("id_geo").cast("double").alias("id_geo"))
 
 
 @query

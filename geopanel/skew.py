@@ -44,6 +44,13 @@ def flag_heavy(df: DataFrame, heavy: DataFrame, keys: list[str], flag: str) -> D
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def match_heavy(df: DataFrame, heavy: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join with the (bounded) heavy keys; NULL matches NULL."""
+    listed = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    match = _all([F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    return df.join(F.broadcast(listed), match, how)
+
+
 def row_salt(columns: list[str], salts: int = SALTS) -> Column:
     """A salt computed from the row itself, so a retried task repeats it."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")
