@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geopanel.ordered import running_totals
-from geopanel.skew import join_bounded
+from geopanel.skew import join_bounded, materialize
 
 SLICE_SECONDS = 3_600
 SECOND = 1_000_000
@@ -48,12 +48,15 @@ def forward_windows(
         F.struct(
             (F.col("_t") + F.lit(round(w * SECOND)).cast("long")).alias("_at"),
             F.lit(0).alias("_post"),
-            F.lit(float(w)).alias("window"),
+            F.lit(i).alias("_w"),
         )
-        for w in windows
+        for i, w in enumerate(windows)
     ]
-    here = F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_post"), F.lit(None).cast("double").alias("window"))
-    marks = moments.select(user, "_t", "rows", "_seen", "_sum", F.inline(F.array(here, *ends)))
+    here = F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_post"), F.lit(-1).alias("_w"))
+    none, no_sum = F.lit(0).cast("long"), F.lit(0).cast(EXACT)
+    marks = moments.select(
+        user, "_t", "rows", "_seen", F.coalesce("_sum", no_sum).alias("_sum"), F.inline(F.array(here, *ends))
+    )
     is_post = F.col("_post") == 1
     scanned = running_totals(
         marks,
@@ -61,35 +64,32 @@ def forward_windows(
         ["_at", "_post"],
         F.floor(F.col("_at") / F.lit(slice_seconds * SECOND)),
         {
-            "_c_rows": F.when(is_post, F.col("rows")).otherwise(F.lit(0).cast("long")),
-            "_c_seen": F.when(is_post, F.col("_seen")).otherwise(F.lit(0).cast("long")),
-            "_c_sum": F.when(is_post, F.coalesce(F.col("_sum"), F.lit(0).cast(EXACT))).otherwise(F.lit(0).cast(EXACT)),
+            "_c_rows": F.when(is_post, F.col("rows")).otherwise(none),
+            "_c_seen": F.when(is_post, F.col("_seen")).otherwise(none),
+            "_c_sum": F.when(is_post, F.col("_sum")).otherwise(no_sum),
         },
     )
-    # totals before the post itself, and totals at each window's end
-    before = F.struct(
-        (F.col("_c_rows") - F.col("rows")).alias("rows"),
-        (F.col("_c_seen") - F.col("_seen")).alias("seen"),
-        (F.col("_c_sum") - F.coalesce(F.col("_sum"), F.lit(0).cast(EXACT))).alias("sum"),
-    )
-    closing = F.struct(
-        "window", F.col("_c_rows").alias("rows"), F.col("_c_seen").alias("seen"), F.col("_c_sum").alias("sum")
-    )
-    gathered = scanned.groupBy(user, "_t").agg(
-        F.max("rows").alias("rows"),
-        F.max(F.when(is_post, before)).alias("_before"),
-        F.collect_list(F.when(~is_post, closing)).alias("_ends"),
-    )
-    opened = gathered.select(user, "_t", "rows", "_before", F.explode("_ends").alias("_end"))
-    seen = F.col("_end.seen") - F.col("_before.seen")
-    return opened.select(
-        user,
-        "_t",
-        F.col("_end.window").alias("window"),
-        "rows",
-        (F.col("_end.rows") - F.col("_before.rows")).alias("posts"),
-        F.when(seen > 0, (F.col("_end.sum") - F.col("_before.sum")).cast("double") / seen).alias("mean"),
-    )
+    # totals at each window's end minus the totals before the post itself
+    parts = {"rows": "rows", "seen": "_seen", "sum": "_sum"}
+    before = [
+        F.sum(F.when(is_post, F.col(f"_c_{p}") - F.col(own))).alias(f"_b_{p}") for p, own in parts.items()
+    ]
+    after = [
+        F.sum(F.when(F.col("_w") == i, F.col(f"_c_{p}"))).alias(f"_e{i}_{p}")
+        for i in range(len(windows))
+        for p in parts
+    ]
+    gathered = scanned.groupBy(user, "_t").agg(F.max("rows").alias("rows"), *before, *after)
+    spans = [
+        F.struct(
+            F.lit(float(w)).alias("window"),
+            *[(F.col(f"_e{i}_{p}") - F.col(f"_b_{p}")).alias(f"_{p}") for p in parts],
+        )
+        for i, w in enumerate(windows)
+    ]
+    opened = gathered.select(user, "_t", "rows", F.inline(F.array(*spans)))
+    mean = F.when(F.col("_seen") > 0, F.col("_sum").cast("double") / F.col("_seen"))
+    return opened.select(user, "_t", "window", "rows", F.col("_rows").alias("posts"), mean.alias("mean"))
 
 
 def forward_window_stats(
@@ -150,14 +150,19 @@ def flagged_users(burst: DataFrame, volume: DataFrame) -> DataFrame:
     return burst.withColumn("rule", F.lit("burst")).unionByName(volume.withColumn("rule", F.lit("day")))
 
 
+def _listed(users: DataFrame, user: str) -> DataFrame:
+    """The distinct users as a written table: finding them is not repeated by later steps."""
+    return materialize(users.select(user).distinct(), "users")
+
+
 def keep_users(posts: DataFrame, users: DataFrame, user: str = "username", **joining) -> DataFrame:
     """Posts of listed users; NULL matches NULL."""
-    return join_bounded(posts, users.select(user).distinct(), [user], "left_semi", null_safe=True, **joining)
+    return join_bounded(posts, _listed(users, user), [user], "left_semi", null_safe=True, **joining)
 
 
 def drop_users(posts: DataFrame, users: DataFrame, user: str = "username", **joining) -> DataFrame:
     """Posts of users not listed; NULL matches NULL."""
-    return join_bounded(posts, users.select(user).distinct(), [user], "left_anti", null_safe=True, **joining)
+    return join_bounded(posts, _listed(users, user), [user], "left_anti", null_safe=True, **joining)
 
 
 def top_value(df: DataFrame, keys: list[str], column: str, weight: str | None = None) -> DataFrame:

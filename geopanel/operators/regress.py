@@ -32,6 +32,7 @@ COEFFICIENTS = T.StructType(
 )
 INTERCEPT = "(Intercept)"
 SMALL = 1e-10
+NODES, NODE_WEIGHTS = np.polynomial.legendre.leggauss(200)
 
 
 @dataclass
@@ -62,11 +63,10 @@ def student_cdf(t: float, dof: float) -> float:
     """Student's t distribution function, by its finite-interval integral."""
     # with t = sqrt(dof) * tan(a) the density is proportional to cos(a)**(dof - 1)
     limit = math.atan(abs(t) / math.sqrt(dof))
-    nodes, weights = np.polynomial.legendre.leggauss(200)
 
     def area(b: float) -> float:
-        a = (nodes + 1) * b / 2
-        return float(np.sum(weights * np.cos(a) ** (dof - 1)) * b / 2)
+        a = (NODES + 1) * b / 2
+        return float(np.sum(NODE_WEIGHTS * np.cos(a) ** (dof - 1)) * b / 2)
 
     # beyond this angle the integrand is below double precision
     edge = min(math.pi / 2, 12 / math.sqrt(max(dof - 1, 1e-9))) if dof > 4 else math.pi / 2
@@ -117,9 +117,7 @@ def _centred_moments(df: DataFrame, columns: list[str], weights: str | None) ->
     """Weight sum, row count, weighted means and centred cross products of ``columns``."""
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
     k = len(columns)
-    first = df.agg(
-        F.count(F.lit(1)), F.sum(w), *[F.sum(w * F.col(c)) for c in columns]
-    ).first()
+    first = df.agg(F.count(F.lit(1)), F.sum(w), *[F.sum(w * F.col(c)) for c in columns]).first()
     n, total = first[0], float(first[1] or 0.0)
     if not n:
         raise ValueError("no complete rows")
@@ -283,15 +281,15 @@ def fe_regression(
     summed = rows.groupBy(*at.values()).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("_w").alias("w"),
-        *[F.sum(F.col("_w") * F.col(v)).alias(f"s{i}") for i, v in enumerate(names)],
-        *[F.sum(F.col("_w") * F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs],
+        *[F.expr(f"sum(_w * v{i}) AS s{i}") for i in range(m)],
+        *[F.expr(f"sum(_w * v{i} * v{j}) AS p{i}_{j}") for i, j in pairs],
     )
-    cells = summed.select(
+    cells = summed.selectExpr(
         *at.values(),
         "n",
         "w",
-        *[(F.col(f"s{i}") / F.col("w")).alias(f"d{i}") for i in range(m)],
-        *[(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")).alias(f"c{i}_{j}") for i, j in pairs],
+        *[f"s{i} / w AS d{i}" for i in range(m)],
+        *[f"p{i}_{j} - s{i} * s{j} / w AS c{i}_{j}" for i, j in pairs],
     )
     cells = materialize(cells, "fe-cells")
 
@@ -305,11 +303,11 @@ def fe_regression(
     within = cells.drop("w", *means_now)
     done = swept.join(within, list(at.values()))
 
-    def product(i: int, j: int) -> Column:
-        i, j = (i, j) if (i, j) in pairs else (j, i)
-        return F.col(f"c{i}_{j}") + F.col("w") * F.col(f"d{i}") * F.col(f"d{j}")
-
-    sums = done.agg(F.sum("n"), F.sum("w"), *[F.sum(product(i, j)) for i, j in pairs]).first()
+    # cross products of the swept variables inside a cell
+    done = done.selectExpr(
+        *at.values(), "n", "w", *[f"c{i}_{j} + w * d{i} * d{j} AS m{i}_{j}" for i, j in pairs]
+    )
+    sums = done.agg(F.sum("n"), F.sum("w"), *[F.expr(f"sum(m{i}_{j})") for i, j in pairs]).first()
     n = int(sums[0])
     values = {pair: float(sums[2 + s]) for s, pair in enumerate(pairs)}
     gram = np.array([[values[min(i, j), max(i, j)] for j in range(k)] for i in range(k)])
@@ -329,7 +327,7 @@ def fe_regression(
             signs.append(-1.0)
         meats, counts = [], []
         for group in groups:
-            meat, count = _meat(done, group, product, b, k, m)
+            meat, count = _meat(done, group, b, k, m)
             meats.append(meat)
             counts.append(count)
         fewest = min(counts[: len(cluster)])
@@ -425,11 +423,7 @@ def _absorb(
         products = [("r", "r"), ("p", "u"), ("r", "u"), ("u", "u")]
         image = image.observe(
             seen,
-            *[
-                F.sum(w * F.col(f"{a}_{c}") * F.col(f"{b}_{c}")).alias(f"{a}{b}_{c}")
-                for c in columns
-                for a, b in products
-            ],
+            *[F.expr(f"sum(w * {a}_{c} * {b}_{c}) AS {a}{b}_{c}") for c in columns for a, b in products],
         )
         image = materialize(image, "fe-round")
         got = seen.get
@@ -481,42 +475,35 @@ def _sweep(df: DataFrame, effects: list[str], columns: list[str], heavy: dict[st
     never gathers the level.
     """
     for e in effects:
-        mean = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"_m_{c}") for c in columns]
+        mean = [F.expr(f"sum(w * {c}) / sum(w) AS _m_{c}") for c in columns]
         levels, on = df.groupBy(e).agg(*mean), [e]
         if e in heavy:
             levels = flag_heavy(levels, heavy[e], [e], "_hot")
             copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
             levels = levels.withColumn(f"_salt_{e}", F.explode(copies)).drop("_hot")
             on = [e, f"_salt_{e}"]
-        df = df.join(levels, on)
-        df = df.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+        rest = [c for c in df.columns if c not in columns]
+        df = df.join(levels, on).selectExpr(*rest, *[f"{c} - _m_{c} AS {c}" for c in columns])
     return df
 
 
-def _meat(done: DataFrame, group: list[str], product, b: np.ndarray, k: int, m: int) -> tuple[list[np.ndarray], int]:
+def _meat(done: DataFrame, group: list[str], b: np.ndarray, k: int, m: int) -> tuple[list[np.ndarray], int]:
     """Sum over clusters of score outer products, per outcome, and the cluster count."""
+    triangle = [(a, c) for a in range(k) for c in range(a, k)]
     scores = []
     for j in range(m - k):
         for i in range(k):
-            score = product(i, k + j)
-            for l in range(k):
-                score = score - F.lit(float(b[l, j])) * product(i, l)
-            scores.append(F.sum(score).alias(f"u{j}_{i}"))
+            known = " ".join(f"- ({float(b[h, j])!r}D) * m{min(i, h)}_{max(i, h)}" for h in range(k))
+            scores.append(F.expr(f"sum(m{i}_{k + j} {known}) AS u{j}_{i}"))
     sums = done.groupBy(*group).agg(*scores)
-    outer = [
-        F.sum(F.col(f"u{j}_{a}") * F.col(f"u{j}_{c}"))
-        for j in range(m - k)
-        for a in range(k)
-        for c in range(a, k)
-    ]
+    outer = [F.expr(f"sum(u{j}_{a} * u{j}_{c})") for j in range(m - k) for a, c in triangle]
     row = sums.agg(F.count(F.lit(1)), *outer).first()
     meats, at = [], 1
     for _ in range(m - k):
         meat = np.zeros((k, k))
-        for a in range(k):
-            for c in range(a, k):
-                meat[a, c] = meat[c, a] = row[at]
-                at += 1
+        for a, c in triangle:
+            meat[a, c] = meat[c, a] = row[at]
+            at += 1
         meats.append(meat)
     return meats, int(row[0])
 

@@ -29,15 +29,15 @@ def lexicon_compound(
 ) -> DataFrame:
     """One score in [-1, 1] per post: valence sum s over its words, s / sqrt(s² + 15).
 
-    ``lexicon`` holds (token, valence), lower case. Words are counted per post
-    before the join, so a post crosses the shuffle with each distinct word once,
-    and posts without any listed word score 0.
+    ``lexicon`` holds (token, valence), lower case. A lexicon of ordinary size is
+    broadcast, so words never cross the shuffle, only one partial sum per post
+    does; a very large one is joined with its frequent words salted. Posts
+    without any listed word score 0.
     """
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+")
     tokens = df.select(id_column, F.explode(words).alias("token"))
-    counts = tokens.where(F.col("token") != "").groupBy(id_column, "token").agg(F.count(F.lit(1)).alias("_n"))
-    hits = join_bounded(counts, lexicon.select("token", "valence"), ["token"], spread=[id_column], **joining)
-    sums = hits.groupBy(id_column).agg(F.sum(F.col("_n") * F.col("valence")).alias("_s"))
+    hits = join_bounded(tokens, lexicon.select("token", "valence"), ["token"], spread=[id_column], **joining)
+    sums = hits.groupBy(id_column).agg(F.sum("valence").alias("_s"))
     s = F.coalesce(F.col("_s"), F.lit(0.0))
     return df.join(sums, id_column, "left").withColumn(name, s / F.sqrt(s * s + ALPHA)).drop("_s")
 

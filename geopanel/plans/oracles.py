@@ -19,14 +19,15 @@ posts AS (
          CASE WHEN event_id % 11 = 0 THEN '[]' ELSE '[''' || event_type || ''', ''other'']' END AS label,
          CASE WHEN event_id % 11 = 0 THEN '''no_topic''' ELSE '''' || event_type || '''' END AS main_label,
          event_type || ' ' || props AS text,
-         value / 500::DOUBLE AS vader_compound,
-         k / 100::DOUBLE AS roberta_positive,
-         (k * 7 % 100) / 100::DOUBLE AS roberta_negative,
-         ((k * 3 + event_id) % 100) / 100::DOUBLE AS bertweet_positive,
-         ((k * 13 + 5) % 100) / 100::DOUBLE AS bertweet_negative,
-         value / 5::DOUBLE AS pm25,
-         (event_id * 31 % 400) / 10::DOUBLE - 5 AS temperature,
-         (event_id * 41 % 200) / 10::DOUBLE - 10 AS wind_x,
+         value / 503::DOUBLE AS vader_compound,
+         k / 100::DOUBLE AS percent_score,
+         k / 101::DOUBLE AS roberta_positive,
+         (k * 7 % 100) / 101::DOUBLE AS roberta_negative,
+         ((k * 3 + event_id) % 100) / 101::DOUBLE AS bertweet_positive,
+         ((k * 13 + 5) % 100) / 101::DOUBLE AS bertweet_negative,
+         value / 5.03::DOUBLE AS pm25,
+         (event_id * 31 % 400) / 10.3::DOUBLE - 5 AS temperature,
+         (event_id * 41 % 200) / 10.3::DOUBLE - 10 AS wind_x,
          (2400 + event_id * 53 % 2600) / 100::DOUBLE AS lat,
          (-12500 + event_id * 37 % 5900) / 100::DOUBLE AS lon
   FROM posts0
@@ -248,8 +249,8 @@ ORDER BY near.timestamp DESC""",
 )
 add(
     "assemble_scores",
-    f"""WITH {POSTS} SELECT id, username, {r6("vader_compound")} AS vader_compound, roberta_positive, roberta_negative,
-bertweet_positive, bertweet_negative, label FROM posts WHERE id % 10 NOT IN (1, 2, 3)""",
+    f"""WITH {POSTS} SELECT id, username, {", ".join(f"{r6(c)} AS {c}" for c in
+    ["vader_compound", "roberta_positive", "roberta_negative", "bertweet_positive", "bertweet_negative"])}, label FROM posts WHERE id % 10 NOT IN (1, 2, 3)""",
 )
 
 # --- bots ------------------------------------------------------------------
@@ -352,7 +353,7 @@ add(
 )
 add(
     "binned_crosstab",
-    f"""WITH {POSTS} SELECT {bins("roberta_positive", TENTHS)} AS roberta_cat, {bins("bertweet_positive", TENTHS)} AS bertweet_cat,
+    f"""WITH {POSTS} SELECT {bins("percent_score", TENTHS)} AS roberta_cat, {bins("bertweet_positive", TENTHS)} AS bertweet_cat,
 count(*) AS count FROM posts GROUP BY 1, 2""",
 )
 add(

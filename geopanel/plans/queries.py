@@ -268,7 +268,7 @@ def assemble_scores(spark, sf_dir):
     bertweet = panel.select_range(rows.where(F.col("id") % 10 != 2), "bertweet_positive", "bertweet_negative", ["id"])
     topics = rows.where(F.col("id") % 10 != 3).select("id", "label")
     joined = panel.assemble_scores(base, [roberta, bertweet, topics])
-    return rounded(joined, ["vader_compound"])
+    return rounded(joined, panel.SENTIMENTS)
 
 
 # --- bots ------------------------------------------------------------------
@@ -392,7 +392,7 @@ def users_per_bin(spark, sf_dir):
 @query
 def binned_crosstab(spark, sf_dir):
     rows = src.posts(spark, sf_dir).select(
-        cut_bins(F.col("roberta_positive"), SCORE_BREAKS).alias("roberta_cat"),
+        cut_bins(F.col("percent_score"), SCORE_BREAKS).alias("roberta_cat"),
         cut_bins(F.col("bertweet_positive"), SCORE_BREAKS).alias("bertweet_cat"),
     )
     return describe.binned_crosstab(rows, "roberta_cat", "bertweet_cat")

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scaled(event_id: Column, factor: int, modulus: int, offset: float) -> Column:
-    return (event_id * factor % modulus) / 10.0 + offset
+    return (event_id * factor % modulus) / 10.3 + offset
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +42,13 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("['"), F.col("event_type"), F.lit("', 'other']")))
         .alias("label"),
         F.concat_ws(" ", "event_type", "props").alias("text"),
-        (F.col("value") / 500.0).alias("vader_compound"),
-        (k / 100.0).alias("roberta_positive"),
-        (k * 7 % 100 / 100.0).alias("roberta_negative"),
-        ((k * 3 + e) % 100 / 100.0).alias("bertweet_positive"),
-        ((k * 13 + 5) % 100 / 100.0).alias("bertweet_negative"),
-        (F.col("value") / 5.0).alias("pm25"),
+        (F.col("value") / 503.0).alias("vader_compound"),
+        (k / 100.0).alias("percent_score"),
+        (k / 101.0).alias("roberta_positive"),
+        (k * 7 % 100 / 101.0).alias("roberta_negative"),
+        ((k * 3 + e) % 100 / 101.0).alias("bertweet_positive"),
+        ((k * 13 + 5) % 100 / 101.0).alias("bertweet_negative"),
+        (F.col("value") / 5.03).alias("pm25"),
         _scaled(e, 31, 400, -5.0).alias("temperature"),
         _scaled(e, 17, 90, 0.0).alias("precipitation"),
         _scaled(e, 29, 1000, 0.0).alias("visibility"),
