@@ -10,7 +10,9 @@ from geopanel.skew import join_bounded, materialize
 
 SLICE_SECONDS = 3_600
 SECOND = 1_000_000
-EXACT = "decimal(28,12)"
+# sums are kept as whole multiples of 1e-12: no digits are lost in differences
+UNIT = 1e12
+EXACT = "decimal(28,0)"
 
 # The sweep's windows (seconds) and thresholds, the chosen burst
 # rule (posts, seconds) and the daily limit.
@@ -34,14 +36,14 @@ def forward_windows(
     how many posts share the instant, ``posts`` and ``mean`` describe the
     window (NULL values are skipped by the mean). Both come from differences of
     running totals, one pass for all windows, so the cost does not depend on
-    how many posts a window holds. Sums are decimals: differences lose nothing.
+    how many posts a window holds. Sums are fixed-point decimals.
     """
     measure = F.col(value) if value else F.lit(None)
     at = F.unix_micros(F.col(timestamp))
     moments = df.groupBy(user, at.alias("_t")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(measure).alias("_seen"),
-        F.sum(measure.cast(EXACT)).alias("_sum"),
+        F.sum((measure * UNIT).cast(EXACT)).alias("_sum"),
     )
     # marker 0 closes a window and sorts before the posts of its instant
     ends = [
@@ -88,7 +90,7 @@ def forward_windows(
         for i, w in enumerate(windows)
     ]
     opened = gathered.select(user, "_t", "rows", F.inline(F.array(*spans)))
-    mean = F.when(F.col("_seen") > 0, F.col("_sum").cast("double") / F.col("_seen"))
+    mean = F.when(F.col("_seen") > 0, F.col("_sum").cast("double") / UNIT / F.col("_seen"))
     return opened.select(user, "_t", "window", "rows", F.col("_rows").alias("posts"), mean.alias("mean"))
 
 

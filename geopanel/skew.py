@@ -17,6 +17,9 @@ HEAVY_MAX_KEYS = 10_000
 SALTS = 64
 BROADCAST_BYTES = 64 << 20
 
+# folders of local sessions that name none, by application
+_local_dirs: dict[str, str] = {}
+
 
 def heavy_keys(
     df: DataFrame,
@@ -134,11 +137,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="geopanel-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="geopanel-")
+    return _local_dirs[context.applicationId]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

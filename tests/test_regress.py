@@ -50,8 +50,10 @@ def meat(swept, resid, w, groups):
     return scores.T @ scores, len(scores)
 
 
-@pytest.mark.parametrize("effects", [["county"], ["county", "date"], ["county", "date", "day"], ["county", "date", "day", "user"]])
-@pytest.mark.parametrize("weights", [None, "w"])
+@pytest.mark.parametrize(
+    "effects, weights",
+    [(["county"], "w"), (["county", "date", "day"], None), (["county", "date", "user"], "w")],
+)
 def test_coefficients(frame, data, effects, weights):
     fit = regress.fe_regression(frame, ["y", "y2"], ["x", "t"], effects, weights=weights)
     for j, y in enumerate(["y", "y2"]):

@@ -95,12 +95,8 @@ def test_smallest_with_ties(spark):
     assert ordered.smallest(df, "h", "id", 5000).count() == 1000
 
 
-def test_no_checkpoint_folder_on_a_cluster(spark, tmp_path):
-    path = str(tmp_path / "shared")
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        assert skew.materialize(spark.range(5), "x").count() == 5
-        assert len(list((tmp_path / "shared").iterdir())) == 1
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_written_tables_go_to_the_named_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert skew.checkpoint_dir(spark) == folder
+    kept = skew.materialize(spark.range(5), "x")
+    assert kept.count() == 5 and all(f.startswith(f"file://{folder}/x-") for f in kept.inputFiles())
