@@ -397,12 +397,13 @@ def _absorb(
     seen = Observation()
     start = start.observe(
         seen,
-        *[F.sum(w * F.col(f"x_{c}") * F.col(f"x_{c}")).alias(f"xx_{c}") for c in columns],
+        F.sum(w).alias("weight"),
         *[F.sum(w * F.pow(F.col(f"x_{c}") - F.col(f"u_{c}"), 2)).alias(f"rr_{c}") for c in columns],
     )
     state = materialize(start, "fe-round")
     sizes = seen.get
-    limit = {c: tol * tol * max(sizes[f"xx_{c}"], 1e-300) for c in columns}
+    # the variables came in with unit variance, so the total weight is their size
+    limit = {c: tol * tol * sizes["weight"] for c in columns}
     left = {c: sizes[f"rr_{c}"] for c in columns}
     gap = {c: F.col(f"x_{c}") - F.col(f"u_{c}") for c in columns}
     state = renamed(

@@ -124,7 +124,7 @@ def test_two_stage(frame, data):
     hat = z @ np.linalg.solve(z.T @ z, z.T @ x)
     beta = np.linalg.solve(hat.T @ x, hat.T @ data.y)
     resid = data.y - x @ beta
-    se = np.sqrt(np.diag(np.linalg.inv(hat.T @ hat)) * resid @ resid / (len(data) - 3))
+    se = np.sqrt(np.diag(np.linalg.inv(hat.T @ hat)) * (resid @ resid) / (len(data) - 3))
     assert fit.estimates[:, 0] == pytest.approx(beta, abs=1e-8)
     assert fit.errors[:, 0] == pytest.approx(se, rel=1e-8)
 
