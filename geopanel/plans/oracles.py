@@ -504,7 +504,7 @@ hourly AS (SELECT id, variable, moment + h * INTERVAL '1 hour' AS moment,
 add(
     "grid_units",
     f"""WITH {SERIES} SELECT id, variable, {time_text("moment")} AS timestamp,
-{r6("CASE variable WHEN 'pm25' THEN value * 1e9 WHEN 'temperature' THEN value - 272.15::DOUBLE ELSE value END")} AS value FROM series""",
+{r6("CASE variable WHEN 'pm25' THEN value / 1e9 * 1e9 WHEN 'temperature' THEN value - 272.15::DOUBLE ELSE value END")} AS value FROM series""",
 )
 add(
     "grid_slice",

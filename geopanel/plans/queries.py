@@ -580,7 +580,9 @@ def wide_grid_midnight(spark, sf_dir):
 @query
 def grid_units(spark, sf_dir):
     series = src.grid_series(spark, sf_dir)
-    value = convert_units(F.col("variable"), F.col("value"), kelvin=272.15)
+    # concentrations arrive in kg
+    raw = F.when(F.col("variable") == "pm25", F.col("value") / 1e9).otherwise(F.col("value"))
+    value = convert_units(F.col("variable"), raw, kelvin=272.15)
     return series.select("id", "variable", text_time("timestamp").alias("timestamp"), r6(value).alias("value"))
 
 
