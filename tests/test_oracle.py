@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+import __spark_entry__  # noqa: F401  (registers the package for the workers)
+from geopanel.plans.oracles import ORACLES
+from geopanel.plans.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -27,7 +29,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def close(a, b, tol):
@@ -36,11 +38,11 @@ def close(a, b, tol):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    result = duck.sql(oracle_sql()[name])
+    result = duck.sql(ORACLES[name])
     assert sorted(result.columns) == columns
     got = [tuple(r[c] for c in columns) for r in df.collect()]
     place = [result.columns.index(c) for c in columns]
