@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from geopanel.skew import checkpoint_dir
+
+from . import langid, records, shards, token_counts, toxicity
+
+#: The id that ends each document in the record files.
+END_ID = 2
+TOKEN_LIMIT = 2048
+SHARDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +28,35 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
+def op6_consistent_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of all documents whose row counts differ by one at most."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    )
+    placed = shards.assign(rows, "doc_id", SHARDS, ["text_crc32", "size"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = table(spark, sf_dir, "documents")
+    counts = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as record files in the shared folder, and what reading them back gives."""
+    folder = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    manifest = records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, END_ID)
+    return records.read(spark, manifest)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +77,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_consistent_shards": op6_consistent_shards,
+    "op7_token_counts": op7_token_counts,
+    "op8_token_records": op8_token_records,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
