@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import checkpoint_dir
 
-from . import langid, records, shards, token_counts, toxicity
+from . import langid, quality, records, shards, token_counts, toxicity
 
 #: The id that ends each document in the record files.
 END_ID = 2
@@ -28,6 +28,15 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base columns and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, ["doc_id"], quality.order_rules(docs))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op6_consistent_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of all documents whose row counts differ by one at most."""
     rows = table(spark, sf_dir, "documents").select(
@@ -68,15 +77,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    labels = labels.where(fold(5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
     held = docs.withColumn("held_out", fold(5) == 0)
     scored = toxicity.score(held, model, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
     "op6_consistent_shards": op6_consistent_shards,
     "op7_token_counts": op7_token_counts,
     "op8_token_records": op8_token_records,
@@ -84,4 +92,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS l
+  FROM documents),
+f AS (
+  SELECT r, doc_id, text, len(w) AS n_words, len(l) AS n_lines,
+         length(regexp_replace(text, '[\x09-\x0D\x20]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines
+  FROM d),
+t AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM t) WHERE n > 1),
+p AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words
+  FROM c, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+a AS (
+  SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+  FROM f LEFT JOIN p USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words
+            OR 10 * length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 3 * word_chars) AS kept
+FROM a
+""",
+}

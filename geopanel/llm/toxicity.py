@@ -8,10 +8,10 @@ correlation between voters, by which the evidence of voters that repeat each
 other is discounted. Its posterior labels train a logistic regression over the
 lexicon and the patterns, which scores every text.
 
-Lexicon counts are taken over all labelled training rows. The label model and
-the regression are fitted on at most ``FIT_ROWS`` labelled rows, those with the
-smallest hashes of their id; a row reaches the driver as the few lexicon
-numbers it contains.
+Everything is learned from at most ``FIT_ROWS`` labels, those with the smallest
+hashes of their id. This list is therefore safe to broadcast to the texts,
+which are not shuffled; a text of the sample reaches the driver as the few
+lexicon numbers that it contains. Every text is scored.
 
 Cases: a null or empty text gets the score of a text without any voter; with no
 labelled row of either kind every score is the share of toxic labels (0.5
@@ -33,7 +33,7 @@ from .blocks import LOWER, blocks, prefix_hashes, raw, span_hashes, text_array
 
 #: Bounds of what the driver sees: lexicon entries, and labelled rows of the fit.
 LEXICON = 4096
-FIT_ROWS = 20_000
+FIT_ROWS = 40_000
 #: An entry occurs in as many toxic texts at least, and is so much more frequent there.
 LEAST_TEXTS, LEAST_RATIO = 3, 4.0
 #: Word beginnings, in bytes, that are entries beside whole words.
@@ -162,10 +162,22 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     return post, share
 
 
-def fit(rows: DataFrame) -> Model:
-    """Fit on labelled ``rows`` (doc_id, text, toxic 0/1)."""
-    rows = rows.where("toxic IS NOT NULL").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")
+def sampled_labels(labels: DataFrame) -> DataFrame:
+    """At most ``FIT_ROWS`` labels (doc_id, toxic 0/1), one for each id: the smallest hashes."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    steps = 1 << 20
+    share = FIT_ROWS / max(known.count(), 1)
+    if share < 1:
+        # the limit only cuts what the hashes leave over the bound
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(share * steps)).limit(FIT_ROWS)
+    return known
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(sampled_labels(labels)), "doc_id"
     )
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = sizes["n"], sizes["t"]
@@ -198,12 +210,9 @@ def fit(rows: DataFrame) -> Model:
                 ["toxic", "hits", "marks"],
             )
 
-    share = FIT_ROWS / max(n, 1)
-    sample = rows
-    if share < 1:
-        # the smallest hashes of the id; the limit only bounds rounding and repeated ids
-        sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(FIT_ROWS)
-    got = sample.mapInArrow(seen, "toxic int, hits array<int>, marks array<double>").toPandas()
+    # repeated ids could bring more rows than labels
+    hits = rows.mapInArrow(seen, "toxic int, hits array<int>, marks array<double>")
+    got = hits.limit(FIT_ROWS).toPandas()
     y = got["toxic"].to_numpy(float)
     size = [len(x) for x in got["hits"]]
     of = np.repeat(np.arange(len(got)), size)
