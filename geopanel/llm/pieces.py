@@ -7,13 +7,17 @@ dictionary lookup; a new one goes through the tokenizers library.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 #: Units that a task remembers; beyond them it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: A line break as byte-level pre-tokenizers write it (fixed).
+LINE_BREAK = "\u010a"
 
 #: Unicode white space; the fixed set that ``\\s`` means in the tokenizer files.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -59,16 +63,48 @@ class Units:
             out += ids
         return out
 
+    def encode_all(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit.
+
+        Without a normalizer, units that are one word (with its blank) go
+        through the pre-tokenizer together, a line break before each: it is a
+        pre-token of its own there.
+        """
+        if self.tokenizer.normalizer is not None:
+            return [self.encode(u) for u in units]
+        words = [u for u in units if not u[-1].isspace() and not any(s in u for s in self.special)]
+        ids: dict[str, list[int]] = {}
+        known, tokenize = self.known, self.tokenizer.model.tokenize
+        for i in range(0, len(words), 10_000):
+            some = words[i : i + 10_000]
+            out: list[list[int]] = []
+            for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("".join(["\n" + u for u in some])):
+                if token == LINE_BREAK:
+                    out.append([])
+                    continue
+                got = known.get(token)
+                if got is None:
+                    got = known[token] = [x.id for x in tokenize(token)]
+                out[-1] += got
+            if len(out) != len(some):
+                raise ValueError("the pre-tokenizer does not split at line breaks")
+            ids.update(zip(some, out))
+        return [ids[u] if u in ids else self.encode(u) for u in units]
+
     def numbers(self, units: list) -> np.ndarray:
-        """A number for each unit (str, or UTF-8 bytes); new units are encoded."""
+        """A number for each unit (str, or UTF-8 bytes) of a block; new units are encoded."""
         if len(self.number) > REMEMBERED:
             self.forget()
         have, number = len(self.number), self.number
         add = number.setdefault
         out = np.array([add(u, len(number)) for u in units], np.int64)
         if len(number) > have:
-            new = list(number)[have:]
-            ids = [self.encode(u.decode() if isinstance(u, bytes) else u) for u in new]
+            new = list(islice(reversed(number), len(number) - have))[::-1]
+            gc.disable()  # only lists of numbers are made here
+            try:
+                ids = self.encode_all([u.decode() if isinstance(u, bytes) else u for u in new])
+            finally:
+                gc.enable()
             size = np.array([len(x) for x in ids], np.int64)
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
             self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.uint32)])

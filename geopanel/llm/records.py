@@ -146,11 +146,15 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> list:
             done.append((part, len(done), uri, n, ids, size))
 
         for block in blocks(batches):
-            for doc_id, text in zip(block.column(0).to_pylist(), text_array(block).to_pylist()):
-                if any(s in text for s in units.special):
-                    ids = np.array(units.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                else:
-                    ids = units.ids(units.numbers(BLANK_LED.findall(text)))
+            texts = text_array(block).to_pylist()
+            cut = [[] if any(s in t for s in units.special) else BLANK_LED.findall(t) for t in texts]
+            numbers = units.numbers([u for doc in cut for u in doc])
+            ends = np.cumsum([0, *map(len, cut)])
+            for k, doc_id in enumerate(block.column(0).to_pylist()):
+                if cut[k]:
+                    ids = units.ids(numbers[ends[k] : ends[k + 1]])
+                else:  # empty, or with the text of an added token
+                    ids = np.array(units.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
                 if writer is None:
                     writer = Writer(f"{folder}/part-{part:06d}-{len(done):04d}-{attempt}.rec", dtype)
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))
@@ -165,7 +169,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> list:
             pa.schema([(n, pa.string() if n == "path" else pa.int64()) for n in names]),
         )
 
-    return ordered.mapInArrow(encode, MANIFEST).orderBy("part", "file").collect()
+    # sorted here: a sort in Spark would sample its input, and so run the tasks twice
+    return sorted(ordered.mapInArrow(encode, MANIFEST).collect(), key=lambda r: (r["part"], r["file"]))
 
 
 def read(spark: SparkSession, manifest: list) -> DataFrame:

@@ -37,11 +37,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id") ->
         for part in blocks(batches):
             data, at = raw(text_array(part))
             text = data.tobytes()
-            counts = np.zeros(part.num_rows, np.int64)
-            for k in range(part.num_rows):
-                frequency = Counter(text[at[k] : at[k + 1]].split())
-                pieces = units.sizes(units.numbers(list(frequency)))
-                counts[k] = np.dot(pieces, np.fromiter(frequency.values(), np.int64, len(frequency)))
+            frequency = [Counter(text[at[k] : at[k + 1]].split()) for k in range(part.num_rows)]
+            pieces = units.sizes(units.numbers([u for f in frequency for u in f]))
+            times = np.array([n for f in frequency for n in f.values()], np.int64)
+            sums = np.concatenate([[0], np.cumsum(pieces * times)])
+            counts = np.diff(sums[np.cumsum([0, *map(len, frequency)])])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.diff(at)), pa.array(counts)], schema.names
             )
