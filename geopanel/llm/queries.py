@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import checkpoint_dir
 
-from . import langid, quality, records, shards, token_counts, toxicity
+from . import langid, neardup, quality, records, shards, token_counts, toxicity
 
 #: The id that ends each document in the record files.
 END_ID = 2
@@ -28,6 +28,12 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
+def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are similar."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base columns and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,6 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_superminhash_dedup": op2_superminhash_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_consistent_shards": op6_consistent_shards,
     "op7_token_counts": op7_token_counts,
