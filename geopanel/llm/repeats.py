@@ -303,7 +303,7 @@ def _halved(texts: DataFrame, length: int) -> DataFrame:
             cores, fulls, complete = [], [], []
             for left, stretch, o, w in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 # window at distance x from the anchor starts at left - x
-                core = stretch[max(0, left - o) : left - (o + w - 1) + length]
+                core = stretch[left - o : max(left - o, left - (o + w - 1) + length)]
                 full = stretch[max(0, left - (o + w - 1)) : left - o + length]
                 whole = left - (o + w - 1) >= 0 and left - o + length <= len(stretch)
                 cores.append(hashlib.blake2b(core, digest_size=16).digest())
@@ -324,7 +324,9 @@ def _halved(texts: DataFrame, length: int) -> DataFrame:
         rows = materialize(open_.mapInArrow(hashed, f"{columns}, core binary, full binary"), "halves")
         where = ["anchor", "o", "core"]
         cores = rows.groupBy(where).agg(F.count("*").alias("cores")).where("cores > 1")
-        fulls = rows.where("full IS NOT NULL").groupBy("anchor", "o", "full").agg(F.count("*").alias("fulls"))
+        fulls = rows.where("full IS NOT NULL").groupBy("anchor", "o", "full").agg(
+            F.count("*").alias("fulls"), F.min("whole").alias("keeper")
+        )
         rows = rows.join(cores, where).join(fulls.where("fulls > 1"), ["anchor", "o", "full"], "left")
         rows = materialize(rows.drop("core", "full"), "halves")
         found = rows.where("fulls > 1").select(
@@ -336,7 +338,8 @@ def _halved(texts: DataFrame, length: int) -> DataFrame:
             break
         halves = F.explode(F.array(F.col("o"), F.col("o") + width))
         open_ = (
-            rows.where("fulls IS NULL")
+            # of equal ranges one goes on, for others to be compared with
+            rows.where("fulls IS NULL OR whole = keeper")
             .select("anchor", "whole", "left", "stretch", halves.alias("o"), F.lit(width).cast("long").alias("w"))
             # halves with a window in the stretch
             .where((F.col("o") <= F.col("left")) & (F.col("left") - F.col("o") - F.col("w") + 1 + length <= F.length("stretch")))
