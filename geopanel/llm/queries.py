@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import checkpoint_dir
 
-from . import langid, neardup, quality, records, repeats, shards, token_counts, toxicity
+from . import decontaminate, langid, neardup, quality, records, repeats, shards, token_counts, toxicity
 
 #: The id that ends each document in the record files.
 END_ID = 2
@@ -40,6 +40,12 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base columns and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_superminhash_dedup": op2_superminhash_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_consistent_shards": op6_consistent_shards,
     "op7_token_counts": op7_token_counts,
