@@ -1,36 +1,92 @@
-"""A training corpus from raw documents: five stages, each one an operator of ``geopanel.llm``."""
+"""A training corpus from raw documents: five stages, each one an operator of ``geopanel.llm``.
+
+Every stage works on all rows that its predecessor kept. All but the last
+return the columns of the documents table.
+"""
 
 from __future__ import annotations
 
-import geopanel
+import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopanel.llm import langid
-from geopanel.skew import materialize
+import geopanel
+from geopanel.llm import decontaminate, langid, neardup, repeats, spm
+from geopanel.skew import join_bounded, materialize
 
 # ship the package with the tasks, so workers need no installed copy
 cloudpickle.register_pickle_by_value(geopanel)
 
-#: Columns of the documents table, which every stage but the last returns.
+#: Columns of the documents table.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that goes wherever it repeats: fifty words of the shortest usual kind.
+PASSAGE = 256
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``rejected`` (doc_id, text_hash) names; texts are not shuffled if it is small."""
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    return join_bounded(hashed, rejected.distinct(), ["doc_id", "text_hash"], "left_anti", null_safe=True).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what has no identifiable language (no text, no letters, no known n-gram); keep all else."""
-    model = langid.fit(docs)
-    found = langid.predict(docs, model, COLUMNS)
+    """Drop what has no identifiable language: no text, no letters, or no n-gram that any language has."""
+    found = langid.predict(docs.select(*COLUMNS), langid.fit(docs), COLUMNS)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
 
 
-STAGES = [("language", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group that shares 0.8 of its 5-word shingles."""
+    found = materialize(neardup.near_duplicates(docs.select("doc_id", "text")), "groups")
+    return _without(docs, found.where("NOT kept").select("doc_id", "text_hash"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out passages that also occur elsewhere; a document of nothing else goes."""
+    kept = repeats.without_repeats(docs.select("doc_id", "text"), PASSAGE)
+    cut = kept.where("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
+    cut = materialize(cut, "passages")
+    hashed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    same = ["doc_id", "text_hash"]
+    untouched = join_bounded(hashed, cut.select(*same), same, "left_anti", null_safe=True).select(*COLUMNS)
+    # rows with cuts, and their cuts: both are as large as what repeats
+    touched = join_bounded(hashed, cut.select(*same), same, "left_semi", null_safe=True).drop("text")
+    right = cut.withColumnsRenamed({k: f"_{k}" for k in same})
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))
+    changed = touched.join(right, on).where("trim(kept_text) <> ''").withColumn("text", F.col("kept_text"))
+    changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return untouched.unionByName(changed.select(*COLUMNS))
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item, verbatim or re-parameterised."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(docs.select("doc_id", "text"), items)
+    return _without(docs, materialize(found.select("doc_id", "text_hash").distinct(), "contaminated"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, with what decoding them gives."""
+    vocabulary = spm.load(public_tokenizers.path("piece_bpe_32k.model"))
+    done = spm.encoded(docs, vocabulary, ["doc_id", "lang", "source"])
+    return done.withColumn("n_pieces", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_items", benchmark_items),
+    ("pieces", pieces),
+]
 
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; every result is written and read again by the next stage."""
+    """All stages in turn; every result is written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
