@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import checkpoint_dir
 
-from . import decontaminate, langid, neardup, quality, records, repeats, shards, token_counts, toxicity
+from . import decontaminate, langid, neardup, quality, records, repeats, shards, spm, token_counts, toxicity
 
 #: The id that ends each document in the record files.
 END_ID = 2
@@ -28,6 +28,16 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether decoding gives the text back."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = spm.load(public_tokenizers.path("piece_bpe_32k.model"))
+    done = spm.encoded(docs, vocabulary, ["doc_id"])
+    return done.select(
+        "doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "decoded_crc32", "round_trip"
+    )
+
+
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are similar."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
@@ -80,7 +90,8 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as record files in the shared folder, and what reading them back gives."""
     folder = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    manifest = records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, END_ID)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = records.write(docs, path, folder, END_ID, public_tokenizers.PATTERN)
     return records.read(spark, manifest)
 
 
@@ -102,6 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_superminhash_dedup": op2_superminhash_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_template_decontamination": op4_template_decontamination,
