@@ -14,7 +14,7 @@ share such a string and each bucket is sorted on its own:
    count: beyond one, all their windows repeat. Only the texts of different
    stretches with one anchor travel.
 3. Buckets are gathered into blocks of bounded size and the suffixes of a block
-   are sorted by their first bytes; long ties are settled by ranks of a
+   are sorted by their first and last bytes; long ties are settled by ranks of a
    difference cover: for any two suffixes there is a shift below ``COVER`` that
    takes both to sampled positions, whose ranks to depth ``length - COVER``
    were computed once by doubling. Equal neighbours are repeats.
@@ -213,14 +213,14 @@ def repeated_windows(data: np.ndarray, windows: np.ndarray, length: int) -> np.n
     """Which of the ``length``-byte strings at ``windows`` are equal to another one of them."""
     padded = np.concatenate([data, np.zeros(COVER, np.uint8)])
     word = np.ndarray((len(data),), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    # the bucket sort: first machine word; a suffix alone with it is done
-    head = np.unique(word[windows], return_inverse=True)[1]
-    open_ = np.bincount(head)[head] > 1
+    # the bucket sort: first and last machine word; a string alone with them is done
+    ends = _dense(word[windows], word[windows + length - COVER])
+    open_ = np.bincount(ends)[ends] > 1
     out = np.zeros(len(windows), bool)
     if not open_.any():
         return out
     rank = cover_ranks(word, length - COVER)
-    at, head = windows[open_], head[open_].astype(np.int64)
+    at, ends = windows[open_], ends[open_]
     residue = at % COVER
     members = [np.flatnonzero(residue == r) for r in range(COVER)]
     place = np.zeros(len(at), np.int64)
@@ -231,11 +231,12 @@ def repeated_windows(data: np.ndarray, windows: np.ndarray, length: int) -> np.n
             if not len(members[s]):
                 continue
             shift = SHIFT[r][s]
-            mine = head[members[r]] << 32 | rank[at[members[r]] + shift]
-            theirs = np.sort(head[members[s]] << 32 | rank[at[members[s]] + shift])
+            mine = ends[members[r]] << 32 | rank[at[members[r]] + shift]
+            theirs = np.sort(ends[members[s]] << 32 | rank[at[members[s]] + shift])
             place[members[r]] += np.searchsorted(theirs, mine)
-    # the order of the block's suffixes: place, then the last machine word
-    final = _dense(place, word[at + length - COVER])
+    # `place` counts the smaller strings of the block: equal strings share it. What a shift
+    # compares beyond the last machine word's start is equal in a bucket.
+    final = np.unique(place, return_inverse=True)[1]
     out[open_] = np.bincount(final)[final] > 1
     return out
 
