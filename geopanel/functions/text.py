@@ -81,10 +81,26 @@ def split_coordinates(text: Column) -> tuple[Column, Column]:
 
 
 def softmax(logits: Column) -> Column:
-    """Softmax of an array of doubles, shifted by its maximum."""
-    powers = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(powers, lambda v: v / total)
+    """Softmax of an array of doubles, shifted by its maximum.
+
+    One-element arrays bind the array, its maximum and its total, so that each
+    is computed once and the work is linear in the classes.
+    """
+    bound = F.transform(F.array(F.struct(logits.alias("v"), F.array_max(logits).alias("top"))), _powers)
+    return F.element_at(F.transform(bound, _shares), 1)
+
+
+def _powers(s: Column) -> Column:
+    powers = F.transform(s["v"], lambda v: F.exp(v - s["top"]))
+    return F.element_at(F.transform(F.array(powers), _with_total), 1)
+
+
+def _with_total(p: Column) -> Column:
+    return F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v).alias("total"))
+
+
+def _shares(s: Column) -> Column:
+    return F.transform(s["p"], lambda v: v / s["total"])
 
 
 def argmax_label(scores: Column, classes: list[str]) -> Column:

@@ -14,11 +14,6 @@ def as_instant(ts: Column) -> Column:
     return ts.cast("timestamp")
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since the epoch, for integer time arithmetic."""
-    return F.unix_micros(as_instant(ts))
-
-
 def floor_hour(ts: Column) -> Column:
     return F.date_trunc("hour", ts)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geopanel.functions.missing import present
 from geopanel.ordered import running_totals
 from geopanel.skew import join_bounded, materialize
 
@@ -34,11 +35,11 @@ def forward_windows(
 
     Returns (user, _t in microseconds, window, rows, posts, mean): ``rows`` is
     how many posts share the instant, ``posts`` and ``mean`` describe the
-    window (NULL values are skipped by the mean). Both come from differences of
+    window (NULL and NaN are skipped by the mean). Both come from differences of
     running totals, one pass for all windows, so the cost does not depend on
     how many posts a window holds. Sums are fixed-point decimals.
     """
-    measure = F.col(value) if value else F.lit(None)
+    measure = present(value) if value else F.lit(None)
     at = F.unix_micros(F.col(timestamp))
     moments = df.groupBy(user, at.alias("_t")).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geopanel.functions.missing import present
 from geopanel.functions.times import floor_hour, weekday_name
 from geopanel.operators.panel import SENTIMENTS, drop_missing, zscore
 from geopanel.ordered import aggregate_with_quantiles
@@ -15,9 +16,10 @@ def group_count(df: DataFrame, keys: list[str], name: str = "count") -> DataFram
 
 
 def agg_mean(column: str, strict: bool = False) -> Column:
-    """Mean that skips NULL, or (``strict``) is NULL as soon as one value is missing."""
-    mean = F.avg(column)
-    return F.when(F.count(column) == F.count(F.lit(1)), mean) if strict else mean
+    """Mean that skips NULL and NaN, or (``strict``) is NULL as soon as one value is missing."""
+    value = present(column)
+    mean = F.avg(value)
+    return F.when(F.count(value) == F.count(F.lit(1)), mean) if strict else mean
 
 
 def group_stats(df: DataFrame, keys: list[str], column: str, **heavy) -> DataFrame:
@@ -29,8 +31,8 @@ def group_stats(df: DataFrame, keys: list[str], column: str, **heavy) -> DataFra
             "count": F.count(F.lit(1)),
             "mean": agg_mean(column),
             "mean_strict": agg_mean(column, strict=True),
-            "min": F.min(column),
-            "max": F.max(column),
+            "min": F.min(present(column)),
+            "max": F.max(present(column)),
         },
         {"median": (column, 0.5)},
         **heavy,
@@ -43,11 +45,11 @@ def summarize_columns(df: DataFrame, columns: list[str], keys: list[str] | None
     plain, quantiles = {}, {}
     for c in columns:
         plain |= {
-            f"{c}|min": F.min(c),
-            f"{c}|mean": F.avg(c),
-            f"{c}|max": F.max(c),
-            f"{c}|sd": F.stddev_samp(c),
-            f"{c}|missing": F.count_if(F.col(c).isNull()),
+            f"{c}|min": F.min(present(c)),
+            f"{c}|mean": F.avg(present(c)),
+            f"{c}|max": F.max(present(c)),
+            f"{c}|sd": F.stddev_samp(present(c)),
+            f"{c}|missing": F.count_if(present(c).isNull()),
         }
         quantiles |= {f"{c}|q1": (c, 0.25), f"{c}|median": (c, 0.5), f"{c}|q3": (c, 0.75)}
     wide = aggregate_with_quantiles(df, keys, plain, quantiles, **heavy)
@@ -196,8 +198,4 @@ def event_study(df: DataFrame, start: str, stop: str, where: Column, date: str =
 
 def sentiment_means(df: DataFrame, columns: list[str]) -> DataFrame:
     """Whole-table means of several columns."""
-    return df.agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("posts"))
-
-
-def hours(ts: Column) -> Column:
-    return floor_hour(ts)
+    return df.agg(*[F.avg(present(c)).alias(c) for c in columns], F.count(F.lit(1)).alias("posts"))

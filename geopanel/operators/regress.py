@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geopanel.functions.bins import bin_labels
-from geopanel.skew import SALTS, flag_heavy, heavy_keys, materialize
+from geopanel.skew import SALTS, discard, flag_heavy, heavy_keys, materialize
 
 COEFFICIENTS = T.StructType(
     [
@@ -213,6 +213,10 @@ def two_stage_ls(
     )
 
 
+class NotConverged(RuntimeError):
+    """The fixed effects could not be swept out to the accuracy asked for."""
+
+
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -248,6 +252,9 @@ def fe_regression(
        checkpoint folder.
     3. The Gram matrix of the swept variables goes to the driver.
 
+    A fit that has not reached ``tol`` after ``max_rounds``, or whose search
+    breaks down, raises :class:`NotConverged`; there are no half-swept results.
+
     Standard errors are clustered on one or two variables (V_a + V_b - V_ab),
     or classical without ``cluster``. ``small_sample`` applies (n-1)/(n-K), not
     counting effects that equal a cluster variable, and G/(G-1) with the
@@ -400,7 +407,7 @@ def _absorb(
         F.sum(w).alias("weight"),
         *[F.sum(w * F.pow(F.col(f"x_{c}") - F.col(f"u_{c}"), 2)).alias(f"rr_{c}") for c in columns],
     )
-    state = materialize(start, "fe-round")
+    state = state_file = materialize(start, "fe-round")
     sizes = seen.get
     # the variables came in with unit variance, so the total weight is their size
     limit = {c: tol * tol * sizes["weight"] for c in columns}
@@ -427,11 +434,16 @@ def _absorb(
             *[F.expr(f"sum(w * {a}_{c} * {b}_{c}) AS {a}{b}_{c}") for c in columns for a, b in products],
         )
         image = materialize(image, "fe-round")
+        discard(state_file)
+        state_file = image
         got = seen.get
         pick: dict[str, Column] = {}
         for c in columns:
             rr, pu, ru, uu = (got[f"{a}{b}_{c}"] for a, b in products)
-            step = rr / pu if pu > 0 and left[c] > limit[c] else 0.0
+            open_ = left[c] > limit[c]
+            if open_ and not pu > 0:
+                raise NotConverged(f"the search broke down in round {rounds}: {rr} left, {limit[c]} allowed")
+            step = rr / pu if open_ else 0.0
             after = max(rr - 2 * step * ru + step * step * uu, 0.0)
             turn = after / rr if rr > 0 and step else 0.0
             left[c] = after if step else min(left[c], limit[c])
@@ -440,6 +452,9 @@ def _absorb(
             pick[f"r_{c}"] = residual
             pick[f"p_{c}"] = residual + F.lit(turn) * F.col(f"p_{c}")
         state = renamed(image, pick)
+    if any(left[c] > limit[c] for c in columns):
+        worst = max(left[c] / limit[c] for c in columns)
+        raise NotConverged(f"{rounds} rounds left {worst:.3g} times the error allowed")
     out = state.select(*[k for k in keys if k not in _salts(effects)], *[F.col(f"x_{c}").alias(c) for c in columns])
     return out, rounds
 

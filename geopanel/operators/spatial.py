@@ -98,9 +98,34 @@ def spatial_join_points(
     return points.join(found, F.col(id_column) == F.col("_id"), "left").drop("_id")
 
 
-def attach_timezone(points: DataFrame, zones: DataFrame, zone: str = "tzid", **joining) -> DataFrame:
-    """Name of the time zone every point lies in."""
-    return spatial_join_points(points, zones, [zone], **joining)
+def attach_timezone(
+    points: DataFrame,
+    zones: DataFrame,
+    zone: str = "tzid",
+    lon: str = "lon",
+    lat: str = "lat",
+    tile: float = 0.5,
+    **joining,
+) -> DataFrame:
+    """Name of the time zone every point lies in, one row per point.
+
+    A point outside all zones, or without coordinates, keeps NULL; on a shared
+    border the smallest name wins. All zones of a tile travel as one row, so
+    every point meets one row at most.
+    """
+    tiles = region_tiles(zones, [zone], tile).groupBy("_tx", "_ty").agg(
+        F.collect_list(F.struct(F.col(zone).alias("_z"), "_e")).alias("_zones")
+    )
+    keyed = points.withColumns(
+        {
+            "_tx": F.floor(F.col(lon) / F.lit(tile)).cast("long"),
+            "_ty": F.floor(F.col(lat) / F.lit(tile)).cast("long"),
+        }
+    )
+    met = join_bounded(keyed, tiles, ["_tx", "_ty"], "left", **joining)
+    inside = F.filter("_zones", lambda z: covers(z["_e"], F.col(lon), F.col(lat)))
+    name = F.array_min(F.transform(inside, lambda z: z["_z"]))
+    return met.withColumn(zone, name).drop("_tx", "_ty", "_zones")
 
 
 def _axis_cells(value: Column, origin: float, step: float, count: int, boundary: str) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geopanel.functions.missing import present
 from geopanel.skew import HEAVY_MAX_KEYS, HEAVY_MIN_ROWS, heavy_keys, match_heavy
 
 QUANTILE_SLICES = 4096
@@ -163,7 +164,7 @@ def spread_quantiles(
     ids = ["_key", "variable"]
     key = F.struct(*(keys or [F.lit(0).alias("_all")])).alias("_key")
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("variable"), present(c).cast("double").alias("value")) for c in columns]
     )
     long = df.select(key, F.inline(pairs)).where(F.col("value").isNotNull())
     values = long.groupBy(*ids, "value").agg(F.count(F.lit(1)).alias("copies"))
@@ -233,7 +234,7 @@ def aggregate_with_quantiles(
     heavy_list = heavy_keys(df, keys, min_rows, max_keys)
     usual = match_heavy(df, heavy_list, keys, "left_anti").groupBy(*keys).agg(
         *[e.alias(n) for n, e in plain.items()],
-        *[F.percentile(F.col(c).cast("double"), exact).alias(f"_q_{c}") for c in columns],
+        *[F.percentile(present(c).cast("double"), exact).alias(f"_q_{c}") for c in columns],
     )
     usual = usual.select(*keys, *plain, *picked({c: F.col(f"_q_{c}") for c in columns}))
     hot = match_heavy(df, heavy_list, keys, "left_semi")

@@ -6,6 +6,9 @@ normal equations, none of the library's slicing, salting or summing.
 
 from __future__ import annotations
 
+from geopanel.functions.text import TOPICS
+from geopanel.operators.panel import SENTIMENTS
+
 ORACLES: dict[str, str] = {}
 
 POSTS = """
@@ -189,12 +192,6 @@ SELECT doc_id, {r6("a")} AS model_negative, {r6("b")} AS model_neutral, {r6("c")
 FROM e""",
 )
 
-# The topic classes, in the order of their columns.
-TOPICS = """arts_&_culture business_&_entrepreneurs celebrity_&_pop_culture diaries_&_daily_life family
-fashion_&_style film_tv_&_video fitness_&_health food_&_dining gaming learning_&_educational music
-news_&_social_concern other_hobbies relationships science_&_technology sports travel_&_adventure
-youth_&_student_life""".split()
-
 TOPIC_ROWS = """logits AS (SELECT doc_id, j, (length(text) * (j + 3) % 11) / 2::DOUBLE AS l FROM documents, range(19) AS t(j)),
 probs AS (SELECT doc_id, j, exp(l) / sum(exp(l)) OVER (PARTITION BY doc_id) AS p FROM logits),
 names AS (SELECT unnest([{names}]) AS name, unnest(range(19)) AS j),
@@ -212,7 +209,7 @@ add(
     "topic_subset",
     f"""WITH {TOPIC_ROWS}
 SELECT doc_id, {r6("p")} AS p, string_split(inside, ',')[1] AS main_label
-FROM probs JOIN labels19 USING (doc_id) WHERE j = 8 AND p > 0.15""",
+FROM probs JOIN labels19 USING (doc_id) WHERE j = 16 AND p > 0.15""",
 )
 add(
     "extract_page_fields",
@@ -401,9 +398,6 @@ add(
     "summary_posts_per_user",
     f"WITH {POSTS}, m AS (SELECT username, count(*)::DOUBLE AS c FROM posts GROUP BY username) SELECT {six('c', 'count')} FROM m",
 )
-SENTIMENTS = ["vader_compound", "roberta_positive", "roberta_negative", "bertweet_positive", "bertweet_negative"]
-
-
 def corr_rows(names: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})')} AS r FROM posts" for a in names for b in names

@@ -218,8 +218,8 @@ def topic_probabilities(spark, sf_dir):
 
 @query
 def topic_subset(spark, sf_dir):
-    kept = score.topic_subset(scored_topics(spark, sf_dir), "food_&_dining", 0.15)
-    return kept.select("doc_id", r6(F.col("`food_&_dining`")).alias("p"), main_topic(F.col("label")).alias("main_label"))
+    kept = score.topic_subset(scored_topics(spark, sf_dir), "sports", 0.15)
+    return kept.select("doc_id", r6(F.col("sports")).alias("p"), main_topic(F.col("label")).alias("main_label"))
 
 
 PAGE_PATTERNS = {

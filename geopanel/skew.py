@@ -6,7 +6,8 @@ side before it broadcasts it) and :func:`materialize` (which writes a table).
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,7 +133,8 @@ def join_bounded(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Only a local session may go without that setting; it uses a folder of its
+    own in the warehouse, which goes when the driver ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -141,7 +143,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="geopanel-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        _local_dirs[context.applicationId] = f"{warehouse}/geopanel-{context.applicationId}"
+        atexit.register(shutil.rmtree, _local_dirs[context.applicationId], ignore_errors=True)
     return _local_dirs[context.applicationId]
 
 
@@ -157,6 +161,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
+    spark = written.sparkSession
+    files = written.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for condition in conditions[1:]:

@@ -26,32 +26,49 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         continue
                     with archive.open(member) as lines:
                         chunk: list[str] = []
+                        first = 0
                         for line in lines:
                             chunk.append(line.decode("utf-8", "replace").rstrip())
                             if len(chunk) == IDS_PER_CHUNK:
-                                yield pd.DataFrame({"archive": path, "file": member, "id": chunk})
+                                yield _rows(path, member, first, chunk)
+                                first += len(chunk)
                                 chunk = []
                         if chunk:
-                            yield pd.DataFrame({"archive": path, "file": member, "id": chunk})
+                            yield _rows(path, member, first, chunk)
+
+
+def _rows(path: str, member: str, first: int, chunk: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"archive": path, "file": member, "line": range(first, first + len(chunk)), "id": chunk})
 
 
 def read_id_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All ids of all zip archives below ``path``: (archive, file, id)."""
+    """All ids of all zip archives below ``path``: (archive, file, line from 0, id)."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.zip")
         .load(path)
     )
-    return files.select("path", "content").mapInPandas(_unzip, "archive string, file string, id string")
+    return files.select("path", "content").mapInPandas(_unzip, "archive string, file string, line long, id string")
 
 
-def batch_ids(ids: DataFrame, file: str, id_column: str, size: int = BATCH, slice_width: int = 1 << 20) -> DataFrame:
-    """Number the lookup batches of every file: ``size`` ids each, in id order.
+def batch_ids(
+    ids: DataFrame,
+    file: str,
+    id_column: str,
+    size: int = BATCH,
+    slice_width: int = 1 << 20,
+    line: str | None = None,
+) -> DataFrame:
+    """Number the lookup batches of every file: ``size`` ids each, in file order or id order.
 
-    ``slice_width`` cuts a file's id range; choose it so that one slice of ids
-    fits a task.
+    With ``line``, the line numbers that :func:`read_id_archives` gives, a
+    batch is plain arithmetic. Without it ids are numbered in their own order;
+    ``slice_width`` then cuts a file's id range, so that one slice of ids fits
+    a task.
     """
+    if line:
+        return ids.withColumn("batch", F.floor(F.col(line) / F.lit(size)))
     placed = row_positions(ids, [file], id_column, slice_width, "_position")
     batch = F.floor((F.col("_position") - 1) / F.lit(size)).alias("batch")
     return placed.select(*ids.columns, batch)

@@ -12,8 +12,7 @@ def strip_tags(html: Column) -> Column:
 
 def first_match(html: Column, pattern: str) -> Column:
     """First capture of ``pattern``, NULL (not empty) when it is missing."""
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    return F.try_element_at(found, F.lit(1))
+    return F.when(F.regexp_like(html, F.lit(pattern)), F.regexp_extract(html, pattern, 1))
 
 
 def all_matches(html: Column, pattern: str, sep: str = "") -> Column:
@@ -29,6 +28,7 @@ POST_FIELDS = {
     "location": r'(?s)<a[^>]*href="/places/[^"]*"[^>]*>\s*<span[^>]*>([^<]*)</span>',
     "text": r'(?s)<div[^>]*\bdata-testid="tweetText"[^>]*>(.*?)</div>',
 }
+POST_ELEMENT = r"(?s)<article\b.*?</article>"
 IMAGE_TEXT = r'(?s)<img[^>]*\balt="([^"]*)"'
 
 
@@ -53,6 +53,22 @@ def extract_post_fields(
     return picked.dropna("any", subset=list(fields))
 
 
+def extract_posts(
+    pages: DataFrame,
+    html: str = "html",
+    element: str = POST_ELEMENT,
+    keep: list[str] | None = None,
+    **fields,
+) -> DataFrame:
+    """One row per post element of a page, numbered by ``post`` from 0 in page order.
+
+    A page may hold any number of posts; elements that lack a field are dropped.
+    """
+    cut = F.posexplode(F.regexp_extract_all(F.col(html), F.lit(element), F.lit(0)))
+    posts = pages.select(*(keep or []), cut.alias("post", "_element"))
+    return extract_post_fields(posts, "_element", keep=[*(keep or []), "post"], **fields)
+
+
 def search_posts(
     posts: DataFrame,
     query: str = "",
