@@ -7,7 +7,8 @@ normal equations, none of the library's slicing, salting or summing.
 from __future__ import annotations
 
 from geopanel.functions.text import TOPICS
-from geopanel.operators.panel import SENTIMENTS
+from geopanel.functions.units import GRID_VARIABLES
+from geopanel.operators.panel import PANEL_MEDIANS, SENTIMENTS
 
 ORACLES: dict[str, str] = {}
 
@@ -30,7 +31,13 @@ posts AS (
          ((k * 13 + 5) % 100) / 101::DOUBLE AS bertweet_negative,
          value / 5.03::DOUBLE AS pm25,
          (event_id * 31 % 400) / 10.3::DOUBLE - 5 AS temperature,
+         (event_id * 17 % 90) / 10.3::DOUBLE AS precipitation,
+         (event_id * 29 % 1000) / 10.3::DOUBLE AS visibility,
          (event_id * 41 % 200) / 10.3::DOUBLE - 10 AS wind_x,
+         (event_id * 43 % 170) / 10.3::DOUBLE - 8 AS wind_y,
+         (event_id * 47 % 300) / 10.3::DOUBLE - 8 AS dewpoint,
+         (event_id * 59 % 20) / 10.3::DOUBLE AS aod550,
+         (event_id * 61 % 1000) / 10.3::DOUBLE AS clouds,
          (2400 + event_id * 53 % 2600) / 100::DOUBLE AS lat,
          (-12500 + event_id * 37 % 5900) / 100::DOUBLE AS lon
   FROM posts0
@@ -51,9 +58,9 @@ RESULT_PANEL = (
     + """,
 raw_panel AS (
   SELECT CNTY_UNIQUE, date, count(*) AS num_tweets, max(temperature) AS temp_max, min(temperature) AS temp_min,
-         quantile_cont(pm25, 0.5) AS pm25, quantile_cont(temperature, 0.5) AS temp_med,
-         quantile_cont(vader_compound, 0.5) AS vader_compound,
-         quantile_cont(roberta_positive, 0.5) AS roberta_positive
+"""
+    + ", ".join(f"quantile_cont({column}, 0.5) AS {name}" for name, column in PANEL_MEDIANS.items())
+    + """
   FROM county_posts WHERE main_label <> '''no_topic''' GROUP BY CNTY_UNIQUE, date
 )"""
 )
@@ -103,7 +110,7 @@ def add(name: str, sql: str) -> None:
 
 # --- panel -----------------------------------------------------------------
 
-MEASURES = ["pm25", "temp_med", "vader_compound", "roberta_positive"]
+MEASURES = list(PANEL_MEDIANS)
 BY_REGION = "PARTITION BY CNTY_UNIQUE"
 
 add(
@@ -485,11 +492,8 @@ add("grid_long", f"WITH {WIDE} SELECT id, {time_text('moment')} AS timestamp, pm
 add("wide_grid_midnight", f"WITH {WIDE} SELECT id, {time_text('moment')} AS timestamp, pm25 FROM wide WHERE slot = 0")
 
 SERIES = f"""{POSTS}, long AS (
-  SELECT id % 20 AS id, date_trunc('day', timestamp) + (hour(timestamp) // 3) * INTERVAL '3 hours' AS moment, pm25, temperature, wind_x FROM posts),
-series AS (
-  SELECT id, 'pm25' AS variable, moment, avg(pm25) AS value FROM long GROUP BY id, moment
-  UNION ALL SELECT id, 'temperature', moment, avg(temperature) FROM long GROUP BY id, moment
-  UNION ALL SELECT id, 'wind_x', moment, avg(wind_x) FROM long GROUP BY id, moment)"""
+  SELECT id % 20 AS id, date_trunc('day', timestamp) + (hour(timestamp) // 3) * INTERVAL '3 hours' AS moment, {", ".join(GRID_VARIABLES)} FROM posts),
+series AS ({" UNION ALL ".join(f"SELECT id, '{v}' AS variable, moment, avg({v}) AS value FROM long GROUP BY id, moment" for v in GRID_VARIABLES)})"""
 HOURLY = f"""{SERIES}, knots AS (SELECT id, variable, moment, value,
     lead(moment) OVER (PARTITION BY id, variable ORDER BY moment) AS nat, lead(value) OVER (PARTITION BY id, variable ORDER BY moment) AS nv FROM series),
 steps AS (SELECT *, unnest(CASE WHEN nat IS NULL THEN [0] ELSE range(CAST(epoch(nat - moment) AS BIGINT) // 3600) END) AS h FROM knots),
@@ -498,7 +502,7 @@ hourly AS (SELECT id, variable, moment + h * INTERVAL '1 hour' AS moment,
 add(
     "grid_units",
     f"""WITH {SERIES} SELECT id, variable, {time_text("moment")} AS timestamp,
-{r6("CASE variable WHEN 'pm25' THEN value / 1e9 * 1e9 WHEN 'temperature' THEN value - 272.15::DOUBLE ELSE value END")} AS value FROM series""",
+{r6("CASE variable WHEN 'pm25' THEN value / 1e9 * 1e9 WHEN 'precipitation' THEN value * 1e3 WHEN 'temperature' THEN value - 272.15::DOUBLE WHEN 'dewpoint' THEN value - 272.15::DOUBLE ELSE value END")} AS value FROM series""",
 )
 add(
     "grid_slice",
@@ -513,9 +517,9 @@ CELL = "CAST(floor((lat - 24) / 6.5) * 5 + floor((lon + 125) / 11.8) AS BIGINT)"
 add(
     "grid_attach",
     f"""WITH {HOURLY}, placed AS (SELECT id, {CELL} AS id_geo, date_trunc('hour', timestamp) AS time_bin FROM posts),
-wide AS (SELECT id AS id_geo, moment, {", ".join(f"max(CASE WHEN variable = '{v}' THEN value END) AS {v}" for v in ["pm25", "temperature", "wind_x"])}
+wide AS (SELECT id AS id_geo, moment, {", ".join(f"max(CASE WHEN variable = '{v}' THEN value END) AS {v}" for v in GRID_VARIABLES)}
   FROM hourly GROUP BY id, moment)
-SELECT p.id, p.id_geo, {", ".join(f"{r6(f'w.{v}')} AS {v}" for v in ["pm25", "temperature", "wind_x"])}
+SELECT p.id, p.id_geo, {", ".join(f"{r6(f'w.{v}')} AS {v}" for v in GRID_VARIABLES)}
 FROM placed p LEFT JOIN wide w ON w.id_geo = p.id_geo AND w.moment = p.time_bin""",
 )
 add("cell_mean", f"WITH {SERIES} SELECT id, {r6('avg(value)')} AS mean_value FROM series WHERE variable = 'pm25' GROUP BY id")

@@ -18,7 +18,7 @@ from geopanel.functions.bins import (
 )
 from geopanel.functions.text import TOPICS, argmax_label, escape_quotes, main_topic, normalize_post
 from geopanel.functions.times import cut_hours, weekday
-from geopanel.functions.units import convert_units
+from geopanel.functions.units import GRID_VARIABLES, convert_units
 from geopanel.operators import bots, describe, panel, regress, score, smooth, spatial, weather
 from geopanel.plans import standins as src
 from geopanel.sources import archives, grids, pages
@@ -56,7 +56,7 @@ def text_date(name: str) -> Column:
 
 # --- panel -----------------------------------------------------------------
 
-MEDIANS = {"pm25": "pm25", "temp_med": "temperature", "vader_compound": "vader_compound", "roberta_positive": "roberta_positive"}
+MEDIANS = panel.PANEL_MEDIANS
 
 
 def topical_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -605,7 +605,7 @@ def grid_attach(spark, sf_dir):
     hourly = weather.interpolate_linear(src.grid_series(spark, sf_dir), ["id", "variable"])
     rows = src.posts(spark, sf_dir).select("id", "lon", "lat", F.date_trunc("hour", "timestamp").alias("time_bin"))
     placed = spatial.assign_grid_cell(rows, src.GRID)
-    names = ["pm25", "temperature", "wind_x"]
+    names = GRID_VARIABLES
     joined = weather.attach_grid_variables(placed, hourly, names, spread=["id"])
     return rounded(joined.select("id", "id_geo", *names), names)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopanel.functions.units import GRID_VARIABLES
 from geopanel.operators.spatial import Grid
 from geopanel.sources.regions import read_regions
 
@@ -138,7 +139,7 @@ def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(
                 *[
                     F.struct(F.lit(v).alias("variable"), F.col(v).alias("value"))
-                    for v in ("pm25", "temperature", "wind_x")
+                    for v in GRID_VARIABLES
                 ]
             )
         ),
