@@ -641,7 +641,9 @@ a AS (SELECT y - x * (sum(x * y) OVER () / sum(x * x) OVER ()) AS y, e - x * (su
    z1 - x * (sum(x * z1) OVER () / sum(x * x) OVER ()) AS z1, z2 - x * (sum(x * z2) OVER () / sum(x * x) OVER ()) AS z2 FROM d),
 b AS (SELECT y, e, z1, z2 - z1 * (sum(z1 * z2) OVER () / sum(z1 * z1) OVER ()) AS z2 FROM a),
 f AS (SELECT y, e, z1 * (sum(z1 * e) OVER () / sum(z1 * z1) OVER ()) + z2 * (sum(z2 * e) OVER () / sum(z2 * z2) OVER ()) AS fit FROM b)
-SELECT 'y' AS outcome, 'endog' AS term, {r6("sum(fit * y) / sum(fit * e)")} AS estimate, count(*) AS n FROM f""",
+SELECT 'y' AS outcome, 'endog' AS term, {r6("sum(fit * y) / sum(fit * e)")} AS estimate,
+   {r6("sqrt((sum(y * y) - 2 * sum(fit * y) / sum(fit * e) * sum(y * e) + pow(sum(fit * y) / sum(fit * e), 2) * sum(e * e)) / (count(*) - 3) / sum(fit * fit))")} AS se,
+   count(*) AS n FROM f""",
 )
 add("fe_oneway", f"""WITH {ORDERS} {oneway("op", "y", "x1", "nation")} UNION ALL {oneway("op", "z2", "x1", "nation")}""")
 
@@ -679,8 +681,14 @@ def sweeps(first: str, effects: list[str], columns: list[str], rounds: int) -> s
 
 add(
     "fe_multiway",
-    f"""WITH {ORDERS}, {sweeps("op", ["nation", "date"], ["y", "x1"], 40)}
-SELECT 'y' AS outcome, 'x1' AS term, {r6("sum(w * x1 * y) / sum(w * x1 * x1)")} AS estimate, count(*) AS n FROM swept""",
+    f"""WITH {ORDERS}, {sweeps("op", ["nation", "date"], ["y", "x1"], 40)},
+fit AS (SELECT sum(w * x1 * y) / sum(w * x1 * x1) AS b, sum(w * x1 * x1) AS xx, count(*) AS n,
+   least(count(DISTINCT nation), count(DISTINCT date)) AS g FROM swept),
+u AS (SELECT nation, date, sum(w * x1 * (y - b * x1)) AS u FROM swept, fit GROUP BY nation, date),
+v AS (SELECT (SELECT sum(s * s) FROM (SELECT sum(u) AS s FROM u GROUP BY nation))
+   + (SELECT sum(s * s) FROM (SELECT sum(u) AS s FROM u GROUP BY date)) - (SELECT sum(u * u) FROM u) AS v)
+SELECT 'y' AS outcome, 'x1' AS term, {r6("b")} AS estimate,
+   {r6("sqrt(v / (xx * xx) * g / (g - 1)::DOUBLE * (n - 1) / (n - 2)::DOUBLE)")} AS se, n FROM fit, v""",
 )
 
 
@@ -716,8 +724,12 @@ add(
 
 
 def subset(name: str, where: str) -> str:
-    return f"""SELECT '{name}' AS subset, 'y' AS outcome, 'x1' AS term, {r6("sum(x * y) / sum(x * x)")} AS estimate, count(*) AS n FROM (
-  SELECT y - avg(y) OVER (PARTITION BY nation) AS y, x1 - avg(x1) OVER (PARTITION BY nation) AS x FROM op WHERE {where})"""
+    return f"""SELECT '{name}' AS subset, 'y' AS outcome, 'x1' AS term, {r6("any_value(b)")} AS estimate,
+   {r6("sqrt(sum(u * u) / any_value(xx * xx) * count(*) / (count(*) - 1)::DOUBLE * any_value((n - 1) / (n - 2)::DOUBLE))")} AS se, any_value(n) AS n
+FROM (SELECT nation, sum(x * (y - b * x)) AS u, any_value(b) AS b, any_value(xx) AS xx, any_value(n) AS n FROM (
+  SELECT *, sum(x * y) OVER () / sum(x * x) OVER () AS b, sum(x * x) OVER () AS xx, count(*) OVER () AS n FROM (
+    SELECT nation, y - avg(y) OVER (PARTITION BY nation) AS y, x1 - avg(x1) OVER (PARTITION BY nation) AS x FROM op WHERE {where}))
+  GROUP BY nation)"""
 
 
 add(

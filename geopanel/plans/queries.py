@@ -715,7 +715,7 @@ def ols_absorb_instant(spark, sf_dir):
 def two_stage_ls(spark, sf_dir):
     fit = regress.two_stage_ls(src.order_panel(spark, sf_dir), ["y"], ["endog"], ["x1"], ["z1", "z2"])
     table = fit.table(spark).where(F.col("term") == "endog")
-    return rounded(table, ["estimate"]).select("outcome", "term", "estimate", "n")
+    return rounded(table, ["estimate", "se"]).select("outcome", "term", "estimate", "se", "n")
 
 
 @query
@@ -737,7 +737,60 @@ def fe_multiway(spark, sf_dir):
     fit = regress.fe_regression(
         rows, ["y"], ["x1"], ["nation", "date"], cluster=["nation", "date"], weights="weight"
     )
-    return rounded(fit.table(spark), FIT).select("outcome", "term", "estimate", "n")
+    return rounded(fit.table(spark), FIT).select("outcome", "term", "estimate", "se", "n")
+
+
+@query
+def fe_main(spark, sf_dir):
+    """All outcomes on the standardised panel: three effects, count weights, two-way clusters."""
+    rows = regress.with_squares(panel.build_panel(topical_posts(spark, sf_dir)), ["temp_med"])
+    fit = regress.fe_regression(
+        rows,
+        panel.SENTIMENTS,
+        ["pm25", "temp_med", "temp_med_sq", "precip", "visibility"],
+        ["CNTY_UNIQUE", "date", "day"],
+        cluster=["CNTY_UNIQUE", "date"],
+        weights="num_tweets",
+    )
+    return rounded(fit.table(spark), FIT).select("outcome", "term", *FIT, "n")
+
+
+POST_TERMS = ["pm25", "temperature", "temperature_sq", "precipitation", "visibility"]
+
+
+def individual_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topical_posts(spark, sf_dir).withColumn("day", F.dayofweek("date"))
+    return regress.with_squares(rows, ["temperature"])
+
+
+@query
+def fe_individual(spark, sf_dir):
+    """All outcomes post by post: also user and topic effects."""
+    fit = regress.fe_regression(
+        individual_posts(spark, sf_dir),
+        panel.SENTIMENTS,
+        POST_TERMS,
+        ["CNTY_UNIQUE", "date", "day", "username", "main_label"],
+        cluster=["CNTY_UNIQUE", "date"],
+    )
+    return rounded(fit.table(spark), FIT).select("outcome", "term", *FIT, "n")
+
+
+@query
+def robustness_posts(spark, sf_dir):
+    """The post-level fit for bots, without two states, and for one topic, clustered by county."""
+    rows = individual_posts(spark, sf_dir)
+    busy = bots.burst_users(rows, posts=2, seconds=600).select("username").withColumn("_bot", F.lit(True))
+    marked = rows.join(busy, "username", "left")
+    subsets = {
+        "bots": F.col("_bot").isNotNull(),
+        "without_two": ~F.col("STATE_NAME").isin("AFRICA", "ASIA"),
+        "topic": F.col("main_label") == "'click'",
+    }
+    table = regress.robustness_suite(
+        marked, subsets, panel.SENTIMENTS, POST_TERMS, ["CNTY_UNIQUE", "date"], cluster=["CNTY_UNIQUE"]
+    )
+    return rounded(table, FIT).select("subset", "outcome", "term", *FIT, "n")
 
 
 def bin_fit(spark: SparkSession, sf_dir: str) -> regress.Fit:
@@ -758,6 +811,15 @@ def coef_table(spark, sf_dir):
     return rounded(table, FIT).select("outcome", "interval", "position", "estimate", "n")
 
 
+@query
+def smoothed_coefs(spark, sf_dir):
+    """The bin coefficients and their limits as smooth curves over the intervals, the zero row included."""
+    table = regress.coef_table(bin_fit(spark, sf_dir), spark, "pm25_cat", POLLUTION_BREAKS)
+    series = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("value")) for c in ("estimate", "ci_low", "ci_high")])
+    points = table.select("outcome", "position", F.inline(series))
+    return rounded(smooth.loess_by_group(points, ["outcome", "series"], "position", "value"), ["value", "smooth"])
+
+
 @query
 def robustness_suite(spark, sf_dir):
     rows = src.order_panel(spark, sf_dir)
@@ -767,7 +829,7 @@ def robustness_suite(spark, sf_dir):
         "without_two": ~F.col("nation").isin(3, 7),
     }
     table = regress.robustness_suite(rows, subsets, ["y"], ["x1"], ["nation"], cluster=["nation"])
-    return rounded(table, FIT).select("subset", "outcome", "term", "estimate", "n")
+    return rounded(table, FIT).select("subset", "outcome", "term", "estimate", "se", "n")
 
 
 @query

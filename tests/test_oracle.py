@@ -17,6 +17,11 @@ TABLES = (
 # the written-out sweeps of the SQL side have not settled at this scale
 LOOSE = {"fe_multiway": 1e-5}
 
+# t quantiles and larger inverses: held against numpy in test_regress.py
+WITHOUT_SQL = {"fe_main", "fe_individual", "robustness_posts", "smoothed_coefs"}
+# rows that are empty at the smallest scale for a reason
+MAY_BE_EMPTY: set[str] = set()
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -29,7 +34,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_query_without_sql_has_rows(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and all(v is not None and v == v for r in rows for v in r)
 
 
 def close(a, b, tol):
@@ -50,5 +61,6 @@ def test_query(spark, duck, name):
     key = lambda r: tuple((v is None, round(v, 3) if isinstance(v, float) else 0, str(v)) for v in r)
     got, want = sorted(got, key=key), sorted(want, key=key)
     assert len(got) == len(want)
+    assert got or name in MAY_BE_EMPTY
     tol = LOOSE.get(name, 2e-6)
     assert all(close(a, b, tol) for x, y in zip(got, want) for a, b in zip(x, y))
