@@ -16,7 +16,7 @@ from geopanel.functions.missing import present
 from geopanel.skew import HEAVY_MAX_KEYS, HEAVY_MIN_ROWS, heavy_keys, match_heavy
 
 QUANTILE_SLICES = 4096
-QUANTILE_LEVELS = 2
+QUANTILE_LEVELS = 3
 
 
 def running_totals(
@@ -106,7 +106,9 @@ def select_ranks(values: DataFrame, keys: list[str], targets: DataFrame) -> Data
     Returns (keys, probe, value, below): the value at that rank and the number
     of smaller rows. Each level splits the interval still in question into equal
     parts, counts them with map-side combine and keeps the part that holds the
-    rank, so no task sorts more than the last, tiny interval.
+    rank. The first split is by order of magnitude, so far outliers and infinite
+    values do not spoil it; after three levels an interval is about 1e-11 of
+    the value wide, and that is all a task ever sorts.
     """
     ids = [*keys, "probe"]
     span = values.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -127,12 +129,21 @@ def _in_question(values: DataFrame, keys: list[str], state: DataFrame) -> DataFr
     return values.join(F.broadcast(state), keys).where(inside)
 
 
+def _magnitude(value: Column) -> Column:
+    """A finite number that never falls as ``value`` rises: its signed order of magnitude."""
+    size = F.abs(value.cast("double"))
+    top = F.when(size == float("inf"), F.lit(2000.0)).otherwise(F.ln(size) + 750.0)
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(value.cast("double")) * top)
+
+
 def _narrow(values: DataFrame, keys: list[str], ids: list[str], state: DataFrame) -> DataFrame:
-    part = F.floor(
-        (F.col("value") - F.col("lo")).cast("double")
-        / F.nullif((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0))
-        * F.lit(float(QUANTILE_SLICES))
-    )
+    wide = _magnitude(F.col("hi")) - _magnitude(F.col("lo")) > 1
+
+    def scaled(name: str) -> Column:
+        return F.when(wide, _magnitude(F.col(name))).otherwise(F.col(name).cast("double"))
+
+    reach = F.nullif(scaled("hi") - scaled("lo"), F.lit(0.0))
+    part = F.floor((scaled("value") - scaled("lo")) / reach * F.lit(float(QUANTILE_SLICES)))
     part = F.coalesce(F.least(part, F.lit(QUANTILE_SLICES - 1)), F.lit(0)).cast("int")
     parts = (
         _in_question(values, keys, state)

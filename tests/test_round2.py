@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from geopanel import ordered
 from geopanel.functions.text import softmax
 from geopanel.operators import bots, describe, regress, spatial
 from geopanel.skew import discard, materialize
@@ -83,3 +84,18 @@ def test_discard_removes_what_was_written(spark):
     assert os.path.isdir(folder)
     discard(written)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("far", [[1e30, 1e36, -1e36], [float("inf"), float("-inf"), 5e-324]])
+def test_far_values_do_not_widen_the_last_step(spark, far):
+    values = [i * 2e-7 for i in range(5000)] + far + [10.0**-e for e in range(10, 60)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.selectExpr("1 AS k", "v AS value").groupBy("k", "value").agg(F.count("*").alias("copies"))
+    targets = spark.createDataFrame([(1, 0, 2500), (1, 1, 0), (1, 2, len(values) - 1)], "k int, probe int, rank long")
+    got = {r["probe"]: r["value"] for r in ordered.select_ranks(rows, ["k"], targets).collect()}
+    assert got == {0: sorted(values)[2500], 1: min(values), 2: max(values)}
+    span = rows.groupBy("k").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    state = targets.join(span, "k").withColumn("below", F.lit(0).cast("long"))
+    for _ in range(ordered.QUANTILE_LEVELS):
+        state = ordered._narrow(rows, ["k"], ["k", "probe"], state)
+    assert ordered._in_question(rows, ["k"], state).count() <= 6
