@@ -37,7 +37,8 @@ def forward_windows(
     how many posts share the instant, ``posts`` and ``mean`` describe the
     window (NULL and NaN are skipped by the mean). Both come from differences of
     running totals, one pass for all windows, so the cost does not depend on
-    how many posts a window holds. Sums are fixed-point decimals.
+    how many posts a window holds. Sums are fixed-point decimals in units of
+    1e-12: smaller parts of a value count as 0, values beyond 1e16 raise.
     """
     measure = present(value) if value else F.lit(None)
     at = F.unix_micros(F.col(timestamp))

@@ -71,7 +71,6 @@ def spatial_join_points(
     lat: str = "lat",
     tile: float = 0.5,
     how: str = "inner",
-    id_column: str | None = None,
     **joining,
 ) -> DataFrame:
     """Append the attributes of every region that covers a point.
@@ -79,7 +78,7 @@ def spatial_join_points(
     Points on a shared border match every region they touch. ``regions`` is a
     layer from ``read_regions``; it is broadcast when its measured size allows
     it, otherwise both sides meet on the tile key with hot tiles salted. A left
-    join needs ``id_column``, which identifies a point.
+    join keeps points outside all regions once, with NULL attributes.
     """
     tiles = region_tiles(regions, attributes, tile)
     keyed = points.withColumns(
@@ -88,14 +87,11 @@ def spatial_join_points(
             "_ty": F.floor(F.col(lat) / F.lit(tile)).cast("long"),
         }
     )
-    met = join_bounded(keyed, tiles, ["_tx", "_ty"], "inner", **joining)
-    inside = met.where(covers(F.col("_e"), F.col(lon), F.col(lat))).drop("_e", "_tx", "_ty")
-    if how == "inner":
-        return inside
-    if how != "left" or id_column is None:
-        raise ValueError("how must be 'inner', or 'left' with an id_column")
-    found = inside.select(F.col(id_column).alias("_id"), *attributes)
-    return points.join(found, F.col(id_column) == F.col("_id"), "left").drop("_id")
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    # a point has one tile, so the test can be part of the join, also of a left one
+    inside = covers(F.col("_e"), F.col(lon), F.col(lat))
+    return join_bounded(keyed, tiles, ["_tx", "_ty"], how, condition=inside, **joining).drop("_e", "_tx", "_ty")
 
 
 def attach_timezone(

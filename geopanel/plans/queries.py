@@ -630,7 +630,7 @@ def points_in_regions_left(spark, sf_dir):
     rows = src.posts(spark, sf_dir).select("id", "lon", "lat")
     # a broadcast limit of zero takes the shuffled, salted way
     joined = spatial.spatial_join_points(
-        rows, src.regions(spark, sf_dir), ["NAME"], tile=2.0, how="left", id_column="id", max_bytes=0, spread=["id"]
+        rows, src.regions(spark, sf_dir), ["NAME"], tile=2.0, how="left", max_bytes=0, spread=["id"]
     )
     return joined.select("id", "NAME")
 

@@ -70,6 +70,7 @@ def salted_join(
     min_rows: int = HEAVY_MIN_ROWS,
     max_keys: int = HEAVY_MAX_KEYS,
     salts: int = SALTS,
+    condition: Column | None = None,
 ) -> DataFrame:
     """Equi-join where only the heavy keys of ``fact`` are salted.
 
@@ -78,6 +79,7 @@ def salted_join(
     ``how`` is inner, left, left_semi or left_anti. ``null_safe`` lets NULL
     match NULL. ``spread`` names the columns the salt is taken from; it should
     tell rows of one key apart (default: every column of ``fact``).
+    ``condition`` is a further condition on columns of both sides.
     """
     heavy = heavy_keys(fact, keys, min_rows, max_keys)
     spread = spread or fact.columns
@@ -96,7 +98,8 @@ def salted_join(
         F.col(k).eqNullSafe(F.col(f"_d_{k}")) if null_safe else F.col(k) == F.col(f"_d_{k}")
         for k in keys
     ]
-    joined = left.join(right, _all(same + [F.col("_salt") == F.col("_dsalt")]), how)
+    same.append(F.col("_salt") == F.col("_dsalt"))
+    joined = left.join(right, _all(same if condition is None else [*same, condition]), how)
     return joined.drop("_salt", "_dsalt", *[f"_d_{k}" for k in keys])
 
 
@@ -113,20 +116,24 @@ def join_bounded(
     how: str = "inner",
     null_safe: bool = False,
     max_bytes: int = BROADCAST_BYTES,
+    condition: Column | None = None,
     **salting,
 ) -> DataFrame:
     """Join a reference table: broadcast when its measured size allows it.
 
     ``dim`` is measured first (one small job); beyond ``max_bytes`` the join
-    falls back to :func:`salted_join`.
+    falls back to :func:`salted_join`. ``condition`` is a further condition on
+    columns of both sides.
     """
     if measured_bytes(dim) > max_bytes:
-        return salted_join(fact, dim, keys, how, null_safe, **salting)
+        return salted_join(fact, dim, keys, how, null_safe, condition=condition, **salting)
     right = dim.withColumnsRenamed({k: f"_d_{k}" for k in keys})
     same = [
         F.col(k).eqNullSafe(F.col(f"_d_{k}")) if null_safe else F.col(k) == F.col(f"_d_{k}")
         for k in keys
     ]
+    if condition is not None:
+        same.append(condition)
     return fact.join(F.broadcast(right), _all(same), how).drop(*[f"_d_{k}" for k in keys])
 
 

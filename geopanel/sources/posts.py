@@ -96,14 +96,13 @@ def write_table(
 ) -> None:
     """Save an intermediate table as parquet, partitioned (by date, as a rule).
 
-    With partition columns, rows are spread over (partition, hash of the row), so
-    that a date holding most rows is still written by many tasks.
+    With partition columns the rows are rebalanced on them: adaptive execution
+    splits a date by its size, so it is written by as many tasks as it needs.
     """
     if not partition_by:
         df.write.mode(mode).parquet(path)
         return
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    df.repartition(*partition_by, spread).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_random_points_brute_force(spark, max_bytes):
 
 def test_left_join_keeps_outsiders(spark):
     got = spatial.spatial_join_points(
-        points(spark, [(1, 1), (50, 50)]), layer(spark, sq=SQUARE), ["name"], how="left", id_column="id"
+        points(spark, [(1, 1), (50, 50)]), layer(spark, sq=SQUARE), ["name"], how="left"
     )
     assert sorted((r["id"], r["name"]) for r in got.collect()) == [(0, "sq"), (1, None)]
 
