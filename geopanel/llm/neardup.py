@@ -12,8 +12,8 @@ agree in a band of their signatures are candidates. A band bucket never emits
 all its pairs: every member is first compared with the bucket's smallest node
 only, the verified links are joined into components, and from then on only
 pairs between different components are looked at. In a bucket that still has
-more than ``MANY`` components these pairs are found by an exact prefix filter
-on the rarest shingles instead. All links are confirmed on full sets.
+more than ``MANY`` rows these pairs are found by an exact prefix filter on the
+rarest shingles instead. All links are confirmed on full sets.
 
 With 50 bands of 6 a pair at a similarity of exactly 0.8 shares no band with a
 probability of 3e-7, pairs above it less.
@@ -44,7 +44,7 @@ from .graph import components
 BANDS, ROWS = 50, 6
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: Components of a bucket up to which pairs between them are listed.
+#: Rows of a bucket up to which pairs between its components are listed.
 MANY = 32
 #: Members that are compared with one copy of a leader's text.
 SALT_ROWS = 256
@@ -208,7 +208,9 @@ def _rare_pairs(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
     A text of ``n`` shingles that is similar to another shares one of its
     ``n - ceil(0.8 n) + 1`` first shingles in any order common to all texts;
-    rarest first makes the lists of a shingle short. Exact for any input.
+    rarest first makes the lists of a shingle short. A first common shingle at
+    a place leaves only the later ones to be shared, and two texts must share
+    0.8 / 1.8 of their shingles together. Exact for any input.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +234,18 @@ def _rare_pairs(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
         - F.count("*").over(Window.partitionBy("node")),
     )
     prefix = counted.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-    prefix = prefix.join(members.select("node", "label"), "node").select("shingle", "node", "label", "n")
-    left = prefix.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = prefix.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
-    return left.join(right, "shingle").where(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    prefix = prefix.join(members.select("node", "label"), "node")
+    prefix = prefix.select("shingle", "node", "label", "n", (F.col("n") - F.col("place") + 1).alias("left"))
+    one = prefix.toDF("shingle", "a", "la", "na", "ra")
+    two = prefix.toDF("shingle", "b", "lb", "nb", "rb")
+    needed = PERCENT * (F.col("na") + F.col("nb"))
+    near = (
+        (F.col("la") != F.col("lb"))
+        & (F.col("a") < F.col("b"))
+        & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+        & ((100 + PERCENT) * F.least("ra", "rb") >= needed)
+    )
+    return one.join(two, "shingle").where(near).select("a", "b").distinct()
 
 
 def linked_nodes(docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
@@ -285,13 +294,15 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
     grown(rest)
 
     named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parts = named.select("key", "label").distinct().groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
-    open_rows = materialize(named.join(parts, "key"), "open")
-    few = open_rows.where(F.col("parts") <= MANY).select("key", "node", "label")
+    apart = named.groupBy("key").agg(
+        F.count("*").alias("rows"), (F.min("label") != F.max("label")).alias("apart")
+    )
+    open_rows = materialize(named.join(apart.where("apart").drop("apart"), "key"), "open")
+    few = open_rows.where(F.col("rows") <= MANY).select("key", "node", "label")
     left = few.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
     right = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
     cross = left.join(right, "key").where("a < b AND la <> lb").select("a", "b").distinct()
-    many = open_rows.where(F.col("parts") > MANY).select("node", "label").distinct()
+    many = open_rows.where(F.col("rows") > MANY).select("node", "label").distinct()
     if many.limit(1).count():
         cross = cross.union(_rare_pairs(texts, many, width)).distinct()
     # tested before: every star pair
