@@ -15,7 +15,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 # the written-out sweeps of the SQL side have not settled at this scale
-LOOSE = {"fe_multiway": 1e-5}
+LOOSE = {"fe_multiway": 2e-4}
 
 # t quantiles and larger inverses: held against numpy in test_regress.py
 WITHOUT_SQL = {"fe_main", "fe_individual", "robustness_posts", "smoothed_coefs"}
