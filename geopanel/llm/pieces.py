@@ -10,14 +10,14 @@ from __future__ import annotations
 import gc
 import os
 import re
-from itertools import islice
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
+import regex
 
 #: Units that a task remembers; beyond them it starts anew.
 REMEMBERED = 500_000
-#: A line break as byte-level pre-tokenizers write it (fixed).
-LINE_BREAK = "\u010a"
 
 #: Unicode white space; the fixed set that ``\\s`` means in the tokenizer files.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -26,6 +26,13 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 BLANK_LED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+def byte_letters() -> list[str]:
+    """How byte-level models write bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 def load(path: str):
     """The tokenizer in ``path``, single-threaded."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,69 +42,47 @@ def load(path: str):
 
 
 class Units:
-    """Token ids of units, remembered up to a bound."""
+    """Token ids of units, remembered up to a bound.
+
+    ``pattern`` is the regular expression of a byte-level pre-tokenizer without
+    a normalizer; with it, units are split here and only new pre-tokens go to
+    the library's model. Without it new units go through the library whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = regex.compile(pattern).findall if pattern else None
+        self.shown = byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict = {}
+        self.number: dict = defaultdict(count().__next__)  # numbers in the order of arrival
         self.start = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
         self.known: dict[str, list[int]] = {}
 
-    def encode(self, unit: str) -> list[int]:
-        """The library's ids of one unit; its pre-tokens are remembered too."""
-        t = self.tokenizer
-        if any(s in unit for s in self.special):
-            return t.encode(unit, add_special_tokens=False).ids
-        if t.normalizer is not None:
-            unit = t.normalizer.normalize_str(unit)
-        out: list[int] = []
-        for token, _ in t.pre_tokenizer.pre_tokenize_str(unit):
-            ids = self.known.get(token)
-            if ids is None:
-                ids = self.known[token] = [x.id for x in t.model.tokenize(token)]
-            out += ids
-        return out
-
     def encode_all(self, units: list[str]) -> list[list[int]]:
-        """The ids of each unit.
-
-        Without a normalizer, units that are one word (with its blank) go
-        through the pre-tokenizer together, a line break before each: it is a
-        pre-token of its own there.
-        """
-        if self.tokenizer.normalizer is not None:
-            return [self.encode(u) for u in units]
-        words = [u for u in units if not u[-1].isspace() and not any(s in u for s in self.special)]
-        ids: dict[str, list[int]] = {}
-        known, tokenize = self.known, self.tokenizer.model.tokenize
-        for i in range(0, len(words), 10_000):
-            some = words[i : i + 10_000]
-            out: list[list[int]] = []
-            for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("".join(["\n" + u for u in some])):
-                if token == LINE_BREAK:
-                    out.append([])
-                    continue
+        """The ids of each unit."""
+        if self.split is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        known, tokenize, shown, out = self.known, self.tokenizer.model.tokenize, self.shown, []
+        for unit in units:
+            ids: list[int] = []
+            for token in self.split(unit):
                 got = known.get(token)
                 if got is None:
-                    got = known[token] = [x.id for x in tokenize(token)]
-                out[-1] += got
-            if len(out) != len(some):
-                raise ValueError("the pre-tokenizer does not split at line breaks")
-            ids.update(zip(some, out))
-        return [ids[u] if u in ids else self.encode(u) for u in units]
+                    got = known[token] = [x.id for x in tokenize("".join([shown[b] for b in token.encode()]))]
+                ids += got
+            out.append(ids)
+        return out
 
     def numbers(self, units: list) -> np.ndarray:
         """A number for each unit (str, or UTF-8 bytes) of a block; new units are encoded."""
         if len(self.number) > REMEMBERED:
             self.forget()
         have, number = len(self.number), self.number
-        add = number.setdefault
-        out = np.array([add(u, len(number)) for u in units], np.int64)
+        out = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
         if len(number) > have:
             new = list(islice(reversed(number), len(number) - have))[::-1]
             gc.disable()  # only lists of numbers are made here
@@ -105,9 +90,9 @@ class Units:
                 ids = self.encode_all([u.decode() if isinstance(u, bytes) else u for u in new])
             finally:
                 gc.enable()
-            size = np.array([len(x) for x in ids], np.int64)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-            self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.uint32)])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
         return out
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:

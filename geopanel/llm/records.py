@@ -123,9 +123,11 @@ def read_at(uri: str, row: int) -> tuple[int | None, np.ndarray]:
     return (doc_id if known else None), np.frombuffer(body, dtype, offset=9)
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> list:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, pattern: str | None = None) -> list:
     """Encode and write all ``docs`` (doc_id, text); the manifest, in document order.
 
+    ``pattern`` is that of the tokenizer's byte-level pre-tokenizer, if it has one.
+
     The manifest has one row for each file, so it is bounded by the size of the
     output over ``FILE_BYTES`` plus the number of partitions.
     """
@@ -137,7 +139,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> list:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        units = Units(tokenizer)
+        units = Units(tokenizer, pattern)
         dtype = "<u2" if units.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         writer, done = None, []
 
