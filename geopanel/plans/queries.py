@@ -788,7 +788,7 @@ def robustness_posts(spark, sf_dir):
         "topic": F.col("main_label") == "'click'",
     }
     table = regress.robustness_suite(
-        marked, subsets, panel.SENTIMENTS, POST_TERMS, ["CNTY_UNIQUE", "date"], cluster=["CNTY_UNIQUE"]
+        marked, subsets, panel.SENTIMENTS, POST_TERMS, ["CNTY_UNIQUE"], cluster=["CNTY_UNIQUE"]
     )
     return rounded(table, FIT).select("subset", "outcome", "term", *FIT, "n")
 
