@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 #: Rows on which costs and rejections are measured.
 SAMPLE_ROWS = 2_000
 
+# SQL takes one of the two backslashes, the pattern needs the other
 BLANK = "[\\\\x09-\\\\x0D\\\\x20]+"
+NOT_BLANK = "[^\\\\x09-\\\\x0D\\\\x20]"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -64,8 +66,8 @@ transform(array(array_remove(split(text, '{BLANK}'), '')), words -> struct(
             (total, x) -> total + x))[0])[0]
     END)[0] AS n_repeat_words))[0]
 """
-_LINES = """
-transform(array(filter(split(text, '\n'), x -> x RLIKE '[^\\x09-\\x0D\\x20]')), lines -> struct(
+_LINES = f"""
+transform(array(filter(split(text, '\n'), x -> x RLIKE '{NOT_BLANK}')), lines -> struct(
   cast(size(lines) AS bigint) AS n_lines,
   cast(size(lines) - size(array_distinct(lines)) AS bigint) AS n_dup_lines))[0]
 """
