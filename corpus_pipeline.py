@@ -22,24 +22,45 @@ cloudpickle.register_pickle_by_value(geopanel)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a passage that goes wherever it repeats: fifty words of the shortest usual kind.
 PASSAGE = 256
+#: Columns that name a row's document; rows that are delivered again share them.
+SAME = ["doc_id", "text_hash"]
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``rejected`` (doc_id, text_hash) names; texts are not shuffled if it is small."""
     hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
-    return join_bounded(hashed, rejected.distinct(), ["doc_id", "text_hash"], "left_anti", null_safe=True).select(*COLUMNS)
+    return join_bounded(hashed, rejected.distinct(), SAME, "left_anti", null_safe=True).select(*COLUMNS)
+
+
+def _single(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row for each (doc_id, text_hash) in ``repeated``, the smallest; other texts are not shuffled."""
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    others = join_bounded(hashed, repeated.select(*SAME), SAME, "left_anti", null_safe=True).select(*COLUMNS)
+    again = join_bounded(hashed, repeated.select(*SAME), SAME, "left_semi", null_safe=True)
+    once = again.groupBy(*SAME).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return others.unionByName(once)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what has no identifiable language: no text, no letters, or no n-gram that any language has."""
-    found = langid.predict(docs.select(*COLUMNS), langid.fit(docs), COLUMNS)
+    """Drop what has no identifiable language: no text, no letters, or no n-gram that any language has.
+
+    A row that is delivered more than once (same id and text) goes on once.
+    """
+    counted = docs.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).count()
+    once = _single(docs, materialize(counted.where("count > 1"), "repeated"))
+    found = langid.predict(once, langid.fit(docs), COLUMNS)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group that shares 0.8 of its 5-word shingles."""
+    """Keep one row of each group that shares 0.8 of its 5-word shingles: smallest id (null last), then text hash.
+
+    Texts without shingles stand alone and stay.
+    """
     found = materialize(neardup.near_duplicates(docs.select("doc_id", "text")), "groups")
-    return _without(docs, found.where("NOT kept").select("doc_id", "text_hash"))
+    # of a document that is delivered twice, one row stays
+    again = found.where("leads AND n_shingles > 0").groupBy(*SAME).count().where("count > 1")
+    return _single(_without(docs, found.where("NOT leads").select(*SAME)), materialize(again, "repeated"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +69,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = kept.where("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
     cut = materialize(cut, "passages")
     hashed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    same = ["doc_id", "text_hash"]
-    untouched = join_bounded(hashed, cut.select(*same), same, "left_anti", null_safe=True).select(*COLUMNS)
+    untouched = join_bounded(hashed, cut.select(*SAME), SAME, "left_anti", null_safe=True).select(*COLUMNS)
     # rows with cuts, and their cuts: both are as large as what repeats
-    touched = join_bounded(hashed, cut.select(*same), same, "left_semi", null_safe=True).drop("text")
-    right = cut.withColumnsRenamed({k: f"_{k}" for k in same})
+    touched = join_bounded(hashed, cut.select(*SAME), SAME, "left_semi", null_safe=True).drop("text")
+    right = cut.withColumnsRenamed({k: f"_{k}" for k in SAME})
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))
     changed = touched.join(right, on).where("trim(kept_text) <> ''").withColumn("text", F.col("kept_text"))
     changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -312,14 +312,23 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id, kept, leads) of every row of ``docs`` (doc_id, text).
+
+    ``leads`` is true for one (doc_id, text_hash) of each component, the
+    smallest with null ids last; ``kept`` for every row with the smallest id.
+    """
     signed = materialize(signatures(docs, width), "signatures")
     labels = linked_nodes(docs, signed, width)
     named = signed.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    smallest = named.where("label IS NOT NULL").groupBy("label").agg(
+        F.min("doc_id").alias("smallest"), F.min(place).alias("first")
+    )
     out = named.join(smallest, "label", "left")
     # without shingles a document stands alone
     out = out.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
     return out.select(
-        "doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", "text_hash", "n_shingles", "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        (F.col("label").isNull() | place.eqNullSafe(F.col("first"))).alias("leads"),
     )

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 
+import corpus_pipeline
 from geopanel.llm.queries import ORACLES, QUERIES
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -37,3 +38,32 @@ def test_op5_lines(spark, tmp_path):
     got = QUERIES["op5_quality_rules"](spark, folder).select(*result.columns).collect()
     assert bag(got) == bag(result.fetchall())
     assert {r["doc_id"]: r["n_dup_lines"] for r in got} == {0: 99, 1: 87, 2: 0, 3: 2, 4: 0, 5: 0}
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], DOCUMENT)
+
+
+def test_one_row_of_each_group_stays(spark):
+    def text(seed, n=120):
+        return " ".join(f"w{seed}x{k * 7 % 101}" for k in range(n))
+
+    near = text(3).replace("w3x7 ", "other ")
+    rows = [
+        (1, text(1)), (1, text(1)),  # delivered twice
+        (2, text(2)), (3, text(2)), (2, text(2)),
+        (4, text(3)), (4, near),  # one id, two near texts
+        (None, text(5)), (None, text(5)), (None, text(6)),  # groups without ids
+        (7, text(7)), (7, text(8)), (8, text(8)),  # one id in two groups
+        (9, None), (9, None),
+    ]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()]
+    assert Counter(i for i, _ in left) == {1: 1, 2: 1, 4: 1, None: 2, 7: 2, 9: 2}
+    assert {t for _, t in left if t and t not in (text(3), near)} == {text(k) for k in (1, 2, 5, 6, 7, 8)}
+
+
+def test_repeated_row_reaches_the_end(spark, tmp_path):
+    sentence = " ".join(f"the clear{k} river runs{k}" for k in range(40))
+    folder = written(spark, tmp_path, [(1, sentence), (1, sentence), (2, sentence), (3, "another small text")])
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()) == [1, 3]
