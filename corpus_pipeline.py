@@ -20,8 +20,9 @@ cloudpickle.register_pickle_by_value(geopanel)
 
 #: Columns of the documents table.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a passage that goes wherever it repeats: fifty words of the shortest usual kind.
+#: A passage goes wherever it repeats if it has so many bytes, or more than so many words in fewer bytes.
 PASSAGE = 256
+PASSAGE_WORDS = 50
 #: Columns that name a row's document; rows that are delivered again share them.
 SAME = ["doc_id", "text_hash"]
 
@@ -64,8 +65,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out passages that also occur elsewhere; a document of nothing else goes."""
-    kept = repeats.without_repeats(docs.select("doc_id", "text"), PASSAGE)
+    """Cut out passages that also occur elsewhere (bytes or words); a document of nothing else goes."""
+    kept = repeats.without_repeats(docs.select("doc_id", "text"), PASSAGE, PASSAGE_WORDS)
     cut = kept.where("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
     cut = materialize(cut, "passages")
     hashed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import join_bounded, materialize
 
-from .blocks import blocks, mix, prefix_hashes, raw, span_hashes, text_array
+from .blocks import blocks, mix, prefix_hashes, raw, span_hashes, text_array, word_spans
 
 LENGTH = 400
 #: Bytes of the hashed strings from which anchors are chosen.
@@ -420,14 +420,55 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_words(rows: DataFrame, words: int, length: int) -> DataFrame:
+    """(doc_id, text_hash, spans) as :func:`repeated_spans`, of passages of more than ``words`` words under ``length`` bytes.
+
+    Every passage of more than ``words`` whole words is covered by windows of
+    ``words + 1`` words. Those of ``length`` bytes or more are strings that
+    :func:`repeated_spans` finds, so only the shorter windows, few in usual
+    text, are written and counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches):
+            data, at = raw(text_array(part))
+            start, end, owner = word_spans(data, at)
+            n = max(len(start) - words, 0)
+            first, last = np.arange(n), np.arange(n) + words
+            use = (owner[first] == owner[last]) & (end[last] - start[first] < length)
+            a, b, of = start[first[use]], end[last[use]], owner[first[use]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(of)),
+                    part.column(1).take(pa.array(of)),
+                    pa.array(span_hashes(prefix_hashes(data), a, b).view(np.int64)),
+                    pa.array(a - at[of]),
+                    pa.array(b - at[of]),
+                ],
+                [*KEY, "window", "start", "end"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = materialize(
+        rows.mapInArrow(run, f"doc_id {kind}, text_hash long, window long, start long, end long"), "windows"
+    )
+    again = materialize(made.groupBy("window").count().where("count > 1").select("window"), "again")
+    found = join_bounded(made, again, ["window"], "left_semi")
+    return found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row.
 
-    ``kept_text`` drops characters that a removed span cuts apart; the digest
+    With ``words``, repeated passages of more whole words than that go too,
+    however short their words are. ``kept_text`` drops characters that a removed span cuts apart; the digest
     is of the remaining bytes themselves.
     """
     rows = keyed(docs)
     spans = repeated_spans(rows, length)
+    if words is not None:
+        spans = spans.union(repeated_words(rows, words, length))
+        spans = materialize(spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     keys = spans.select(*KEY)
     touched = join_bounded(rows, keys, KEY, "left_semi", null_safe=True)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))

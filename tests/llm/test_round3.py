@@ -67,3 +67,17 @@ def test_repeated_row_reaches_the_end(spark, tmp_path):
     folder = written(spark, tmp_path, [(1, sentence), (1, sentence), (2, sentence), (3, "another small text")])
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()) == [1, 3]
+
+
+def test_passages_of_short_words(spark):
+    numbers = " ".join(str(k % 10) for k in range(49)) + " x y"
+    assert len(numbers.split()) == 51 and len(numbers) < corpus_pipeline.PASSAGE
+    fewer = " ".join("abcdefghi"[k * k % 9] for k in range(50))
+    rows = [
+        (1, f"first begins {numbers} and ends"), (2, f"second opens {numbers}\nso it closes"), (3, numbers), (None, numbers),
+        (4, f"third has {fewer} alone"), (5, f"fourth had {fewer} too"),  # fifty words stay
+        (6, "m n o " * 30),  # repeats inside a document
+    ]
+    got = corpus_pipeline.repeated_passages(spark, documents(spark, rows), "").collect()
+    want = [(1, "first begins  and ends"), (2, "second opens \nso it closes"), *rows[4:6]]
+    assert bag((r["doc_id"], r["text"]) for r in got) == bag(want)
