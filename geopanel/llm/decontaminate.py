@@ -1,15 +1,18 @@
 """Benchmark items in documents, also with other numbers, names or units.
 
 Texts become templates: words lose outer punctuation and case, numbers, names
-(capitalised inside a sentence) and units after numbers become typed
-placeholders, whose values are kept as slots. Windows of ``WIDTH`` template
-words with at least ``LITERALS`` plain words are hashed and joined with the
-windows of the items. Matches lie on diagonals (distance between document and
-item place). On a diagonal every slot value of the item must stand for one
-value of the document only; a diagonal that breaks this is dropped. An item is
-found in a document if the windows on its consistent diagonals cover
-``PERCENT`` of the item's windows. If all slots are equal it is a verbatim
-copy, else a re-parameterised one.
+and units after numbers become typed placeholders, whose values are kept as
+slots. Which words are names cannot be told from one place alone, so there are
+three templates: names are the words capitalised inside a sentence; these and
+the capitalised words that open a sentence; or none, for texts in other case.
+Windows of ``WIDTH`` template words with at least ``LITERALS`` plain words are
+hashed and joined with the windows of the items; a window is found if one of
+its templates is. Matches lie on diagonals (distance between document and item
+place). On a diagonal every slot value of the item must stand for one value of
+the document only; a diagonal that breaks this is dropped. An item is found in
+a document if the windows on its consistent diagonals cover ``PERCENT`` of the
+item's windows, which are those of the first template. If all slots are equal it is a
+verbatim copy, else a re-parameterised one.
 
 Before the join a bitmap of the items' hashes (of fixed size, whatever the
 benchmark) sorts out nearly all document windows where they are made; the join
@@ -65,12 +68,16 @@ UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, value hash, text number) of every word; typed words share the template of their type."""
+    """(template hashes, value hash, text number) of every word; typed words share the template of their type.
+
+    The three rows of the template hashes take as names the words capitalised
+    inside a sentence, those and the capitalised ones that open it, and none.
+    """
     data, at = raw(texts)
     start, end, owner = word_spans(data, at)
     inner = np.flatnonzero(_ALNUM[data])
     if not len(inner) or not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((3, 0), np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     lo, hi = np.searchsorted(inner, start), np.searchsorted(inner, end)
     real = hi > lo
     start, end, owner = inner[lo[real]], inner[hi[real] - 1] + 1, owner[real]
@@ -85,55 +92,78 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(start):
         first[1:] = (owner[1:] != owner[:-1]) | (counts[2][start[1:]] > counts[2][end[:-1]])
     second = data[np.minimum(start + 1, len(data) - 1)]
-    name = (data[start] >= 65) & (data[start] < 91) & (end - start > 1) & (second >= 97) & ~first
+    capital = (data[start] >= 65) & (data[start] < 91) & (end - start > 1) & (second >= 97)
     after = np.zeros(len(start), bool)
     after[1:] = number[:-1] & (owner[1:] == owner[:-1])
     k = np.minimum(np.searchsorted(UNIT_HASHES, value), len(UNIT_HASHES) - 1)
     unit = after & (UNIT_HASHES[k] == value)
-    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return template, value, owner
+    plain = np.where(number, NUMBER, np.where(unit, UNIT, value))
+    kinds = [np.where(number | unit | ~named, plain, NAME) for named in (capital & ~first, capital)]
+    return np.stack([*kinds, plain]), value, owner
 
 
-def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, window hash, slot marks, word values) of all windows with enough literals.
+def windows(texts: pa.Array, item: bool = False) -> tuple[np.ndarray, ...]:
+    """(text number, place, window hash, template number, slot marks, word values) of all windows with enough literals.
 
-    Slot marks and values have a column for each word of the window.
+    Slot marks and values have a column for each word of the window; the lowest
+    bit of a value says whether it is a name. A window whose templates agree
+    comes once, as the first of them. Windows of an ``item`` are those that the
+    first template allows.
     """
     template, value, owner = templates(texts)
-    n = len(template) - WIDTH + 1
+    n = len(value) - WIDTH + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), np.zeros((0, WIDTH), bool), np.zeros((0, WIDTH), np.uint64)
-    typed = (template == NUMBER) | (template == NAME) | (template == UNIT)
+        return none, none, none.astype(np.uint64), none, np.zeros((0, WIDTH), bool), np.zeros((0, WIDTH), np.uint64)
     first = np.searchsorted(owner, owner)
-    many = np.concatenate([[0], np.cumsum(typed)])
-    use = np.flatnonzero((owner[:n] == owner[WIDTH - 1 :]) & (many[WIDTH:] - many[:n] <= WIDTH - LITERALS))
-    h = np.zeros(len(use), np.uint64)
-    for k in range(WIDTH):
-        h = mix(h + template[use + k] + np.uint64(k + 1))
-    span = use[:, None] + np.arange(WIDTH)
-    return owner[use], use - first[use], h, typed[span], value[span]
+    whole = owner[:n] == owner[WIDTH - 1 :]
+    allowed, marks = [], []
+    for kind in template:
+        typed = (kind == NUMBER) | (kind == NAME) | (kind == UNIT)
+        many = np.concatenate([[0], np.cumsum(typed)])
+        allowed.append(whole & (many[WIDTH:] - many[:n] <= WIDTH - LITERALS))
+        marks.append(typed)
+    out = []
+    for k, kind in enumerate(template):
+        good = allowed[k] & allowed[0] if item else allowed[k].copy()
+        for j in range(k):
+            differ = np.concatenate([[0], np.cumsum(kind != template[j])])
+            good &= ~allowed[j] | (differ[WIDTH:] > differ[:n])
+        use = np.flatnonzero(good)
+        h = np.zeros(len(use), np.uint64)
+        for i in range(WIDTH):
+            h = mix(h + kind[use + i] + np.uint64(i + 1))
+        span = use[:, None] + np.arange(WIDTH)
+        slot = value[span] & ~np.uint64(1) | (kind[span] == NAME).astype(np.uint64)
+        out.append((owner[use], use - first[use], h, np.full(len(use), k), marks[k][span], slot))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def window_rows(docs: DataFrame, keys: list[str], bitmap: np.ndarray | None = None) -> DataFrame:
-    """``keys``, place, hash and slots (value at each typed word, by order) of the windows of ``docs``."""
+    """``keys``, place, hash, template and slots (value at each typed word, by order) of the windows of ``docs``.
+
+    With the ``bitmap`` of the items' hashes the windows are those of documents.
+    """
     inner = docs.select(*keys, F.col("text").alias("text"))
     kinds = ", ".join(f"`{k}` {inner.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
-            of, place, h, typed, value = windows(text_array(part))
+            of, place, h, kind, typed, value = windows(text_array(part), item=bitmap is None)
             if bitmap is not None:
                 hit = bitmap[(h & np.uint64(BITS - 1)).astype(np.int64)]
-                of, place, h, typed, value = of[hit], place[hit], h[hit], typed[hit], value[hit]
+                of, place, h, kind, typed, value = (x[hit] for x in (of, place, h, kind, typed, value))
             cut = np.concatenate([[0], np.cumsum(typed.sum(1))]).astype(np.int32)
             slots = pa.ListArray.from_arrays(pa.array(cut), pa.array(value[typed].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k).take(pa.array(of)) for k in range(len(keys))), pa.array(place), pa.array(h.view(np.int64)), slots],
-                [*keys, "place", "hash", "slots"],
+                [
+                    *(part.column(k).take(pa.array(of)) for k in range(len(keys))),
+                    pa.array(place), pa.array(h.view(np.int64)), pa.array(kind), slots,
+                ],
+                [*keys, "place", "hash", "template", "slots"],
             )
 
-    return inner.mapInArrow(run, f"{kinds}, place long, hash long, slots array<long>")
+    return inner.mapInArrow(run, f"{kinds}, place long, hash long, template long, slots array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -147,16 +177,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = window_rows(rows, ["doc_id", "text_hash"], bitmap)
-    item_rows = made.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}).distinct()
-    matched = join_bounded(found, item_rows, ["hash"]).select(
-        "doc_id", "text_hash", "item_id", "item_hash", "item_place",
+    item_rows = made.withColumnsRenamed({"place": "item_place", "slots": "item_slots", "template": "item_template"}).distinct()
+    matched = join_bounded(found.drop("template"), item_rows, ["hash"]).select(
+        "doc_id", "text_hash", "item_id", "item_hash", "item_place", "item_template",
         (F.col("place") - F.col("item_place")).alias("diagonal"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("pairs"),
     )
     pair = ["doc_id", "text_hash", "item_id", "item_hash"]
     matched = materialize(matched, "matched")
-    on_diagonal = matched.groupBy(*pair, "diagonal").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    # of several templates that match, the first; the others have the same values there
+    best = matched.groupBy(*pair, "diagonal", "item_place").agg(F.min(F.struct("item_template", "pairs")).alias("best"))
+    on_diagonal = best.groupBy(*pair, "diagonal").agg(
+        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("best.pairs"))).alias("pairs")
     )
     # one value of the document for each value of the item
     consistent = on_diagonal.where(

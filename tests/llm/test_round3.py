@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 
 import corpus_pipeline
+from geopanel.llm import decontaminate
 from geopanel.llm.queries import ORACLES, QUERIES
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +82,31 @@ def test_passages_of_short_words(spark):
     got = corpus_pipeline.repeated_passages(spark, documents(spark, rows), "").collect()
     want = [(1, "first begins  and ends"), (2, "second opens \nso it closes"), *rows[4:6]]
     assert bag((r["doc_id"], r["text"]) for r in got) == bag(want)
+
+
+def found(spark, docs, items):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    return decontaminate.contaminated(docs, items).collect()
+
+
+def test_op4_names_anywhere(spark):
+    item = "Natalia sold 48 clips to friends in April. Natalia then sold half as many clips in May."
+    other = (
+        "Yesterday we saw that Alice carried 12 kg of fresh apples home and then sold Bob 3 of these apples for his lunch"
+    )
+    docs = [
+        (1, item.replace("Natalia", "Karen")),
+        (2, "the question: " + item.replace("Natalia", "Karen").replace("48", "50")),
+        (3, item.lower()),
+        (4, other.lower()),
+        (5, other.upper().replace("12 KG", "15 KG")),
+        (6, other.title()),
+        (7, "The Bob of The Home And The Lunch. " + other.replace("Alice", "Karen")),
+    ]
+    got = found(spark, docs, [(1, item), (2, other)])
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [
+        (1, 1, "reparameterised"), (2, 1, "reparameterised"), (3, 1, "verbatim"), (4, 2, "verbatim"),
+        (5, 2, "reparameterised"), (6, 2, "verbatim"), (7, 2, "reparameterised"),
+    ]
+    assert {r["doc_id"]: (r["n_windows"], r["n_matched"]) for r in got}[1] == (13, 13)
