@@ -9,9 +9,11 @@ Windows of ``WIDTH`` template words with at least ``LITERALS`` plain words are
 hashed and joined with the windows of the items; a window is found if one of
 its templates is. Matches lie on diagonals (distance between document and item
 place). On a diagonal every slot value of the item must stand for one value of
-the document only; a diagonal that breaks this is dropped. An item is found in
-a document if the windows on its consistent diagonals cover ``PERCENT`` of the
-item's windows, which are those of the first template. If all slots are equal it is a
+the document only. Where it stands for several, its own value counts; else for
+a number or unit, which may mean two things, the most frequent one, and for a
+name none; windows with other values are dropped. An item is found in a
+document if the windows left on its diagonals cover ``PERCENT`` of the item's
+windows, which are those of the first template. If all slots are equal it is a
 verbatim copy, else a re-parameterised one.
 
 Before the join a bitmap of the items' hashes (of fixed size, whatever the
@@ -26,6 +28,7 @@ results; without items nothing is found; other columns are never read.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,6 +169,37 @@ def window_rows(docs: DataFrame, keys: list[str], bitmap: np.ndarray | None = No
     return inner.mapInArrow(run, f"{kinds}, place long, hash long, template long, slots array<long>")
 
 
+def settled(hits: list[dict]) -> tuple[list[int], list[dict]]:
+    """Places and distinct pairs of the windows of a diagonal that are left where each item value has one of the document."""
+    count = Counter((x["theirs"], x["ours"]) for hit in hits for x in hit["pairs"])
+    values = defaultdict(list)
+    for theirs, ours in count:
+        values[theirs].append(ours)
+    chosen = {}
+    for theirs, ours in values.items():
+        if len(ours) == 1 or theirs in ours:
+            chosen[theirs] = theirs if theirs in ours else ours[0]
+        elif not theirs & 1:
+            chosen[theirs] = min(ours, key=lambda x: (-count[theirs, x], x))
+    left = [hit for hit in hits if all(chosen.get(x["theirs"]) == x["ours"] for x in hit["pairs"])]
+    pairs = {(x["theirs"], x["ours"]) for hit in left for x in hit["pairs"]}
+    return [hit["item_place"] for hit in left], [{"theirs": a, "ours": b} for a, b in pairs]
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pair = pa.struct([("theirs", pa.int64()), ("ours", pa.int64())])
+    for batch in batches:
+        done = [settled(hits) for hits in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:-1],
+                pa.array([x[0] for x in done], pa.list_(pa.int64())),
+                pa.array([x[1] for x in done], pa.list_(pair)),
+            ],
+            [*batch.schema.names[:-1], "places", "pairs"],
+        )
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed, kind) of every item found."""
     numbered = items.select("item_id", "text", F.xxhash64("text").alias("item_hash"))
@@ -187,12 +221,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     matched = materialize(matched, "matched")
     # of several templates that match, the first; the others have the same values there
     best = matched.groupBy(*pair, "diagonal", "item_place").agg(F.min(F.struct("item_template", "pairs")).alias("best"))
-    on_diagonal = best.groupBy(*pair, "diagonal").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("best.pairs"))).alias("pairs")
-    )
-    # one value of the document for each value of the item
-    consistent = on_diagonal.where(
-        "size(array_distinct(transform(pairs, x -> x.theirs))) = size(pairs)"
+    hits = F.collect_list(F.struct("item_place", F.col("best.pairs").alias("pairs"))).alias("hits")
+    on_diagonal = best.groupBy(*pair, "diagonal").agg(hits).drop("diagonal")
+    types = ", ".join(f"{k} {matched.schema[k].dataType.simpleString()}" for k in pair)
+    consistent = on_diagonal.mapInArrow(
+        _settle, f"{types}, places array<long>, pairs array<struct<theirs: long, ours: long>>"
     )
     covered = (
         consistent.groupBy(*pair)

@@ -110,3 +110,17 @@ def test_op4_names_anywhere(spark):
         (5, 2, "reparameterised"), (6, 2, "verbatim"), (7, 2, "reparameterised"),
     ]
     assert {r["doc_id"]: (r["n_windows"], r["n_matched"]) for r in got}[1] == (13, 13)
+
+
+def test_op4_one_edited_slot(spark):
+    item = (
+        "the farmer has 3 red hens in the yard and the same man keeps 3 white geese by the pond where his old dog "
+        "sleeps all day long while the wind blows over the wide green hills and the river flows slowly to the sea"
+    )
+    docs = [
+        (1, item.replace("3 white", "8 white")),
+        (2, item.replace("3 red", "7 red").replace("3 white", "8 white")),
+        (3, " ".join(item.split()[:20]) + " and then nothing of all that was told before has happened here at all"),
+    ]
+    got = found(spark, docs, [(1, item)])
+    assert sorted((r["doc_id"], r["n_windows"], r["n_matched"]) for r in got) == [(1, 41, 36), (2, 41, 37)]
