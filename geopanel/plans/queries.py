@@ -755,6 +755,7 @@ def fe_main(spark, sf_dir):
     return rounded(fit.table(spark), FIT).select("outcome", "term", *FIT, "n")
 
 
+PANEL_TERMS = ["pm25", "temp_med", "temp_med_sq", "precip", "visibility"]
 POST_TERMS = ["pm25", "temperature", "temperature_sq", "precipitation", "visibility"]
 
 
@@ -778,18 +779,29 @@ def fe_individual(spark, sf_dir):
 
 @query
 def robustness_posts(spark, sf_dir):
-    """The post-level fit for bots, without two states, and for one topic, clustered by county."""
+    """Bots and without two states, each on a panel of its own; one topic post by post, and with user effects."""
     rows = individual_posts(spark, sf_dir)
     busy = bots.burst_users(rows, posts=2, seconds=600).select("username").withColumn("_bot", F.lit(True))
     marked = rows.join(busy, "username", "left")
-    subsets = {
+    table = None
+    for name, condition in {
         "bots": F.col("_bot").isNotNull(),
         "without_two": ~F.col("STATE_NAME").isin("AFRICA", "ASIA"),
-        "topic": F.col("main_label") == "'click'",
-    }
-    table = regress.robustness_suite(
-        marked, subsets, panel.SENTIMENTS, POST_TERMS, ["CNTY_UNIQUE"], cluster=["CNTY_UNIQUE"]
+    }.items():
+        days = regress.with_squares(panel.build_panel(marked.where(condition)), ["temp_med"])
+        part = regress.robustness_suite(
+            days, {name: F.lit(True)}, panel.SENTIMENTS, PANEL_TERMS, ["CNTY_UNIQUE", "date", "day"],
+            cluster=["CNTY_UNIQUE", "date"], weights="num_tweets",
+        )
+        table = part if table is None else table.unionByName(part)
+    topic = F.col("main_label") == "'click'"
+    both = regress.robustness_suite(
+        rows, {"topic": topic}, panel.SENTIMENTS, POST_TERMS, ["CNTY_UNIQUE", "date"], cluster=["CNTY_UNIQUE", "date"]
+    )
+    users = regress.robustness_suite(
+        rows, {"topic_users": topic}, panel.SENTIMENTS, ["pm25"], ["NAME", "date", "username"], cluster=["NAME"]
     )
+    table = table.unionByName(both).unionByName(users)
     return rounded(table, FIT).select("subset", "outcome", "term", *FIT, "n")
 
 
