@@ -22,8 +22,9 @@ itself is exact. The items are broadcast only if their measured size allows.
 
 Cases: null or empty texts contain nothing; an item of fewer than ``WIDTH``
 words or without such a window is never found, as it cannot be told from a
-common phrase; repeated items are found each; repeated rows give repeated
-results; without items nothing is found; other columns are never read.
+common phrase; items that repeat an id and its text are one, as are rows that
+do; a null id of an item or a document is an id like others; without items
+nothing is found; other columns are never read.
 """
 
 from __future__ import annotations
@@ -205,6 +206,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     numbered = items.select("item_id", "text", F.xxhash64("text").alias("item_hash"))
     made = materialize(window_rows(numbered, ["item_id", "item_hash"]), "items")
     sizes = made.groupBy("item_id", "item_hash").agg(F.count_distinct("place").alias("n_windows"))
+    sizes = sizes.withColumnsRenamed({"item_id": "_item_id", "item_hash": "_item_hash"})
     bitmap = np.zeros(BITS, bool)
     slots = made.select(F.col("hash").bitwiseAND(F.lit(BITS - 1)).alias("slot")).distinct().toPandas()["slot"]
     bitmap[slots.to_numpy(np.int64)] = True
@@ -233,7 +235,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
             F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
         )
-        .join(sizes, ["item_id", "item_hash"])
+        .join(sizes, F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item_hash") == F.col("_item_hash")))
         .where(F.col("n_matched") * 100 >= PERCENT * F.col("n_windows"))
     )
     changed = F.size(F.filter("pairs", lambda x: x["theirs"] != x["ours"])).cast("long")

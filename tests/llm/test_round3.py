@@ -124,3 +124,9 @@ def test_op4_one_edited_slot(spark):
     ]
     got = found(spark, docs, [(1, item)])
     assert sorted((r["doc_id"], r["n_windows"], r["n_matched"]) for r in got) == [(1, 41, 36), (2, 41, 37)]
+
+
+def test_op4_null_and_repeated_ids(spark):
+    item = "When does the slow river train reach the northern harbour if it leaves at noon on market day"
+    got = found(spark, [(1, item), (1, item), (None, item)], [(None, item), (None, item)])
+    assert sorted(map(repr, ((r["doc_id"], r["item_id"]) for r in got))) == ["(1, None)", "(None, None)"]
