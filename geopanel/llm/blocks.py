@@ -91,9 +91,9 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (bytes other than 9-13, 32) and its text's number."""
-    word = ~SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (bytes that are not ``outside``: 9-13, 32) and its text's number."""
+    word = ~outside[data]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     first = at[:-1][at[:-1] < at[1:]]

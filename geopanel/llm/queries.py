@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import checkpoint_dir
 
-from . import decontaminate, langid, neardup, quality, records, repeats, shards, spm, token_counts, toxicity
+from . import centroids, decontaminate, exact, langid, neardup, quality, records, repeats, resample, shards, spm, token_counts, toxicity
 
 #: The id that ends each document in the record files.
 END_ID = 2
@@ -112,6 +112,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, for every document."""
+    return exact.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and sums of every kept vector."""
+    found, points = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.summary(found, points)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document, and its rank in the draw towards the benchmark's texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_superminhash_dedup": op2_superminhash_dedup,
@@ -123,8 +140,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_records": op8_token_records,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_cuckoo_dedup": op11_cuckoo_dedup,
+    "op12_heap_centroids": op12_heap_centroids,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+def centroid_sql(k: int, rounds: int, dims: int) -> str:
+    """All rounds written out: nearest centroid of every vector, floor of every mean, and so on."""
+    part = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v) ORDER BY h, v LIMIT {k})"""
+    ]
+    for i in range(rounds + 1):
+        part.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, min((d, c)) AS best
+  FROM (SELECT r, c, list_sum([(v[i] - m[i]) * (v[i] - m[i]) for i in range(1, {dims + 1})])::BIGINT AS d FROM v, c{i})
+  GROUP BY r)"""
+        )
+        if i < rounds:
+            part.append(
+                f"""n{i} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT a.best[2] AS c, unnest(range(1, {dims + 1})) AS i, unnest(v.v) AS x FROM a{i} a JOIN v USING (r)) GROUP BY c, i),
+l{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM n{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(l.m, o.m) AS m FROM c{i} o LEFT JOIN l{i} l ON o.c = l.c)"""
+            )
+    return "WITH " + ",\n".join(part) + f"""
+SELECT vec_id, c::INT AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c = best[2]
+"""
+
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": r"""
 WITH d AS (
@@ -156,5 +209,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words
             OR 10 * length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 3 * word_chars) AS kept
 FROM a
+""",
+    "op11_cuckoo_dedup": """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+""",
+    "op12_heap_centroids": centroid_sql(40, 5, 64),
+    "op13_importance_resampling": """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, true AS doc, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT -row_number() OVER (), false, NULL, coalesce(text, '') FROM benchmark),
+w AS (
+  SELECT r, doc, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM texts),
+f AS (
+  SELECT r, doc, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM w),
+c AS (SELECT r, doc, f, count(*) AS n FROM f GROUP BY ALL),
+z AS (
+  SELECT list(v ORDER BY i) AS z
+  FROM (SELECT i, list_reduce(range(0, 9), lambda a, b: if(b = 0, i, if(a % 2 = 1, xor(a // 2, 3988292384), a // 2)), i) AS v
+        FROM range(0, 256) t(i))),
+b AS (
+  SELECT f, xor(4294967295, list_reduce(
+           [('0x' || h[k : k + 1])::BIGINT for k in range(1, len(h), 2)],
+           lambda a, b: xor(a // 256, z[xor(a, b) % 256 + 1]), 4294967295)) % 10000 AS b
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM c)), z),
+k AS (
+  SELECT b, sum(n) FILTER (doc) AS s, sum(n) FILTER (NOT doc) AS t FROM c JOIN b USING (f) GROUP BY b),
+g AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM k) + 10000)::DOUBLE
+           / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM k) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM k),
+m AS (
+  SELECT r, sum(n) AS n, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight
+  FROM c JOIN b USING (f) JOIN g USING (b) WHERE doc GROUP BY r),
+s AS (
+  SELECT w.r, doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM w LEFT JOIN m USING (r) WHERE doc),
+p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM s),
+q AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS able
+  FROM p WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * able // 100 THEN rank END AS rank
+FROM p LEFT JOIN q USING (r)
 """,
 }

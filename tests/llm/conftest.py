@@ -75,8 +75,25 @@ def leaks():
     ]
 
 
+VECTORS = "vec_id long, embedding array<float>, label int, cluster string, distance string, ids string"
+
+
+@pytest.fixture(scope="session")
+def vectors():
+    """(vec_id, embedding)."""
+    rng = random.Random(11)
+    places = [[rng.gauss(0, 0.3) for _ in range(64)] for _ in range(7)]
+    out = [(i, [x + rng.gauss(0, 0.05 + i % 3 / 10) for x in rng.choice(places)]) for i in range(300)]
+    out += [(300 + i, out[4][1]) for i in range(200)]  # one very common vector
+    out += [(5, out[5][1]), (5, out[6][1]), (None, out[7][1]), (None, out[8][1])]  # repeated rows and ids
+    out += [(600, None), (601, []), (602, out[0][1][:63]), (603, [*out[0][1], 0.0])]
+    out += [(604 + i, [*out[0][1][:63], x]) for i, x in enumerate([None, float("nan"), float("inf"), -float("inf")])]
+    out += [(610, [0.0] * 64), (611, [-0.0] * 64), (612, [1 / 256] * 64), (613, [-1e-9] * 64)]
+    return out
+
+
 @pytest.fixture(scope="session")
-def folder(spark, rows, leaks, tmp_path_factory):
+def folder(spark, rows, leaks, vectors, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     full = [*rows, *((i, t, "en") for i, t, _ in leaks)]
     data = [(i, t, lang, "src", len(t or ""), *["x"] * len(CLASH)) for i, t, lang in full]
@@ -84,6 +101,8 @@ def folder(spark, rows, leaks, tmp_path_factory):
     labels = [(i, 1, int(131 <= i < 151)) for i in range(151)] + [(None, 1, 1), (3, None, None), (999, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    data = [(i, v, 1, "x", "x", "x") for i, v in vectors]
+    spark.createDataFrame(data, VECTORS).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -93,6 +112,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 

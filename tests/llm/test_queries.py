@@ -26,7 +26,7 @@ def bag(rows):
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
