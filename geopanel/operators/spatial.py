@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geopanel.functions.clip import Line, rings_wkt, twice_area
 from geopanel.functions.geo import albers_xy, area_in_box, covers, ring_edges
 from geopanel.functions.text import split_coordinates
 from geopanel.skew import join_bounded, salted_join
@@ -210,6 +211,48 @@ def overlay_grid_regions(regions: DataFrame, attributes: list[str], grid: Grid)
     return pieces.where(F.col("area") > 1e-12).withColumn("share", F.col("area") / F.lit(grid.dx * grid.dy))
 
 
+def overlay_pieces(regions: DataFrame, attributes: list[str], grid: Grid) -> DataFrame:
+    """The clipped shape of every region in every grid cell that it touches.
+
+    One row per non-empty piece: attributes, cell id, rings, WKT, area of the
+    shape and its share of the cell. A region is cut into the grid's columns
+    first and each strip into cells, so an edge is looked at in the cells of its
+    own column only.
+    """
+    small = 1e-12
+
+    def cells(low: Column, high: Column, origin: float, step: float, count: int) -> Column:
+        first = F.greatest(F.floor((low - F.lit(origin)) / F.lit(step)), F.lit(0)).cast("long")
+        last = F.least(F.floor((high - F.lit(origin)) / F.lit(step)), F.lit(count - 1)).cast("long")
+        return F.filter(F.sequence(first, F.greatest(last, first)), lambda c: (c <= last) & (c >= 0))
+
+    def cut(df: DataFrame, axis: str, number: str, origin: float, step: float) -> DataFrame:
+        low = F.lit(origin) + F.col(number) * F.lit(step)
+        high = F.lit(origin) + (F.col(number) + 1) * F.lit(step)
+        for bound, above in ((low, True), (high, False)):
+            df = df.withColumn("rings", Line(axis, bound, above).clip(F.col("rings")))
+        # what touches the line only leaves rings without area
+        df = df.withColumn("rings", F.filter("rings", lambda r: F.abs(twice_area(r)) > 2 * small))
+        return df.where(F.size("rings") > 0)
+
+    strips = regions.select(
+        *attributes, "rings", F.explode(cells(F.col("min_x"), F.col("max_x"), grid.x0, grid.dx, grid.nx)).alias("_ix")
+    )
+    strips = cut(strips, "x", "_ix", grid.x0, grid.dx)
+    ys = F.transform(F.flatten("rings"), lambda p: p["y"])
+    strips = strips.withColumns({"_low": F.array_min(ys), "_high": F.array_max(ys)})
+    pieces = strips.select(
+        *attributes, "rings", "_ix", F.explode(cells(F.col("_low"), F.col("_high"), grid.y0, grid.dy, grid.ny)).alias("_iy")
+    )
+    pieces = cut(pieces, "y", "_iy", grid.y0, grid.dy)
+    area = F.aggregate("rings", F.lit(0.0), lambda acc, r: acc + twice_area(r)) / 2
+    shaped = pieces.select(
+        *attributes, (F.col("_iy") * grid.nx + F.col("_ix")).alias("id_geo"), "rings", rings_wkt(F.col("rings")).alias("wkt"),
+        area.alias("area"),
+    )
+    return shaped.where(F.col("area") > small).withColumn("share", F.col("area") / F.lit(grid.dx * grid.dy))
+
+
 def project_albers(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Add equal-area metres ``x``, ``y``."""
     x, y = albers_xy(F.col(lon), F.col(lat))

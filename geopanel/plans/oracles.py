@@ -549,9 +549,7 @@ add(
     f"""WITH {SERIES}, placed AS (SELECT id, {CELL} AS id_geo, date_trunc('day', timestamp) + (hour(timestamp) // 3) * INTERVAL '3 hours' AS moment FROM posts)
 SELECT p.id, p.id_geo, {r6("s.value")} AS pm25 FROM placed p JOIN series s ON s.id = p.id_geo AND s.moment = p.moment WHERE s.variable = 'pm25'""",
 )
-add(
-    "overlay_grid_regions",
-    f"""WITH {POSTS}, {EDGES},
+PIECES = f"""{EDGES},
 boxes AS (SELECT iy * 31 + ix AS id_geo, -126 + 2::DOUBLE * ix AS bx0, -126 + 2::DOUBLE * (ix + 1) AS bx1,
    23 + 1.5::DOUBLE * iy AS by0, 23 + 1.5::DOUBLE * (iy + 1) AS by1 FROM range(31) a(ix), range(19) b(iy)),
 part AS (SELECT e.NAME, b.id_geo, by0, by1, least(greatest(x1, bx0), bx1) AS xa, least(greatest(x2, bx0), bx1) AS xb, x1, y1,
@@ -561,10 +559,19 @@ sums AS (SELECT NAME, id_geo, abs(sum(run * CASE WHEN abs(ub - ua) < 1e-12 THEN
    ELSE ((CASE WHEN ub < 0 THEN 0 WHEN ub < h THEN ub * ub / 2 ELSE h * h / 2 + h * (ub - h) END)
        - (CASE WHEN ua < 0 THEN 0 WHEN ua < h THEN ua * ua / 2 ELSE h * h / 2 + h * (ua - h) END)) / (ub - ua) END)) AS area
    FROM lines GROUP BY NAME, id_geo),
-cells AS (SELECT CAST(floor((lat - 23) / 1.5) * 31 + floor((lon + 126) / 2) AS BIGINT) AS id_geo, avg(pm25) AS pm25 FROM posts GROUP BY 1)
+cells AS (SELECT CAST(floor((lat - 23) / 1.5) * 31 + floor((lon + 126) / 2) AS BIGINT) AS id_geo, avg(pm25) AS pm25 FROM posts GROUP BY 1)"""
+add(
+    "overlay_grid_regions",
+    f"""WITH {POSTS}, {PIECES}
 SELECT NAME, count(*) AS pieces, {r6("sum(area)")} AS area, {r6("sum(area * pm25) / sum(CASE WHEN pm25 IS NOT NULL THEN area END)")} AS pm25
 FROM sums LEFT JOIN cells USING (id_geo) WHERE area > 1e-12 GROUP BY NAME""",
 )
+add(
+    "overlay_pieces",
+    f"""WITH {POSTS}, {PIECES}
+SELECT NAME, id_geo, {r6("area")} AS area, {r6("area / 3")} AS share, true AS inside, {r6("pm25")} AS pm25
+FROM sums LEFT JOIN cells USING (id_geo) WHERE area > 1e-12""",
+)
 ALBERS = """k AS (SELECT sqrt(2 * f - f * f) AS e FROM (SELECT 1 / 298.257222101::DOUBLE AS f)),
 ang AS (SELECT e, radians(29.5::DOUBLE) AS p1, radians(45.5::DOUBLE) AS p2, radians(23::DOUBLE) AS p0 FROM k),
 q AS (SELECT *, cos(p1) / sqrt(1 - e * e * sin(p1) * sin(p1)) AS m1, cos(p2) / sqrt(1 - e * e * sin(p2) * sin(p2)) AS m2,

@@ -663,6 +663,24 @@ def overlay_grid_regions(spark, sf_dir):
     return rounded(weighted, ["area", "pm25"])
 
 
+@query
+def overlay_pieces(spark, sf_dir):
+    """The clipped shapes, written as WKT and read again; and whether they stay in their cell."""
+    grid = src.FINE_GRID
+    pieces = spatial.overlay_pieces(src.regions(spark, sf_dir), ["NAME"], grid).select("NAME", "id_geo", "wkt", "share")
+    again = region_source.read_regions(pieces)
+    area = F.aggregate("rings", F.lit(0.0), lambda acc, r: acc + region_source.signed_area(r))
+    x0 = F.lit(grid.x0) + F.col("id_geo") % grid.nx * grid.dx
+    y0 = F.lit(grid.y0) + F.floor(F.col("id_geo") / grid.nx) * grid.dy
+    inside = (
+        (F.col("min_x") >= x0) & (F.col("max_x") <= x0 + grid.dx) & (F.col("min_y") >= y0) & (F.col("max_y") <= y0 + grid.dy)
+    )
+    shapes = again.select("NAME", "id_geo", area.alias("area"), "share", inside.alias("inside"))
+    cells = spatial.assign_grid_cell(src.posts(spark, sf_dir).select("lon", "lat", "pm25"), grid).groupBy("id_geo")
+    joined = shapes.join(cells.agg(F.avg("pm25").alias("pm25")), "id_geo", "left")
+    return rounded(joined, ["area", "share", "pm25"])
+
+
 @query
 def project_albers(spark, sf_dir):
     rows = spatial.project_albers(src.posts(spark, sf_dir).select("id", "lon", "lat"))
