@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopanel.functions.missing import present
 from geopanel.ordered import running_totals
 from geopanel.skew import join_bounded, materialize
 
-SLICE_SECONDS = 3_600
 SECOND = 1_000_000
-# sums are kept as whole multiples of 1e-12: no digits are lost in differences
-UNIT = 1e12
-EXACT = "decimal(28,0)"
+#: Bits of a limb: 2**31 rows can be summed up in a long.
+LIMB = 32
 
 # The sweep's windows (seconds) and thresholds, the chosen burst
 # rule (posts, seconds) and the daily limit.
@@ -23,29 +23,85 @@ BURST_POSTS, BURST_SECONDS = 5, 5
 DAY_LIMIT = 40
 
 
+def limb_scale(df: DataFrame, measure: Column) -> list[int]:
+    """Exponents of the limbs that hold every finite value of ``measure`` exactly, the smallest first.
+
+    A double is a whole multiple of the last bit of the smallest value that
+    occurs; the limbs reach from that bit to the largest value.
+    """
+    size = F.abs(measure.cast("double"))
+    size = F.when(size < float("inf"), size)
+    edge = df.agg(F.min(F.when(size > 0, size)).alias("low"), F.max(size).alias("high")).first()
+    if not edge["low"]:
+        return [0]
+    low = max(math.frexp(edge["low"])[1] - 53, -1074)
+    high = math.frexp(edge["high"])[1]
+    return list(range(low, max(high, low + 1), LIMB))
+
+
+def limbs(measure: Column, exponents: list[int]) -> Column:
+    """Parts of a double as an array, as ``exponents``: whole numbers below 2**32 in size, times 2**exponent each.
+
+    All parts have the value's sign. Divisions by powers of two and the
+    remainders are exact.
+    """
+    units = F.array(*[F.lit(math.ldexp(1.0, e)) for e in reversed(exponents)])
+    value = measure.cast("double")
+    zero = F.struct(F.abs(value).alias("rest"), F.array().cast("array<bigint>").alias("parts"))
+
+    def step(s: Column, unit: Column) -> Column:
+        part = F.floor(s["rest"] / unit)
+        return F.struct((s["rest"] - part * unit).alias("rest"), F.concat(F.array(part.cast("long")), s["parts"]).alias("parts"))
+
+    sign = F.signum(value).cast("long")
+    return F.transform(F.aggregate(units, zero, step, lambda s: s["parts"]), lambda part: part * sign)
+
+
+def limb_value(parts: list[Column], exponents: list[int]) -> Column:
+    """A sum of limbs as a double, to its last digit or two: carries go up first, so nothing cancels."""
+    carried, carry = [], F.lit(0).cast("long")
+    for part in parts[:-1]:
+        whole = part + carry
+        carry = F.shiftright(whole, LIMB)
+        carried.append(whole - F.shiftleft(carry, LIMB))
+    carried.append(parts[-1] + carry)
+    value = F.lit(0.0)
+    for part, e in zip(reversed(carried), reversed(exponents)):
+        value = value + part.cast("double") * F.lit(math.ldexp(1.0, e))
+    return value
+
+
 def forward_windows(
     df: DataFrame,
     windows: list[float],
     user: str = "username",
     timestamp: str = "timestamp",
     value: str | None = None,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Count and mean over ``[t, t + w)`` for every (user, distinct instant, window).
 
     Returns (user, _t in microseconds, window, rows, posts, mean): ``rows`` is
     how many posts share the instant, ``posts`` and ``mean`` describe the
-    window (NULL and NaN are skipped by the mean). Both come from differences of
-    running totals, one pass for all windows, so the cost does not depend on
-    how many posts a window holds. Sums are fixed-point decimals in units of
-    1e-12: smaller parts of a value count as 0, values beyond 1e16 raise.
+    window (NULL and NaN are skipped by the mean; an infinite value gives NULL
+    means from then on). Both come from differences of running totals, one pass
+    for all windows, so the cost does not depend on how many posts a window
+    holds. The totals run over range partitions of (user, instant) with a carry
+    for each partition, so neither a user nor an hour has to fit a task; with
+    ``slice_seconds`` over fixed slices of time instead. Sums are kept in whole
+    numbers whose scale is measured first: differences lose no digit, whatever
+    the values' size.
     """
-    measure = present(value) if value else F.lit(None)
+    measure = present(value).cast("double") if value else F.lit(None).cast("double")
+    scale = limb_scale(df, measure) if value else [0]
+    finite = F.when(F.abs(measure) < float("inf"), measure)
     at = F.unix_micros(F.col(timestamp))
-    moments = df.groupBy(user, at.alias("_t")).agg(
+    parts = ["rows", "seen", "far", *[f"l{k}" for k in range(len(scale))]]
+    moments = df.select(user, at.alias("_t"), measure.alias("_m"), limbs(finite, scale).alias("_l")).groupBy(user, "_t").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count(measure).alias("_seen"),
-        F.sum((measure * UNIT).cast(EXACT)).alias("_sum"),
+        F.count("_m").alias("seen"),
+        (F.count("_m") - F.count("_l")).alias("far"),
+        *[F.coalesce(F.sum(F.get("_l", F.lit(k))), F.lit(0)).alias(f"l{k}") for k in range(len(scale))],
     )
     # marker 0 closes a window and sorts before the posts of its instant
     ends = [
@@ -57,27 +113,15 @@ def forward_windows(
         for i, w in enumerate(windows)
     ]
     here = F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_post"), F.lit(-1).alias("_w"))
-    none, no_sum = F.lit(0).cast("long"), F.lit(0).cast(EXACT)
-    marks = moments.select(
-        user, "_t", "rows", "_seen", F.coalesce("_sum", no_sum).alias("_sum"), F.inline(F.array(here, *ends))
-    )
+    none = F.lit(0).cast("long")
+    marks = moments.select(user, "_t", *parts, F.inline(F.array(here, *ends)))
     is_post = F.col("_post") == 1
+    slices = None if slice_seconds is None else F.floor(F.col("_at") / F.lit(slice_seconds * SECOND))
     scanned = running_totals(
-        marks,
-        [user],
-        ["_at", "_post"],
-        F.floor(F.col("_at") / F.lit(slice_seconds * SECOND)),
-        {
-            "_c_rows": F.when(is_post, F.col("rows")).otherwise(none),
-            "_c_seen": F.when(is_post, F.col("_seen")).otherwise(none),
-            "_c_sum": F.when(is_post, F.col("_sum")).otherwise(no_sum),
-        },
+        marks, [user], ["_at", "_post"], slices, {f"_c_{p}": F.when(is_post, F.col(p)).otherwise(none) for p in parts}
     )
     # totals at each window's end minus the totals before the post itself
-    parts = {"rows": "rows", "seen": "_seen", "sum": "_sum"}
-    before = [
-        F.sum(F.when(is_post, F.col(f"_c_{p}") - F.col(own))).alias(f"_b_{p}") for p, own in parts.items()
-    ]
+    before = [F.sum(F.when(is_post, F.col(f"_c_{p}") - F.col(p))).alias(f"_b_{p}") for p in parts]
     after = [
         F.sum(F.when(F.col("_w") == i, F.col(f"_c_{p}"))).alias(f"_e{i}_{p}")
         for i in range(len(windows))
@@ -92,7 +136,8 @@ def forward_windows(
         for i, w in enumerate(windows)
     ]
     opened = gathered.select(user, "_t", "rows", F.inline(F.array(*spans)))
-    mean = F.when(F.col("_seen") > 0, F.col("_sum").cast("double") / UNIT / F.col("_seen"))
+    total = limb_value([F.col(f"_l{k}") for k in range(len(scale))], scale)
+    mean = F.when((F.col("_seen") > 0) & (F.col("_far") == 0), total / F.col("_seen"))
     return opened.select(user, "_t", "window", "rows", F.col("_rows").alias("posts"), mean.alias("mean"))
 
 
@@ -102,7 +147,7 @@ def forward_window_stats(
     user: str = "username",
     timestamp: str = "timestamp",
     value: str = "vader_compound",
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Add to every post the number of posts and the mean of ``value`` in ``[t, t + w)``."""
     found = forward_windows(df, [window_seconds], user, timestamp, value, slice_seconds)
@@ -117,28 +162,25 @@ def burst_users(
     seconds: float = BURST_SECONDS,
     user: str = "username",
     timestamp: str = "timestamp",
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Users with ``posts`` consecutive posts at most ``seconds`` apart.
 
-    A user's posts are cut into time slices at least as long as the window. A
-    post near the start of a slice is also looked at in the slice before, where
-    a burst may have begun, so no burst is missed and no user has to fit one
-    task. At most ``posts`` copies of one instant are kept: more cannot change
-    the answer.
+    A user's posts are numbered by a running count over range partitions (or
+    fixed slices of ``slice_seconds``), and each post meets the one that is
+    ``posts - 1`` places earlier by its number. So a user's posts spread over
+    tasks evenly, also when all of them lie in one second. At most ``posts``
+    copies of one instant are kept: more cannot change the answer.
     """
     span = round(seconds * SECOND)
-    width = max(slice_seconds * SECOND, span)
     moments = df.groupBy(user, F.unix_micros(F.col(timestamp)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
     copies = F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(posts).cast("long")).cast("int"))
-    slot = F.floor(F.col("_t") / F.lit(width))
-    early = F.col("_t") - slot * F.lit(width) <= F.lit(span)
-    slots = F.when(early, F.array(slot - 1, slot)).otherwise(F.array(slot))
-    placed = moments.select(user, "_t", F.explode(copies).alias("_copy"), slots.alias("_slots"))
-    placed = placed.select(user, "_t", "_copy", F.explode("_slots").alias("_slice"))
-    inside = Window.partitionBy(user, "_slice").orderBy("_t", "_copy")
-    gap = F.col("_t") - F.lag("_t", posts - 1).over(inside)
-    return placed.withColumn("_gap", gap).where(F.col("_gap") <= F.lit(span)).select(user).distinct()
+    placed = moments.select(user, "_t", F.explode(copies).alias("_copy"))
+    slices = None if slice_seconds is None else F.floor(F.col("_t") / F.lit(slice_seconds * SECOND))
+    numbered = running_totals(placed, [user], ["_t", "_copy"], slices, {"_place": F.lit(1).cast("long")})
+    earlier = numbered.select(F.col(user).alias("_u"), (F.col("_place") + posts - 1).alias("_p"), F.col("_t").alias("_from"))
+    met = numbered.join(earlier, F.col(user).eqNullSafe(F.col("_u")) & (F.col("_place") == F.col("_p")))
+    return met.where(F.col("_t") - F.col("_from") <= F.lit(span)).select(user).distinct()
 
 
 def high_volume_users(
@@ -188,7 +230,7 @@ def bot_sweep(
     timestamp: str = "timestamp",
     value: str = "vader_compound",
     label: str = "label",
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """For every window and threshold: users with that many posts in that window.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geopanel.functions.bins import bin_labels
-from geopanel.skew import SALTS, discard, flag_heavy, heavy_keys, materialize
+from geopanel.skew import HEAVY_MIN_ROWS, crowded_keys, discard, materialize, repeated, salted
 
 COEFFICIENTS = T.StructType(
     [
@@ -470,17 +470,14 @@ def _salt_levels(
 
     Returns the cells and, for the effects that have such levels, their list.
     """
-    limit = {} if min_rows is None else {"min_rows": min_rows}
     heavy = {}
     columns = cells.columns
     for e in effects:
-        listed = heavy_keys(cells, [e], **limit)
+        listed = crowded_keys(cells, [e], HEAVY_MIN_ROWS if min_rows is None else min_rows)
         if listed.isEmpty():
             continue
-        heavy[e] = materialize(listed, "fe-heavy")
-        flagged = flag_heavy(cells, heavy[e], [e], "_hot")
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-        cells = flagged.withColumn(f"_salt_{e}", salt).drop("_hot")
+        heavy[e] = listed
+        cells = salted(cells, listed, [e], columns, f"_salt_{e}")
     return cells, heavy
 
 
@@ -494,9 +491,7 @@ def _sweep(df: DataFrame, effects: list[str], columns: list[str], heavy: dict[st
         mean = [F.expr(f"sum(w * {c}) / sum(w) AS _m_{c}") for c in columns]
         levels, on = df.groupBy(e).agg(*mean), [e]
         if e in heavy:
-            levels = flag_heavy(levels, heavy[e], [e], "_hot")
-            copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            levels = levels.withColumn(f"_salt_{e}", F.explode(copies)).drop("_hot")
+            levels = repeated(levels, heavy[e], [e], f"_salt_{e}")
             on = [e, f"_salt_{e}"]
         rest = [c for c in df.columns if c not in columns]
         df = df.join(levels, on).selectExpr(*rest, *[f"{c} - _m_{c} AS {c}" for c in columns])

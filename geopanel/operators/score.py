@@ -1,4 +1,4 @@
-"""Sentiment and topic scores: a lexicon join and pluggable batch scorers."""
+"""Sentiment and topic scores: a lexicon and pluggable batch scorers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,26 +15,56 @@ from geopanel.skew import join_bounded
 
 # Fixed value: the published normalising constant of the compound score.
 ALPHA = 15.0
+#: Tokens of a lexicon that is kept as one value.
+MAX_ENTRIES = 50_000
 
 Scorer = Callable[[Sequence[str]], np.ndarray]
 
 
+def _word_table(lexicon: DataFrame, max_entries: int) -> list[dict[str, float]] | None:
+    """A lexicon of up to ``max_entries`` tokens as buckets of a hash table; None if it has more."""
+    summed = lexicon.where("token IS NOT NULL").groupBy("token").agg(F.sum("valence").alias("valence"))
+    rows = summed.where("valence IS NOT NULL").select("token", "valence")
+    width = 1 << max(0, (max_entries - 1).bit_length())
+    found = rows.select("*", F.pmod(F.xxhash64("token"), F.lit(width)).alias("bucket")).limit(max_entries + 1).collect()
+    if len(found) > max_entries:
+        return None
+    small = 1 << max(0, (len(found) - 1).bit_length())
+    table: list[dict[str, float]] = [{} for _ in range(small)]
+    for r in found:
+        table[r["bucket"] % small][r["token"]] = float(r["valence"])
+    return table
+
+
 def lexicon_compound(
     df: DataFrame,
     lexicon: DataFrame,
     id_column: str = "id",
     text: str = "text",
     name: str = "compound",
+    max_entries: int = MAX_ENTRIES,
     **joining,
 ) -> DataFrame:
     """One score in [-1, 1] per post: valence sum s over its words, s / sqrt(s² + 15).
 
-    ``lexicon`` holds (token, valence), lower case. A lexicon of ordinary size is
-    broadcast, so words never cross the shuffle, only one partial sum per post
-    does; a very large one is joined with its frequent words salted. Posts
-    without any listed word score 0.
+    ``lexicon`` holds (token, valence), lower case; repeated tokens add up. Up
+    to ``max_entries`` tokens travel as one value, a hash table of small maps,
+    and words are summed up inside the row: no row is shuffled. A larger lexicon
+    is joined with the words, frequent ones salted. Posts without any listed
+    word score 0.
     """
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+")
+    table = _word_table(lexicon, max_entries)
+    if table is not None:
+        value = df.sparkSession.createDataFrame([(table,)], "buckets array<map<string,double>>").scalar()
+
+        def valence(word: Column) -> Column:
+            bucket = F.get("_table", F.pmod(F.xxhash64(word), F.lit(len(table))).cast("int"))
+            return F.coalesce(F.try_element_at(bucket, word), F.lit(0.0))
+
+        s = F.aggregate(words, F.lit(0.0), lambda acc, word: acc + valence(word))
+        scored = df.withColumn("_table", value).withColumn("_s", s).drop("_table")
+        return scored.withColumn(name, F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + ALPHA)).drop("_s")
     tokens = df.select(id_column, F.explode(words).alias("token"))
     hits = join_bounded(tokens, lexicon.select("token", "valence"), ["token"], spread=[id_column], **joining)
     sums = hits.groupBy(id_column).agg(F.sum("valence").alias("_s"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from geopanel.functions.clip import Line, rings_wkt, twice_area
 from geopanel.functions.geo import albers_xy, area_in_box, covers, ring_edges
 from geopanel.functions.text import split_coordinates
-from geopanel.skew import join_bounded, salted_join
+from geopanel.skew import BROADCAST_BYTES, HEAVY_MIN_ROWS, join_bounded, match_listed, materialize, measured_bytes, salted_join
+
+#: Quarterings of a crowded tile.
+DEPTH = 6
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,92 @@ def region_tiles(regions: DataFrame, attributes: list[str], tile: float) -> Data
     return tiles.where(F.size("_e") > 0)
 
 
+def crowded_tiles(points: DataFrame, tile: float, lon: str, lat: str, budget: int, depth: int) -> DataFrame:
+    """(_tx, _ty, _split) of the tiles that are cut into quarters, and again, while they hold more than ``budget`` points.
+
+    A histogram over the finest cells is counted once; every coarser level is a
+    sum of it. ``_split`` lists the codes of all quarters that are cut further;
+    such a list belongs to one tile, so it is bounded by ``4 ** depth``.
+    """
+    fine = _quarter(F.col(lon), F.col(lat), tile, depth)
+    counts = points.groupBy(*[c.alias(n) for c, n in zip(_tile(F.col(lon), F.col(lat), tile), ("_tx", "_ty"))], fine.alias("_code")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    # a code is its parent's code, followed by two bits
+    parents = counts.select("_tx", "_ty", "_code", "_n", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("_up"))
+    parents = parents.withColumn("_code", F.floor(F.col("_code") / F.pow(F.lit(4.0), F.col("_up"))).cast("long"))
+    sums = parents.groupBy("_tx", "_ty", "_code").agg(F.sum("_n").alias("_n")).where(F.col("_n") > budget)
+    return sums.groupBy("_tx", "_ty").agg(F.collect_list("_code").alias("_split"))
+
+
+def _tile(lon: Column, lat: Column, tile: float) -> tuple[Column, Column]:
+    return F.floor(lon / F.lit(tile)).cast("long"), F.floor(lat / F.lit(tile)).cast("long")
+
+
+def _quarter(lon: Column, lat: Column, tile: float, depth: int) -> Column:
+    """Code of a point's cell ``depth`` levels below its tile: 1, then two bits for each quartering."""
+    tx, ty = _tile(lon, lat, tile)
+    n = 1 << depth
+    # where the point lies in its tile, in cells
+    ox = F.least(F.greatest(F.floor((lon / F.lit(tile) - tx) * n), F.lit(0)), F.lit(n - 1)).cast("long")
+    oy = F.least(F.greatest(F.floor((lat / F.lit(tile) - ty) * n), F.lit(0)), F.lit(n - 1)).cast("long")
+    code = F.lit(1).cast("long")
+    for bit in reversed(range(depth)):
+        code = code * 4 + (F.shiftright(ox, bit).bitwiseAND(F.lit(1)) * 2 + F.shiftright(oy, bit).bitwiseAND(F.lit(1)))
+    return code
+
+
+def _adapted(
+    points: DataFrame, tiles: DataFrame, tile: float, lon: str, lat: str, budget: int, depth: int
+) -> tuple[DataFrame, DataFrame]:
+    """Points and tiles (with ``_e``) with ``_leaf``, the quadtree cell in which they meet."""
+    split = materialize(crowded_tiles(points, tile, lon, lat, budget, depth), "split")
+    if split.isEmpty():
+        one = F.lit(1).cast("long").alias("_leaf")
+        return points.withColumn("_leaf", F.lit(1).cast("long")), tiles.select("*", one)
+    placed = match_listed(points, split, ["_tx", "_ty"], "left")
+    fine = _quarter(F.col(lon), F.col(lat), tile, depth)
+    levels = F.transform(F.sequence(F.lit(depth), F.lit(0), F.lit(-1)), lambda up: F.floor(fine / F.pow(F.lit(4.0), up)).cast("long"))
+    # down from the tile itself as long as a cell is cut
+    leaf = F.aggregate(
+        levels,
+        F.lit(0).cast("long"),
+        lambda at, code: F.when((at == 0) | F.array_contains(F.col("_split"), at), code).otherwise(at),
+    )
+    placed = placed.withColumn("_leaf", F.when(F.col("_split").isNull(), F.lit(1).cast("long")).otherwise(leaf)).drop("_split")
+
+    # leaves: the quarters of cut cells that are not cut themselves
+    quarters = F.flatten(F.transform("_split", lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: c * 4 + q)))
+    leaves = F.filter(quarters, lambda c: ~F.array_contains(F.col("_split"), c))
+    cut = match_listed(tiles, split, ["_tx", "_ty"], "left")
+    cut = cut.withColumn("_leaf", F.explode(F.when(F.col("_split").isNull(), F.array(F.lit(1).cast("long"))).otherwise(leaves)))
+    # the bits of a code, outermost first, are the cell's place
+    level = F.floor((F.length(F.bin("_leaf")) - 1) / 2).cast("int")
+    bits = F.sequence(F.lit(0), F.greatest(level - 1, F.lit(0)))
+
+    def place(shift: int) -> Column:
+        def one(acc: Column, i: Column) -> Column:
+            digit = F.floor(F.col("_leaf") / F.pow(F.lit(4.0), i)).cast("long") % 4
+            value = F.floor(digit / 2) if shift else digit % 2
+            return acc + F.when(i < level, value * F.pow(F.lit(2.0), i)).otherwise(0.0)
+
+        return F.aggregate(bits, F.lit(0.0), one)
+
+    width = F.lit(tile) / F.pow(F.lit(2.0), level)
+    left = F.col("_tx") * F.lit(tile) + place(1) * width
+    low = F.col("_ty") * F.lit(tile) + place(0) * width
+    # a little wider, for points that rounding puts into the next cell
+    slack = F.lit(tile * 1e-9)
+    near = F.filter(
+        "_e",
+        lambda e: (F.greatest(e["y1"], e["y2"]) >= low - slack)
+        & (F.least(e["y1"], e["y2"]) <= low + width + slack)
+        & (F.greatest(e["x1"], e["x2"]) >= left - slack),
+    )
+    cut = cut.withColumn("_e", near).drop("_split")
+    return placed, cut.where(F.size("_e") > 0)
+
+
 def spatial_join_points(
     points: DataFrame,
     regions: DataFrame,
@@ -72,27 +161,32 @@ def spatial_join_points(
     lat: str = "lat",
     tile: float = 0.5,
     how: str = "inner",
+    max_bytes: int = BROADCAST_BYTES,
+    budget: int = HEAVY_MIN_ROWS,
     **joining,
 ) -> DataFrame:
     """Append the attributes of every region that covers a point.
 
     Points on a shared border match every region they touch. ``regions`` is a
-    layer from ``read_regions``; it is broadcast when its measured size allows
-    it, otherwise both sides meet on the tile key with hot tiles salted. A left
+    layer from ``read_regions``; its tiles are broadcast when their measured
+    size allows it. Otherwise both sides meet on the cells of a quadtree: tiles
+    with more than ``budget`` points are quartered, up to ``DEPTH`` times, and
+    the points of one place that fill a cell of that depth are salted. A left
     join keeps points outside all regions once, with NULL attributes.
     """
-    tiles = region_tiles(regions, attributes, tile)
-    keyed = points.withColumns(
-        {
-            "_tx": F.floor(F.col(lon) / F.lit(tile)).cast("long"),
-            "_ty": F.floor(F.col(lat) / F.lit(tile)).cast("long"),
-        }
-    )
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    tiles = region_tiles(regions, attributes, tile)
+    tx, ty = _tile(F.col(lon), F.col(lat), tile)
+    keyed = points.withColumns({"_tx": tx, "_ty": ty})
     # a point has one tile, so the test can be part of the join, also of a left one
     inside = covers(F.col("_e"), F.col(lon), F.col(lat))
-    return join_bounded(keyed, tiles, ["_tx", "_ty"], how, condition=inside, **joining).drop("_e", "_tx", "_ty")
+    if measured_bytes(tiles) <= max_bytes:
+        met = join_bounded(keyed, tiles, ["_tx", "_ty"], how, condition=inside, max_bytes=max_bytes)
+    else:
+        keyed, tiles = _adapted(keyed, tiles, tile, lon, lat, budget, DEPTH)
+        met = salted_join(keyed, tiles, ["_tx", "_ty", "_leaf"], how, condition=inside, **joining)
+    return met.drop("_e", "_tx", "_ty", "_leaf")
 
 
 def attach_timezone(
@@ -102,27 +196,29 @@ def attach_timezone(
     lon: str = "lon",
     lat: str = "lat",
     tile: float = 0.5,
+    max_bytes: int = BROADCAST_BYTES,
+    budget: int = HEAVY_MIN_ROWS,
     **joining,
 ) -> DataFrame:
     """Name of the time zone every point lies in, one row per point.
 
     A point outside all zones, or without coordinates, keeps NULL; on a shared
     border the smallest name wins. All zones of a tile travel as one row, so
-    every point meets one row at most.
+    every point meets one row at most. A layer beyond ``max_bytes`` meets the
+    points on quadtree cells, as in :func:`spatial_join_points`.
     """
-    tiles = region_tiles(zones, [zone], tile).groupBy("_tx", "_ty").agg(
-        F.collect_list(F.struct(F.col(zone).alias("_z"), "_e")).alias("_zones")
-    )
-    keyed = points.withColumns(
-        {
-            "_tx": F.floor(F.col(lon) / F.lit(tile)).cast("long"),
-            "_ty": F.floor(F.col(lat) / F.lit(tile)).cast("long"),
-        }
-    )
-    met = join_bounded(keyed, tiles, ["_tx", "_ty"], "left", **joining)
+    tiles = region_tiles(zones, [zone], tile)
+    tx, ty = _tile(F.col(lon), F.col(lat), tile)
+    keyed, on = points.withColumns({"_tx": tx, "_ty": ty}), ["_tx", "_ty"]
+    small = measured_bytes(tiles) <= max_bytes
+    if not small:
+        keyed, tiles = _adapted(keyed, tiles, tile, lon, lat, budget, DEPTH)
+        on = [*on, "_leaf"]
+    tiles = tiles.groupBy(*on).agg(F.collect_list(F.struct(F.col(zone).alias("_z"), "_e")).alias("_zones"))
+    met = join_bounded(keyed, tiles, on, "left") if small else salted_join(keyed, tiles, on, "left", **joining)
     inside = F.filter("_zones", lambda z: covers(z["_e"], F.col(lon), F.col(lat)))
     name = F.array_min(F.transform(inside, lambda z: z["_z"]))
-    return met.withColumn(zone, name).drop("_tx", "_ty", "_zones")
+    return met.withColumn(zone, name).drop("_tx", "_ty", "_leaf", "_zones")
 
 
 def _axis_cells(value: Column, origin: float, step: float, count: int, boundary: str) -> Column:

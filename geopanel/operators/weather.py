@@ -24,16 +24,20 @@ def interpolate_linear(
 
     NULL knots are left out before, so inner gaps are bridged and nothing is
     made up before the first or after the last knot; a key with one knot keeps
-    that row. Knots are expected on multiples of the step. A long series is cut
-    into slices of ``slice_seconds``, so no key has to fit one task.
+    that row if it is on a step. Rows come at multiples of the step only, also
+    where knots lie between them: a knot and the one after it (the next slice's
+    first, if it is the last of its own) give the rows from the one to the
+    other. A long series is cut into slices of ``slice_seconds``, so no key has
+    to fit one task.
     """
     knots = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
         *keys, F.unix_seconds(timestamp).alias("_t"), F.col(value).cast("double").alias("_v")
     )
     followed = next_in_key(knots, keys, "_t", F.floor(F.col("_t") / F.lit(slice_seconds)), ["_v"], "_next")
     step = F.lit(step_seconds).cast("long")
-    stop = F.greatest(F.col("_next._t") - step, F.col("_t"))
-    spots = F.when(F.col("_next").isNull(), F.array("_t")).otherwise(F.sequence(F.col("_t"), stop, step))
+    # the last knot gives its own row only
+    begin, end = F.ceil(F.col("_t") / step) * step, F.coalesce(F.col("_next._t") - 1, F.col("_t"))
+    spots = F.when(begin <= end, F.sequence(begin, F.greatest(end, begin), step)).otherwise(F.array().cast("array<bigint>"))
     filled = followed.select("*", F.explode(spots).alias("_at"))
     slope = (F.col("_next._v") - F.col("_v")) / F.nullif(F.col("_next._t") - F.col("_t"), F.lit(0).cast("long"))
     line = F.col("_v") + F.coalesce(slope * (F.col("_at") - F.col("_t")), F.lit(0.0))

@@ -13,26 +13,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geopanel.functions.missing import present
-from geopanel.skew import HEAVY_MAX_KEYS, HEAVY_MIN_ROWS, heavy_keys, match_heavy
+from geopanel.skew import HEAVY_MAX_KEYS, HEAVY_MIN_ROWS, crowded_keys, match_listed, materialize
 
 QUANTILE_SLICES = 4096
 QUANTILE_LEVELS = 3
+#: Rows a range partition is meant for.
+RANGE_ROWS = 1_000_000
+
+
+def range_slices(df: DataFrame, keys: list[str], order: list[str], name: str = "_slice") -> DataFrame:
+    """``df`` written with the number of its range partition of (keys, order).
+
+    Spark samples the rows for the bounds, so the partitions hold about the
+    same number of rows however they are dealt over keys and times; rows that
+    agree in ``keys`` and ``order`` share a partition. A key's slices are its
+    pieces in consecutive partitions, so their numbers do not fall along its
+    order.
+    """
+    df = materialize(df, "unsliced")
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(width, -(-df.count() // RANGE_ROWS))
+    placed = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in [*keys, *order]])
+    return materialize(placed.withColumn(name, F.spark_partition_id()), "sliced")
 
 
 def running_totals(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    slice_on: Column,
+    slice_on: Column | None,
     totals: dict[str, Column],
 ) -> DataFrame:
     """Inclusive running sums per ``keys`` in ``order``: the exact prefix scan.
 
-    ``slice_on`` must not decrease along ``order``. The running sum inside a
-    (key, slice) is added to the sum of all earlier slices of that key; the only
-    window over a whole key sees one row per slice.
+    ``slice_on`` must not decrease along ``order``; without it, the slices are
+    range partitions of (keys, order), which have about the same number of rows
+    wherever the rows crowd. The running sum inside a (key, slice) is added to
+    the sum of all earlier slices of that key; the only window over a whole key
+    sees one row per slice.
     """
-    sliced = df.withColumn("_slice", slice_on)
+    sliced = range_slices(df, keys, order) if slice_on is None else df.withColumn("_slice", slice_on)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = sliced.withColumns({name: F.sum(expr).over(inside) for name, expr in totals.items()})
@@ -210,12 +230,10 @@ def aggregate_with_quantiles(
     """``groupBy(keys)`` with combinable aggregates and exact quantiles.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one
-    buffer, which is right for the many ordinary groups. Groups above the
-    heavy-key limit go through :func:`spread_quantiles` instead, so no buffer
-    outgrows that limit. Both ways start from a join with the (bounded) list of
-    heavy keys; when that list turns out empty, adaptive execution drops the
-    second way without reading its input. With no keys the whole table is one group and only the
-    second way is used.
+    buffer, which is right for the many ordinary groups. Groups of more than
+    ``min_rows`` rows go through :func:`spread_quantiles` instead, so no buffer
+    outgrows that limit, whatever the size of the table. With no keys the whole
+    table is one group and only the second way is used.
     """
     columns = sorted({column for column, _ in quantiles.values()})
     probs = sorted({p for _, p in quantiles.values()})
@@ -242,13 +260,16 @@ def aggregate_with_quantiles(
         return rest.select(*plain, *picked({c: F.col(f"_q._q_{c}") for c in columns}))
 
     exact = F.array(*[F.lit(p) for p in probs])
-    heavy_list = heavy_keys(df, keys, min_rows, max_keys)
-    usual = match_heavy(df, heavy_list, keys, "left_anti").groupBy(*keys).agg(
+    heavy_list = crowded_keys(df, keys, min_rows).drop("_salts")
+    none = heavy_list.isEmpty()
+    usual = (df if none else match_listed(df, heavy_list, keys, "left_anti", max_keys)).groupBy(*keys).agg(
         *[e.alias(n) for n, e in plain.items()],
         *[F.percentile(present(c).cast("double"), exact).alias(f"_q_{c}") for c in columns],
     )
     usual = usual.select(*keys, *plain, *picked({c: F.col(f"_q_{c}") for c in columns}))
-    hot = match_heavy(df, heavy_list, keys, "left_semi")
+    if none:
+        return usual.select(*out)
+    hot = match_listed(df, heavy_list, keys, "left_semi", max_keys)
     tops = wide(hot).withColumnsRenamed({k: f"_o_{k}" for k in keys})
     match = F.lit(True)
     for k in keys:

@@ -1,7 +1,9 @@
 """Building blocks that keep a plan balanced when one key holds most rows.
 
-Nothing here runs a job except :func:`join_bounded` (which measures the small
-side before it broadcasts it) and :func:`materialize` (which writes a table).
+A task is meant for a budget of rows. A key with more of them is crowded: it is
+dealt into as many salts as its rows fill budgets, so the rows of one salt do
+not grow with the data. What is crowded is counted first and written, with the
+salts of each key beside it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 
 HEAVY_MIN_ROWS = 1_000_000
 HEAVY_MAX_KEYS = 10_000
-SALTS = 64
 BROADCAST_BYTES = 64 << 20
 
 # folders of local sessions that name none, by application
@@ -40,24 +41,45 @@ def heavy_keys(
     return counts.where(F.col("_rows") > limit).select(*keys)
 
 
-def flag_heavy(df: DataFrame, heavy: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Add a boolean ``flag``: does the row's key appear in ``heavy`` (bounded)?"""
-    marked = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias(flag))
-    match = _all([F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
-    joined = df.join(F.broadcast(marked), match, "left").drop(*[f"_h_{k}" for k in keys])
-    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+def crowded_keys(df: DataFrame, keys: list[str], budget: int = HEAVY_MIN_ROWS, salts: int | None = None) -> DataFrame:
+    """(keys, _salts) of the keys with more than ``budget`` rows, written.
+
+    ``_salts`` is the number of budgets that the key's rows fill, or ``salts``.
+    The list has fewer rows than the table over ``budget``.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    filled = F.lit(salts) if salts else F.ceil(F.col("_rows") / F.lit(budget))
+    return materialize(counts.where(F.col("_rows") > budget).select(*keys, filled.cast("int").alias("_salts")), "crowded")
 
 
-def match_heavy(df: DataFrame, heavy: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Semi or anti join with the (bounded) heavy keys; NULL matches NULL."""
-    listed = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+def match_listed(df: DataFrame, listed: DataFrame, keys: list[str], how: str, max_keys: int = HEAVY_MAX_KEYS) -> DataFrame:
+    """Join with a written list of keys, NULL matching NULL; broadcast up to ``max_keys`` of them, counted here."""
+    right = listed.withColumnsRenamed({k: f"_h_{k}" for k in keys})
+    if listed.count() <= max_keys:
+        right = F.broadcast(right)
     match = _all([F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
-    return df.join(F.broadcast(listed), match, how)
+    joined = df.join(right, match, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_h_{k}" for k in keys])
 
 
-def row_salt(columns: list[str], salts: int = SALTS) -> Column:
+def row_salt(columns: list[str], salts: int | Column) -> Column:
     """A salt computed from the row itself, so a retried task repeats it."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")
+    salts = F.lit(salts) if isinstance(salts, int) else salts
+    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), salts).cast("int")
+
+
+def salted(df: DataFrame, crowded: DataFrame, keys: list[str], spread: list[str], name: str, max_keys: int = HEAVY_MAX_KEYS) -> DataFrame:
+    """``df`` with a salt for the rows of crowded keys, taken from the columns ``spread``; 0 for the others."""
+    marked = match_listed(df, crowded, keys, "left", max_keys)
+    salt = F.when(F.col("_salts").isNotNull(), row_salt(spread, F.col("_salts"))).otherwise(F.lit(0))
+    return marked.withColumn(name, salt).drop("_salts")
+
+
+def repeated(df: DataFrame, crowded: DataFrame, keys: list[str], name: str, max_keys: int = HEAVY_MAX_KEYS) -> DataFrame:
+    """``df`` with the rows of a crowded key once for each of its salts."""
+    marked = match_listed(df, crowded, keys, "left", max_keys)
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    return marked.withColumn(name, F.explode(copies)).drop("_salts")
 
 
 def salted_join(
@@ -69,36 +91,34 @@ def salted_join(
     spread: list[str] | None = None,
     min_rows: int = HEAVY_MIN_ROWS,
     max_keys: int = HEAVY_MAX_KEYS,
-    salts: int = SALTS,
+    salts: int | None = None,
     condition: Column | None = None,
 ) -> DataFrame:
-    """Equi-join where only the heavy keys of ``fact`` are salted.
-
-    Rows of a heavy key spread over ``salts`` partitions and only the matching
-    rows of ``dim`` are repeated that many times; all other keys join as usual.
-    ``how`` is inner, left, left_semi or left_anti. ``null_safe`` lets NULL
-    match NULL. ``spread`` names the columns the salt is taken from; it should
-    tell rows of one key apart (default: every column of ``fact``).
-    ``condition`` is a further condition on columns of both sides.
+    """Equi-join where only the crowded keys of ``fact`` are salted.
+
+    A key of more than ``min_rows`` rows spreads over one partition for each
+    ``min_rows`` of them (or over ``salts``) and only the matching rows of
+    ``dim`` are repeated that many times; all other keys join as usual, and
+    without crowded keys it is a plain join. ``how`` is inner, left, left_semi
+    or left_anti. ``null_safe`` lets NULL match NULL. ``spread`` names the
+    columns the salt is taken from; it should tell rows of one key apart
+    (default: every column of ``fact``). ``condition`` is a further condition on
+    columns of both sides. ``max_keys`` is how long a list of crowded keys may
+    be to be broadcast.
     """
-    heavy = heavy_keys(fact, keys, min_rows, max_keys)
-    spread = spread or fact.columns
-    left = flag_heavy(fact, heavy, keys, "_hot").withColumn(
-        "_salt", F.when(F.col("_hot"), row_salt(spread, salts)).otherwise(F.lit(0))
-    ).drop("_hot")
-    right = flag_heavy(dim, heavy, keys, "_hot")
-    right = right.withColumn(
-        "_dsalt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    ).drop("_hot")
+    crowded = crowded_keys(fact, keys, min_rows, salts)
+    if crowded.isEmpty():
+        left, right = fact, dim
+    else:
+        left = salted(fact, crowded, keys, spread or fact.columns, "_salt", max_keys)
+        right = repeated(dim, crowded, keys, "_dsalt", max_keys)
     right = right.withColumnsRenamed({k: f"_d_{k}" for k in keys})
     same = [
         F.col(k).eqNullSafe(F.col(f"_d_{k}")) if null_safe else F.col(k) == F.col(f"_d_{k}")
         for k in keys
     ]
-    same.append(F.col("_salt") == F.col("_dsalt"))
+    if left is not fact:
+        same.append(F.col("_salt") == F.col("_dsalt"))
     joined = left.join(right, _all(same if condition is None else [*same, condition]), how)
     return joined.drop("_salt", "_dsalt", *[f"_d_{k}" for k in keys])
 
