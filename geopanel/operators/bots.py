@@ -97,7 +97,8 @@ def forward_windows(
     finite = F.when(F.abs(measure) < float("inf"), measure)
     at = F.unix_micros(F.col(timestamp))
     parts = ["rows", "seen", "far", *[f"l{k}" for k in range(len(scale))]]
-    moments = df.select(user, at.alias("_t"), measure.alias("_m"), limbs(finite, scale).alias("_l")).groupBy(user, "_t").agg(
+    parted = F.when(finite.isNotNull(), limbs(finite, scale))
+    moments = df.select(user, at.alias("_t"), measure.alias("_m"), parted.alias("_l")).groupBy(user, "_t").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("_m").alias("seen"),
         (F.count("_m") - F.count("_l")).alias("far"),
