@@ -168,6 +168,35 @@ add(
 FROM events WHERE event_id % 8 <> 0 AND event_id % 50 <> 3""",
 )
 
+# --- files -----------------------------------------------------------------
+
+ORACLES["raw_dump"] = ORACLES["parse_posts"]
+add(
+    "delimited_table",
+    """SELECT CAST(event_id AS VARCHAR) AS id, 'u' || CAST(user_id AS VARCHAR) AS username, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
+  event_type || CASE WHEN event_id % 3 = 0 THEN chr(10) || '|' ELSE ' ' END || props AS text, CAST(event_id % 2 AS VARCHAR) AS geo_available,
+  CASE WHEN event_id % 5 <> 0 THEN CAST((2400 + event_id * 53 % 2600) // 100 AS VARCHAR) || '.' || lpad(CAST((2400 + event_id * 53 % 2600) % 100 AS VARCHAR), 2, '0')
+    || ' -' || CAST((12500 - event_id * 37 % 5900) // 100 AS VARCHAR) || '.' || lpad(CAST((12500 - event_id * 37 % 5900) % 100 AS VARCHAR), 2, '0') END AS coordinates
+FROM events""",
+)
+add("delimited_single_lines", f"WITH {POSTS} SELECT id, username, text, {r6('pm25')} AS pm25 FROM posts")
+add(
+    "saved_table",
+    f"""WITH {POSTS} SELECT {date_text("CAST(timestamp AS DATE)")} AS date, count(*) AS posts, min(username) AS first, {r6("avg(pm25)")} AS pm25
+FROM posts GROUP BY CAST(timestamp AS DATE)""",
+)
+add(
+    "id_archives",
+    """SELECT CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 300 AS VARCHAR) || '_ID.txt' AS file,
+  row_number() OVER (PARTITION BY doc_id // 1000, doc_id // 300 ORDER BY doc_id) - 1 AS line, CAST(doc_id AS VARCHAR) AS id FROM documents""",
+)
+add(
+    "row_key_scores",
+    f"""WITH {POSTS}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS X1 FROM posts)
+SELECT X1, username, {r6("vader_compound")} AS vader_compound, {r6("roberta_positive")} AS roberta_positive, {r6("roberta_negative")} AS roberta_negative, label
+FROM numbered WHERE id % 10 NOT IN (1, 3)""",
+)
+
 # --- text and scores -------------------------------------------------------
 
 add(
@@ -218,6 +247,10 @@ add(
 SELECT doc_id, {r6("p")} AS p, string_split(inside, ',')[1] AS main_label
 FROM probs JOIN labels19 USING (doc_id) WHERE j = 16 AND p > 0.15""",
 )
+add(
+    "safe_names",
+    f"""WITH {TOPIC_ROWS} SELECT doc_id, replace(name, '&', '.') AS name, {r6("p")} AS p FROM probs JOIN names USING (j) WHERE name LIKE '%&%'""",
+)
 add(
     "extract_page_fields",
     r"""WITH f AS (
@@ -278,6 +311,13 @@ add(
     f"""WITH {POSTS} SELECT id, count(*) OVER w AS posts, {r6("avg(vader_compound) OVER w")} AS mean
 FROM posts WINDOW w AS ({frame("21599.999999")})""",
 )
+add(
+    "forward_window_extremes",
+    f"""WITH {POSTS}, v AS (SELECT id, username, timestamp,
+  CAST(vader_compound * CASE id % 3 WHEN 0 THEN 1e20::DOUBLE WHEN 1 THEN 1e-15::DOUBLE ELSE 1 END AS DOUBLE) AS v FROM posts),
+m AS (SELECT id, count(*) OVER w AS posts, avg(v) OVER w AS mean FROM v WINDOW w AS ({frame("21599.999999")}))
+SELECT id, posts, {r6("mean * CASE WHEN abs(mean) > 1e10 THEN 1e-20::DOUBLE WHEN abs(mean) < 1e-5 THEN 1e15::DOUBLE ELSE 1 END")} AS mean FROM m""",
+)
 add("burst_users", f"WITH {POSTS}, {BURST} SELECT username FROM burst")
 add("high_volume_users", f"WITH {POSTS}, {VOLUME} SELECT username FROM volume")
 add(
@@ -513,6 +553,13 @@ add(
     "interpolate_hourly",
     f"WITH {HOURLY} SELECT id, variable, {time_text('moment')} AS timestamp, {r6('value')} AS value FROM hourly",
 )
+add(
+    "interpolate_off_step",
+    f"""WITH {SERIES}, knots AS (SELECT id, variable, moment + INTERVAL 7 MINUTE AS t, value,
+    lead(moment + INTERVAL 7 MINUTE) OVER w AS nt, lead(value) OVER w AS nv FROM series WINDOW w AS (PARTITION BY id, variable ORDER BY moment)),
+steps AS (SELECT *, unnest(generate_series(date_trunc('hour', t) + INTERVAL 1 HOUR, nt, INTERVAL 1 HOUR)) AS h FROM knots WHERE nt IS NOT NULL)
+SELECT id, variable, {time_text("h")} AS timestamp, {r6("value + (nv - value) * epoch(h - t) / epoch(nt - t)")} AS value FROM steps WHERE h < nt""",
+)
 CELL = "CAST(floor((lat - 24) / 6.5) * 5 + floor((lon + 125) / 11.8) AS BIGINT)"
 add(
     "grid_attach",

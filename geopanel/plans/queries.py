@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +23,12 @@ from geopanel.functions.text import TOPICS, argmax_label, escape_quotes, main_to
 from geopanel.functions.times import cut_hours, weekday
 from geopanel.functions.units import GRID_VARIABLES, convert_units
 from geopanel.operators import bots, describe, panel, regress, score, smooth, spatial, weather
+from geopanel.ordered import row_positions
 from geopanel.plans import standins as src
 from geopanel.sources import archives, grids, pages
 from geopanel.sources import posts as post_source
 from geopanel.sources import regions as region_source
+from geopanel.skew import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,6 +147,107 @@ def parsed_points(spark, sf_dir):
     return panel.drop_missing(points).withColumnRenamed("place", "region").drop("geo_available")
 
 
+# --- files written to the shared folder and read again ---------------------
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def raw_dump(spark, sf_dir):
+    path = own_folder(spark, "dump")
+    post_source.write_raw_posts(raw_records(spark, sf_dir), path)
+    return post_source.parse_posts(post_source.read_raw_posts(spark, path))
+
+
+@query
+def delimited_table(spark, sf_dir):
+    e = F.col("event_id")
+    rows = src.table(spark, sf_dir, "events").select(
+        e.cast("string").alias("id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.concat(F.col("event_type"), F.when(e % 3 == 0, F.lit("\n|")).otherwise(F.lit(" ")), F.col("props")).alias("text"),
+        (e % 2).cast("string").alias("geo_available"),
+        F.when(e % 5 != 0, src.coordinate_text(e)).alias("coordinates"),
+    )
+    path = own_folder(spark, "delimited")
+    post_source.write_delimited(rows, path)
+    return post_source.read_delimited(spark, path, post_source.POSTS)
+
+
+@query
+def delimited_single_lines(spark, sf_dir):
+    """Without line breaks in fields, files are split."""
+    rows = src.posts(spark, sf_dir).select("id", "username", F.col("text"), "pm25")
+    path = own_folder(spark, "lines")
+    post_source.write_delimited(rows, path)
+    return rounded(post_source.read_delimited(spark, path, rows.schema, multi_line=False), ["pm25"])
+
+
+@query
+def saved_table(spark, sf_dir):
+    rows = src.posts(spark, sf_dir).select("id", "username", "pm25", F.to_date("timestamp").alias("date"))
+    path = own_folder(spark, "table")
+    post_source.write_table(rows, path, ["date"])
+    days = post_source.read_table(spark, path).groupBy("date")
+    counts = days.agg(F.count(F.lit(1)).alias("posts"), F.min("username").alias("first"), F.avg("pm25").alias("pm25"))
+    return rounded(counts.withColumn("date", text_date("date")), ["pm25"])
+
+
+#: Ids of an archive of the query below, and of one of its members.
+ARCHIVE_IDS, MEMBER_IDS = 1_000, 300
+
+
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """One zip archive of .txt members for every ``ARCHIVE_IDS`` ids (doc_id), on the executors."""
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        ids = group["doc_id"].sort_values()
+        archive = int(ids.iloc[0]) // ARCHIVE_IDS
+        files, inner = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+        files.create_dir(inner, recursive=True)
+        with files.open_output_stream(f"{inner}/{archive}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, part in ids.groupby(ids // MEMBER_IDS):
+                z.writestr(f"{archive}/{member}_ID.txt", "".join(f"{i}{' ' * (i % 3)}\t\r\n" for i in part))
+            z.writestr("readme.md", "no ids\n")
+        return pd.DataFrame({"archive": [archive], "ids": [len(ids)]})
+
+    keyed = rows.select("doc_id", F.floor(F.col("doc_id") / ARCHIVE_IDS).alias("archive"))
+    return keyed.groupBy("archive").applyInPandas(write, "archive long, ids long")
+
+
+@query
+def id_archives(spark, sf_dir):
+    path = own_folder(spark, "archives")
+    write_archives(src.table(spark, sf_dir, "documents").select("doc_id"), path).count()
+    return archives.read_id_archives(spark, path).select("file", "line", "id")
+
+
+@query
+def safe_names(spark, sf_dir):
+    """Topic columns under names of safe characters, one row for each."""
+    names = [c for c in TOPICS if "&" in c]
+    safe = grids.sanitize_columns(scored_topics(spark, sf_dir).select("doc_id", *[f"`{c}`" for c in names]))
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), r6(F.col(f"`{c}`")).alias("p")) for c in safe.columns[1:]])
+    return safe.select("doc_id", F.inline(pairs))
+
+
+@query
+def row_key_scores(spark, sf_dir):
+    """Score tables without ids, joined on the row's position in each file."""
+    rows = src.posts(spark, sf_dir).withColumn("file", F.lit("posts"))
+    rows = row_positions(rows, ["file"], "id", 4096, "X1")
+    base = rows.select("X1", "username", "vader_compound")
+    roberta = rows.where(F.col("id") % 10 != 1).select("X1", "roberta_positive", "roberta_negative")
+    topics = rows.where(F.col("id") % 10 != 3).select("X1", "label")
+    joined = panel.assemble_scores(base, [roberta, topics], on="X1")
+    return rounded(joined, ["vader_compound", "roberta_positive", "roberta_negative"])
+
+
 # --- text and scores -------------------------------------------------------
 
 
@@ -281,6 +387,17 @@ def forward_window_stats(spark, sf_dir):
     return found.select("id", "posts", r6("mean").alias("mean"))
 
 
+@query
+def forward_window_extremes(spark, sf_dir):
+    """Window means over values of very different size, relative to their own size."""
+    huge, tiny = F.col("id") % 3 == 0, F.col("id") % 3 == 1
+    value = F.col("vader_compound") * F.when(huge, 1e20).when(tiny, 1e-15).otherwise(1.0)
+    rows = src.posts(spark, sf_dir).select("id", "username", "timestamp", value.alias("v"))
+    found = bots.forward_window_stats(rows, SIX_HOURS, value="v")
+    scale = F.when(F.abs("mean") > 1e10, 1e-20).when(F.abs("mean") < 1e-5, 1e15).otherwise(1.0)
+    return found.select("id", "posts", r6(F.col("mean") * scale).alias("mean"))
+
+
 @query
 def burst_users(spark, sf_dir):
     return bots.burst_users(src.posts(spark, sf_dir), posts=5, seconds=TWELVE_HOURS)
@@ -600,6 +717,14 @@ def interpolate_hourly(spark, sf_dir):
     return hourly.select("id", "variable", text_time("timestamp").alias("timestamp"), r6("value").alias("value"))
 
 
+@query
+def interpolate_off_step(spark, sf_dir):
+    """Knots at seven past the hour, rows at whole hours."""
+    series = src.grid_series(spark, sf_dir).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '7' MINUTE"))
+    hourly = weather.interpolate_linear(series, ["id", "variable"], slice_seconds=5 * 86_400)
+    return hourly.select("id", "variable", text_time("timestamp").alias("timestamp"), r6("value").alias("value"))
+
+
 @query
 def grid_attach(spark, sf_dir):
     hourly = weather.interpolate_linear(src.grid_series(spark, sf_dir), ["id", "variable"])

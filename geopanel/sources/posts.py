@@ -65,20 +65,29 @@ def parse_rejects(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = "|", header: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = "|", header: bool = True, multi_line: bool = True
 ) -> DataFrame:
-    """Delimited table with quoted line breaks and doubled quotes; no inference."""
+    """Delimited table with doubled quotes; no inference.
+
+    ``multi_line`` allows line breaks inside quotes, and then a file is one
+    task. Turn it off for tables without them: their files are split.
+    """
     return (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", header)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
 
 
+def write_raw_posts(raw: DataFrame, path: str, column: str = "value", mode: str = "errorifexists") -> None:
+    """Write records as a dump that :func:`read_raw_posts` reads back."""
+    raw.select(column).write.mode(mode).option("lineSep", RECORD_END).text(path)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "|", mode: str = "errorifexists") -> None:
     """Write a delimited table that :func:`read_delimited` reads back unchanged."""
     (
