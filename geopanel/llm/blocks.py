@@ -1,12 +1,14 @@
 """Texts as flat byte arrays, a bounded block at a time.
 
-Arrow keeps the texts of a batch as one UTF-8 buffer with offsets. The
+Python workers outlive their tasks, so what a task has freed is given back to
+the machine at its end (:func:`release`). Arrow keeps the texts of a batch as one UTF-8 buffer with offsets. The
 operators work on that buffer with numpy, ``BLOCK_BYTES`` at a time (one text
 at least), so that the memory of a task does not grow with its partition.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -15,6 +17,10 @@ import pyarrow as pa
 
 #: Text bytes that are held as wide arrays at one time.
 BLOCK_BYTES = 2_000_000
+#: The same for operators that hold many wide arrays of a block at once.
+SMALL_BLOCK = 256_000
+#: A text of more bytes is worked on in pieces where an operator can.
+LONG_TEXT = 1_000_000
 
 #: Bytes 9-13 and 32.
 SPACE = np.zeros(256, bool)
@@ -25,6 +31,9 @@ LOWER[65:91] += 32
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
+#: A second hash beside the first: 128 bits together.
+BASE_2 = 0xC2B2AE3D27D4EB4F | 1
+INVERSE_2 = pow(BASE_2, -1, 2**64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,19 +56,28 @@ def powers(base: int, n: int) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, base: int = BASE) -> np.ndarray:
     """Running sums from which :func:`span_hashes` takes the hash of any span."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(BASE, len(data)), out=out[1:])
+    np.cumsum(BYTE_CODES[data] * powers(base, len(data)), out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int = INVERSE) -> np.ndarray:
     """64-bit hash of each ``data[start:end]``; equal spans have equal hashes."""
-    h = (sums[end] - sums[start]) * powers(INVERSE, len(sums))[start]
+    h = (sums[end] - sums[start]) * powers(inverse, len(sums))[start]
     return mix(h ^ (end - start).astype(np.uint64))
 
 
+def release() -> None:
+    """Give free memory of this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_array(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as large strings without nulls (null: empty)."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -79,6 +97,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches with a ``text`` column into parts of about ``limit`` text bytes."""
     gc.collect()  # what the worker's last task left in reference cycles
+    batch = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -89,6 +108,8 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             last = min(last, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    del batch
+    release()
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

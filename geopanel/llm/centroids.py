@@ -298,14 +298,11 @@ def cluster(
 
 def summary(found: DataFrame, centroids: list[list[int]]) -> DataFrame:
     """``found`` with cluster_inertia, inertia and centroid_sha256."""
-    names = [(c, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids)]
-    named = found.sparkSession.createDataFrame(names or [(0, "")], "cluster int, centroid_sha256 string")
-
-    def total(name: str):
-        return F.least(F.sum(F.col(name).cast("decimal(38,0)")), F.lit(LARGEST)).cast("long")
-
-    inner = found.groupBy("cluster").agg(total("distance").alias("cluster_inertia"))
-    whole = found.agg(total("distance").alias("inertia"))
-    # as many rows as there are centroids
-    per = inner.join(F.broadcast(named), "cluster").crossJoin(F.broadcast(whole))
-    return found.join(F.broadcast(per), "cluster")
+    total = F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")
+    # a row for each centroid
+    sums = {r["cluster"]: int(r["total"]) for r in found.groupBy("cluster").agg(total).collect()}
+    names = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in centroids]
+    whole = min(sum(sums.values()), LARGEST)
+    rows = [(c, min(n, LARGEST), whole, names[c]) for c, n in sums.items()]
+    columns = "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
+    return found.join(F.broadcast(found.sparkSession.createDataFrame(rows, columns)), "cluster")

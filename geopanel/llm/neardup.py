@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from geopanel.skew import join_bounded, materialize
 
-from .blocks import LOWER, blocks, mix, prefix_hashes, raw, span_hashes, text_array, word_spans
+from .blocks import LONG_TEXT, LOWER, SMALL_BLOCK, SPACE, blocks, mix, prefix_hashes, raw, span_hashes, text_array, word_spans
 from .graph import components
 
 BANDS, ROWS = 50, 6
@@ -55,6 +55,30 @@ _LEVEL = np.uint64(50)
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of every text: their hashes, sorted in each text, and where each text's begin."""
     data, at = raw(texts)
+    if len(data) <= LONG_TEXT:
+        return _sets(data, at, width)
+    sets = [_long_set(data[a:b], width) for a, b in zip(at[:-1], at[1:])]
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+
+def _long_set(data: np.ndarray, width: int) -> np.ndarray:
+    """The set of one text, a piece at a time; each piece begins with the last words of the one before."""
+    found, rest = np.zeros(0, np.uint64), b""
+    for first in range(0, len(data), LONG_TEXT):
+        last = first + LONG_TEXT >= len(data)
+        piece = np.frombuffer(rest + data[first : first + LONG_TEXT].tobytes(), np.uint8)
+        blank = np.flatnonzero(SPACE[piece])
+        # up to the last blank: a word may go on in the next piece
+        whole = len(piece) if last else int(blank[-1]) if len(blank) else 0
+        start, _, _ = word_spans(piece[:whole], np.array([0, whole]))
+        if len(start) >= width or (last and not len(found)):
+            found = np.union1d(found, _sets(piece[:whole], np.array([0, whole]), width)[0])
+        kept = int(start[-(width - 1)]) if width > 1 and len(start) >= width - 1 else 0 if len(start) < width - 1 else whole
+        rest = piece[kept:].tobytes()
+    return found
+
+
+def _sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(at) - 1
     data = LOWER[data]
     start, end, owner = word_spans(data, at)
@@ -87,7 +111,7 @@ def superminhash(elements: np.ndarray, at: np.ndarray, places: int) -> np.ndarra
     n = len(at) - 1
     none = np.uint64(2**64 - 1)
     out = np.full(n * places, none, np.uint64)
-    group = max(1, 4_000_000 // places)  # elements whose permutations are held together
+    group = max(1, 2_000_000 // places)  # elements whose permutations are held together
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + group, "right")) - 1)
@@ -141,7 +165,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     inner = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
+        for part in blocks(batches, SMALL_BLOCK):
             h, at = shingle_sets(text_array(part), width)
             keys = band_keys(superminhash(h, at, bands * rows), bands, rows).view(np.int64)
             empty = pa.array(np.diff(at) == 0)
@@ -180,7 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, None
-        for part in blocks(batches):
+        for part in blocks(batches, SMALL_BLOCK):
             h, at = shingle_sets(text_array(part), width)
             hits: list[tuple[bytes, bytes]] = []
             for i, (a, b) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):

@@ -16,6 +16,8 @@ from itertools import chain, count, islice
 import numpy as np
 import regex
 
+from .blocks import BASE_2, INVERSE_2, prefix_hashes, span_hashes, word_spans
+
 #: Units that a task remembers; beyond them it starts anew.
 REMEMBERED = 500_000
 
@@ -26,6 +28,52 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 BLANK_LED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+#: New units that are searched apart from the others until there are so many.
+RECENT = 50_000
+#: First bytes of the white space outside ASCII, as UTF-8.
+LEADS = np.zeros(256, bool)
+LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def other_white(data: np.ndarray) -> np.ndarray:
+    """Places of white space outside ASCII in UTF-8 bytes: U+0085, U+00A0 and the rest of ``WHITE``."""
+    at = np.flatnonzero(LEADS[data])
+    padded = np.append(data, [0, 0])
+    a, b, c = data[at], padded[at + 1], padded[at + 2]
+    general = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    found = (
+        ((a == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+        | ((a == 0xE1) & (b == 0x9A) & (c == 0x80))
+        | ((a == 0xE2) & (general | ((b == 0x81) & (c == 0x9F))))
+        | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    )
+    return at[found]
+
+
+def unit_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of the units of ``BLANK_LED``, in order, of texts whose white space is ASCII."""
+    start, end, owner = word_spans(data, at)
+    before = np.empty_like(start)
+    before[1:] = end[:-1]
+    first = np.ones(len(start), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    before[first] = at[owner[first]]
+    gap = start - before
+    blank = (gap > 0) & (data[start - 1] == 32)
+    run, single = gap > 1, (gap > 0) & ~blank
+    # what follows the last word of a text, or is all of it
+    tail = at[:-1].copy()
+    last = np.ones(len(start), bool)
+    last[:-1] = first[1:]
+    tail[owner[last]] = end[last]
+    rest = np.flatnonzero(tail < at[1:])
+    starts = np.concatenate([start - blank, before[run], start[single] - 1, tail[rest]])
+    ends = np.concatenate([end, start[run] - 1, start[single], at[1:][rest]])
+    owners = np.concatenate([owner, owner[run], owner[single], rest])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], owners[order]
+
+
 def byte_letters() -> list[str]:
     """How byte-level models write bytes: printable ones as themselves, the others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -61,6 +109,88 @@ class Units:
         self.start = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
         self.known: dict[str, list[int]] = {}
+        # hashes of units, sorted, and their numbers: the many and the recent ones
+        self.hashed = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.second = np.zeros(0, np.uint64)
+
+    def _looked_up(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of hashed units, -1 for new ones."""
+        out = np.full(len(h), -1, np.int64)
+        for hashes, numbers in self.hashed:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[at] == h
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def _remember(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        many, recent = self.hashed
+        both = [np.concatenate(x) for x in zip(recent, (h, numbers))]
+        if len(both[0]) > RECENT:
+            both, recent = [np.concatenate(x) for x in zip(many, both)], self.hashed[1]
+        order = np.argsort(both[0])
+        made = both[0][order], both[1][order]
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashed = [made, empty] if len(made[0]) > len(many[0]) and len(made[0]) > RECENT else [many, made]
+
+    def _append(self, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
+
+    def span_numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number for each span of a block; only spans that are new to the task become strings.
+
+        Spans are told apart by 128 bits. Not to be mixed with :meth:`numbers`.
+        """
+        if len(self.start) > REMEMBERED:
+            self.forget()
+        h = span_hashes(prefix_hashes(data), start, end)
+        check = span_hashes(prefix_hashes(data, BASE_2), start, end, INVERSE_2)
+        unique, first, which = np.unique(h, return_index=True, return_inverse=True)
+        number = self._looked_up(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            gc.disable()  # only lists of numbers are made here
+            try:
+                spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
+                ids = self.encode_all([data[a:b].tobytes().decode() for a, b in spans])
+            finally:
+                gc.enable()
+            number[new] = np.arange(len(new)) + len(self.start) - 1
+            self._append(ids)
+            self.second = np.concatenate([self.second, check[first[new]]])
+            self._remember(unique[new], number[new])
+        out = number[which]
+        if (self.second[out] != check).any():
+            raise ValueError("two units share a hash")
+        return out
+
+    def encode_block(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a block.
+
+        Texts with the string of an added token go to the library whole, those
+        with white space outside ASCII are cut by the regular expression.
+        """
+        text = data.tobytes()
+        whole = {int(np.searchsorted(at, m.start(), "right")) - 1 for s in self.special for m in re.finditer(re.escape(s.encode()), text)}
+        cut = set((np.searchsorted(at, other_white(data), "right") - 1).tolist())
+        start, end, owner = unit_spans(data, at)
+        if whole or cut:
+            plain = ~np.isin(owner, sorted(whole | cut))
+            start, end, owner = start[plain], end[plain], owner[plain]
+        numbers = self.span_numbers(data, start, end)
+        sizes = self.sizes(numbers)
+        ids = self.ids(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(owner, np.arange(len(at)))]
+        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for k in cut | whole:
+            one = text[at[k] : at[k + 1]].decode()
+            if k in whole:
+                out[k] = np.array(self.tokenizer.encode(one, add_special_tokens=False).ids, np.uint32)
+            else:
+                out[k] = np.fromiter(chain.from_iterable(self.encode_all(BLANK_LED.findall(one))), np.uint32)
+        return out
 
     def encode_all(self, units: list[str]) -> list[list[int]]:
         """The ids of each unit."""

@@ -45,9 +45,10 @@ def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeated 400-byte strings take from every document."""
-    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What repeated 400-byte strings take from every document, and the bytes of its repeated passages of over 50 words."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), marked=50)
+    found = found.withColumnRenamed("n_passage", "n_removed_words")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_removed_words")
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

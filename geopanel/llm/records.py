@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks, text_array
-from .pieces import BLANK_LED, Units
+from .blocks import blocks, raw, text_array
+from .pieces import Units
 
 #: Payload bytes after which a task starts another file.
 FILE_BYTES = 64_000_000
@@ -148,15 +148,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, pattern: st
             done.append((part, len(done), uri, n, ids, size))
 
         for block in blocks(batches):
-            texts = text_array(block).to_pylist()
-            cut = [[] if any(s in t for s in units.special) else BLANK_LED.findall(t) for t in texts]
-            numbers = units.numbers([u for doc in cut for u in doc])
-            ends = np.cumsum([0, *map(len, cut)])
-            for k, doc_id in enumerate(block.column(0).to_pylist()):
-                if cut[k]:
-                    ids = units.ids(numbers[ends[k] : ends[k + 1]])
-                else:  # empty, or with the text of an added token
-                    ids = np.array(units.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            data, at = raw(text_array(block))
+            for doc_id, ids in zip(block.column(0).to_pylist(), units.encode_block(data, at)):
                 if writer is None:
                     writer = Writer(f"{folder}/part-{part:06d}-{len(done):04d}-{attempt}.rec", dtype)
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))

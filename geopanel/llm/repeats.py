@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import join_bounded, materialize
 
-from .blocks import blocks, mix, prefix_hashes, raw, span_hashes, text_array, word_spans
+from .blocks import BASE, BASE_2, INVERSE, INVERSE_2, LONG_TEXT, SMALL_BLOCK, blocks, mix, prefix_hashes, raw, release, span_hashes, text_array, word_spans
 
 LENGTH = 400
 #: Bytes of the hashed strings from which anchors are chosen.
@@ -69,6 +69,10 @@ SHIFT = [
     for r in range(COVER)
 ]
 KEY = ["doc_id", "text_hash"]
+#: Words of the hashed strings from which anchors of passages are chosen.
+WORD_GRAM = 8
+#: Windows of words whose hashes are held at one time.
+WINDOWS = 100_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -90,8 +94,22 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text number, anchor hash, stretch hash, first and last window, anchor place) of all stretches.
 
-    Places are counted from the start of the text.
+    Places are counted from the start of the text. A long text is cut into
+    pieces that overlap by ``length - 1`` bytes, so each window lies in one of
+    them; a stretch over a cut becomes two.
     """
+    if len(data) > LONG_TEXT:
+        parts = []
+        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            for first in range(a, b, LONG_TEXT):
+                piece = data[first : min(b, first + LONG_TEXT + length - 1)]
+                of, anchor, whole, *places = _stretches(piece, np.array([0, len(piece)]), length)
+                parts.append((of + k, anchor, whole, *(p + (first - a) for p in places)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    return _stretches(data, at, length)
+
+
+def _stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
@@ -121,7 +139,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     """Stretches (once for each document, with their count) and, with a null anchor, settled spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
+        for part in blocks(batches, SMALL_BLOCK):
             data, at = raw(text_array(part))
             of, anchor, whole, a, b, p = stretches(data, at, length)
             order = np.lexsort((a, whole, anchor, of))
@@ -287,6 +305,8 @@ def _sorted_blocks(texts: DataFrame, length: int) -> DataFrame:
                 size += len(row[2])
         if held:
             yield solve(held)
+        del held
+        release()
 
     rows = texts.select("anchor", "whole", "stretch").repartition("anchor").sortWithinPartitions("anchor")
     return rows.mapInArrow(run, "anchor long, whole long, lo long, hi long")
@@ -420,78 +440,171 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_words(rows: DataFrame, words: int, length: int) -> DataFrame:
-    """(doc_id, text_hash, spans) as :func:`repeated_spans`, of passages of more than ``words`` words under ``length`` bytes.
+def word_stretches(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows of ``words`` words that name one anchor, the smallest hash of ``WORD_GRAM`` words in them.
 
-    Every passage of more than ``words`` whole words is covered by windows of
-    ``words + 1`` words. Those of ``length`` bytes or more are strings that
-    :func:`repeated_spans` finds, so only the shorter windows, few in usual
-    text, are written and counted.
+    (text number, anchor hash, two hashes of the stretch, first and last byte,
+    words before the anchor). Places are counted from the start of the text.
+    """
+    start, end, owner = word_spans(data, at)
+    parts = []
+    for first in range(0, max(len(start) - words + 1, 0), WINDOWS):
+        last = min(first + WINDOWS, len(start) - words + 1)
+        s, e, of = start[first : last + words - 1], end[first : last + words - 1], owner[first : last + words - 1]
+        base = s[0]
+        piece = data[base : e[-1]]
+        one, two = prefix_hashes(piece), prefix_hashes(piece, BASE_2)
+        s, e = s - base, e - base
+        n = len(s) - WORD_GRAM + 1
+        grams = span_hashes(one, s[:n], e[WORD_GRAM - 1 :])
+        low = np.uint64(max(1, n.bit_length()))
+        key = (grams >> low << low) | np.arange(n, dtype=np.uint64)
+        anchor = (_least(key, words - WORD_GRAM + 1) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        windows = np.flatnonzero(of[: last - first] == of[words - 1 :])
+        if not len(windows):
+            continue
+        anchor = anchor[windows]
+        new = np.ones(len(windows), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (of[windows[1:]] != of[windows[:-1]]) | (np.diff(windows) > 1)
+        head = np.flatnonzero(new)
+        tail = np.concatenate([head[1:], [len(windows)]]) - 1
+        a, b, p = windows[head], windows[tail] + words - 1, anchor[head]
+        lead = (p - a).astype(np.uint64)
+        hashes = [mix(span_hashes(x, s[a], e[b], y) ^ mix(lead)) for x, y in ((one, INVERSE), (two, INVERSE_2))]
+        shift = base - at[of[a]]
+        parts.append((of[a], grams[p], *hashes, s[a] + shift, e[b] + shift, p - a))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none, *[none.astype(np.uint64)] * 3, none, none, none
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def repeated_words(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, spans) as :func:`repeated_spans`, of passages of more than ``words`` words.
+
+    Such a passage is covered by windows of ``words + 1`` whole words, and a
+    window repeats if its bytes start with a word anywhere else. Windows are
+    dealt by anchors as byte strings are: equal windows name equal anchors at
+    equal distances. Stretches that are equal as a whole repeat; only where
+    different ones share an anchor are their windows written and counted.
+    Hashes have 128 bits.
     """
+    size = words + 1
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = [*KEY, "anchor", "w1", "w2", "start", "end", "lead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
+        for part in blocks(batches, SMALL_BLOCK):
+            data, at = raw(text_array(part))
+            of, *hashes, start, end, lead = word_stretches(data, at, size)
+            taken = [part.column(k).take(pa.array(of)) for k in (0, 1)]
+            columns = [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(start), pa.array(end), pa.array(lead)]
+            yield pa.RecordBatch.from_arrays([*taken, *columns], names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, SMALL_BLOCK):
             data, at = raw(text_array(part))
-            start, end, owner = word_spans(data, at)
-            n = max(len(start) - words, 0)
-            first, last = np.arange(n), np.arange(n) + words
-            use = (owner[first] == owner[last]) & (end[last] - start[first] < length)
-            a, b, of = start[first[use]], end[last[use]], owner[first[use]]
+            out: list[tuple] = []
+            for i, cuts in enumerate(part.column(3).to_pylist()):
+                for c in cuts:
+                    piece = data[at[i] + c["start"] : at[i] + c["end"]]
+                    s, e, _ = word_spans(piece, np.array([0, len(piece)]))
+                    n = len(s) - size + 1
+                    h = [span_hashes(prefix_hashes(piece, x), s[:n], e[size - 1 :], y) for x, y in ((BASE, INVERSE), (BASE_2, INVERSE_2))]
+                    out.append((i, c, s[:n] + c["start"], e[size - 1 :] + c["start"], h, c["lead"] - np.arange(n)))
+            count = np.array([len(x[2]) for x in out], np.int64)
+
+            def joined(values: list, kind: type) -> pa.Array:
+                return pa.array(np.concatenate([np.zeros(0, kind), *values]).astype(kind, copy=False))
+
+            of = np.repeat(np.array([x[0] for x in out], np.int64), count)
+            cut = [pa.array(np.repeat(np.array([x[1][k] for x in out], np.int64), count)) for k in ("anchor", "w1", "w2", "times")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(pa.array(of)),
-                    part.column(1).take(pa.array(of)),
-                    pa.array(span_hashes(prefix_hashes(data), a, b).view(np.int64)),
-                    pa.array(a - at[of]),
-                    pa.array(b - at[of]),
+                    part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), *cut,
+                    joined([x[5] for x in out], np.int64), *(joined([x[4][k].view(np.int64) for x in out], np.int64) for k in (0, 1)),
+                    joined([x[2] for x in out], np.int64), joined([x[3] for x in out], np.int64),
                 ],
-                [*KEY, "window", "start", "end"],
-            )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    made = materialize(
-        rows.mapInArrow(run, f"doc_id {kind}, text_hash long, window long, start long, end long"), "windows"
+                [*KEY, "anchor", "w1", "w2", "times", "far", "h1", "h2", "start", "end"],
+            )
+
+    schema = f"doc_id {kind}, text_hash long, anchor long, w1 long, w2 long, start long, end long, lead long"
+    found = materialize(rows.select(*KEY, "text").mapInArrow(run, schema), "word-stretches")
+    same = F.struct("w1", "w2")
+    shared = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min(same) != F.max(same)).alias("differ"))
+    hits = materialize(found.join(shared.where("times > 1").drop("times"), "anchor"), "word-hits")
+    what = ["anchor", "w1", "w2"]
+    kinds = hits.groupBy(*what, "differ").agg(
+        F.count("*").alias("times"), F.min(F.struct(*KEY, "start", "end", "lead")).alias("at")
     )
-    again = materialize(made.groupBy("window").count().where("count > 1").select("window"), "again")
-    found = join_bounded(made, again, ["window"], "left_semi")
-    return found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    kinds = materialize(kinds, "word-kinds")
+    full = hits.join(kinds.where("times > 1").select(*what), what).select(*KEY, "start", "end")
+    # one stretch of each kind stands for all
+    cuts = kinds.where("differ").select(*what, "times", "at.*").groupBy(*KEY).agg(
+        F.collect_list(F.struct(*what, "times", "start", "end", "lead")).alias("cuts")
+    )
+    cuts = materialize(cuts, "word-cuts")
+    some = join_bounded(rows.select(*KEY, "text"), cuts.select(*KEY), KEY, "left_semi", null_safe=True)
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))
+    with_text = some.join(cuts.withColumnsRenamed({k: f"_{k}" for k in KEY}), on).select(*KEY, "text", "cuts")
+    schema = (
+        f"doc_id {kind}, text_hash long, anchor long, w1 long, w2 long, times long, far long, h1 long, h2 long, start long, end long"
+    )
+    made = materialize(with_text.mapInArrow(windows, schema), "word-windows")
+    place = ["anchor", "far", "h1", "h2"]
+    # a repeated row brings its windows again, but then its stretches repeat as a whole
+    again = made.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    parts = made.where("times = 1").join(again, place).select(*KEY, "start", "end")
+    return full.union(parts).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row.
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, words: int | None = None, marked: int | None = None
+) -> DataFrame:
+    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept_text, n_passage) of every row.
 
     With ``words``, repeated passages of more whole words than that go too,
-    however short their words are. ``kept_text`` drops characters that a removed span cuts apart; the digest
-    is of the remaining bytes themselves.
+    however short their words are. With ``marked`` they are only counted:
+    ``n_passage`` is the number of their bytes. ``kept_text`` drops characters
+    that a removed span cuts apart; the digest is of the remaining bytes
+    themselves.
     """
     rows = keyed(docs)
     spans = repeated_spans(rows, length)
     if words is not None:
-        spans = spans.union(repeated_words(rows, words, length))
-        spans = materialize(spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+        spans = spans.union(repeated_words(rows, words))
+        spans = spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    spans = spans.select(*KEY, "spans", none.alias("marks"))
+    if marked is not None:
+        marks = repeated_words(rows, marked).select(*KEY, none.alias("spans"), F.col("spans").alias("marks"))
+        spans = spans.union(marks).groupBy(*KEY).agg(
+            *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "marks")]
+        )
+    spans = materialize(spans, "spans")
     keys = spans.select(*KEY)
     touched = join_bounded(rows, keys, KEY, "left_semi", null_safe=True)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))
-    touched = touched.join(spans.withColumnsRenamed({k: f"_{k}" for k in KEY}), same).select(*KEY, "text", "spans")
+    touched = touched.join(spans.withColumnsRenamed({k: f"_{k}" for k in KEY}), same).select(*KEY, "text", "spans", "marks")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             out = []
-            for text, spans in zip(text_array(part).to_pylist(), part.column(3).to_pylist()):
+            for text, spans, marks in zip(text_array(part).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()):
                 data, cuts = text.encode(), _merged(spans)
                 edges = [0, *(x for c in cuts for x in c), len(data)]
                 pieces = [data[i:j] for i, j in zip(edges[::2], edges[1::2])]
                 kept = b"".join(pieces)
                 shown = "".join(p.decode("utf-8", "ignore") for p in pieces)
-                out.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), shown))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), shown, sum(b - a for a, b in _merged(marks))))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))],
-                [*KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                [*KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_passage"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    columns = f"doc_id {kind}, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_passage long"
     changed = touched.mapInArrow(remove, columns)
     zero = F.lit(0).cast("long")
     whole = join_bounded(rows, keys, KEY, "left_anti", null_safe=True).select(
@@ -501,5 +614,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = N
         zero.alias("n_spans"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
         F.col("text").alias("kept_text"),
+        zero.alias("n_passage"),
     )
     return changed.union(whole)

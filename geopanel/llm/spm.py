@@ -23,6 +23,7 @@ never read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,10 @@ NORMAL, BYTE = 1, 6
 _FREE = np.int32(2**30)
 
 
+#: Characters of a stretch beyond which it is merged plainly; the edges are relaxed one place at a time.
+LONG_STRETCH = 20_000
+
+
 @dataclass
 class Vocabulary:
     """Tables of a model; all are as large as the vocabulary, or the ways to split its pieces."""
@@ -59,18 +64,37 @@ class Vocabulary:
 
 
 def merge(text: str, scores: dict[str, float]) -> tuple[list[str], list[tuple[str, str]]]:
-    """BPE of a string by plain merging: best score first, leftmost of equals; and the merges made."""
-    parts, made = list(text), []
-    while True:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            s = scores.get(parts[i] + parts[i + 1])
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if best is None:
-            return parts, made
-        made.append((parts[at], parts[at + 1]))
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    """BPE of a string by plain merging: best score first, leftmost of equals; and the merges made.
+
+    Pairs wait in a heap and parts are linked to their neighbours, so the time
+    is that of sorting the string.
+    """
+    parts: list[str | None] = list(text)
+    before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+    heap: list[tuple[float, int, str]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j >= 0 and (s := scores.get(parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (-s, i, parts[i] + parts[j]))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    made = []
+    while heap:
+        _, i, both = heapq.heappop(heap)
+        j = after[i] if parts[i] is not None else -1
+        if j < 0 or parts[i] + parts[j] != both:
+            continue  # one side has been merged since
+        made.append((parts[i], parts[j]))
+        parts[i], parts[j] = both, None
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [p for p in parts if p is not None], made
 
 
 def load(path: str) -> Vocabulary:
@@ -245,6 +269,11 @@ class Encoder:
         ends = np.cumsum(count)
         start = suffixes[np.arange(len(piece)) + np.repeat(first - (ends - count), count)]
         length = np.array([len(p) for p in v.text], np.int64)
+        # stretches with pieces that share a score, and very long ones, are merged plainly
+        bad = np.diff(at) > LONG_STRETCH
+        bad[stretch[start[v.plain[piece]]]] = True
+        use = ~bad[stretch[start]]
+        start, piece = start[use], piece[use]
         # relax the edges in the order of their ends
         level = (start - at[stretch[start]] + length[piece]).astype(np.int32)
         order = np.argsort(level, kind="stable")
@@ -265,9 +294,8 @@ class Encoder:
             begin[e] = s[ok]
         # walk back from the ends
         done = at[1:] - 1
-        rows, found = np.arange(len(at) - 1), []
-        bad = np.zeros(len(at) - 1, bool)
-        cursor = done.copy()
+        rows, found = np.flatnonzero(~bad), []
+        cursor = done[rows]
         while len(rows):
             t = tail[cursor]
             lost = t < 0
@@ -278,12 +306,10 @@ class Encoder:
             cursor = begin[cursor] - 1
             more = cursor >= at[rows]
             rows, cursor = rows[more], cursor[more]
-        who = np.concatenate([r for r, _ in found])
-        what = np.concatenate([t for _, t in found])
-        when = np.concatenate([np.full(len(r), -k) for k, (r, _) in enumerate(found)])
-        # stretches with pieces that share a score, in a path or as a candidate
-        odd = v.plain[piece]
-        bad[stretch[start[odd]]] = True
+        none = np.zeros(0, np.int64)
+        who = np.concatenate([none, *(r for r, _ in found)])
+        what = np.concatenate([none, *(t for _, t in found)])
+        when = np.concatenate([none, *(np.full(len(r), -k) for k, (r, _) in enumerate(found))])
         if bad.any():
             use = ~bad[who]
             who, what, when = who[use], what[use], when[use]

@@ -29,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geopanel.ordered import smallest
+from geopanel.skew import materialize
+
 from .blocks import LOWER, blocks, prefix_hashes, raw, span_hashes, text_array
 
 #: Bounds of what the driver sees: lexicon entries, and labelled rows of the fit.
@@ -163,22 +166,24 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
 
 
 def sampled_labels(labels: DataFrame) -> DataFrame:
-    """At most ``FIT_ROWS`` labels (doc_id, toxic 0/1), one for each id: the smallest hashes."""
+    """At most ``FIT_ROWS`` labels (doc_id, toxic 0/1), one for each id: those with the smallest hashes, ties by id."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    steps = 1 << 20
-    share = FIT_ROWS / max(known.count(), 1)
-    if share < 1:
-        # the limit only cuts what the hashes leave over the bound
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(share * steps)).limit(FIT_ROWS)
-    return known
+    known = materialize(known.withColumn("_hash", F.xxhash64("doc_id")), "labels")
+    return smallest(known, "_hash", "doc_id", FIT_ROWS).drop("_hash")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers."""
+    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers.
+
+    Of texts that share an id the smallest is taken. The rows are written once
+    and read in the order of their ids, so a fit of the same tables is the same
+    however they are partitioned.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(sampled_labels(labels)), "doc_id"
     )
+    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "fit")
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = sizes["n"], sizes["t"]
     if not t or t == n:
@@ -203,16 +208,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             cut = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.record_batch(
                 [
+                    part.column("doc_id"),
                     part.column("toxic"),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(i.astype(np.int32))),
                     pa.array(patterns(texts).tolist(), pa.list_(pa.float64())),
                 ],
-                ["toxic", "hits", "marks"],
+                ["doc_id", "toxic", "hits", "marks"],
             )
 
-    # repeated ids could bring more rows than labels
-    hits = rows.mapInArrow(seen, "toxic int, hits array<int>, marks array<double>")
-    got = hits.limit(FIT_ROWS).toPandas()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    hits = rows.mapInArrow(seen, f"doc_id {kind}, toxic int, hits array<int>, marks array<double>")
+    # as many rows as labels at most
+    got = hits.toPandas().sort_values("doc_id", ignore_index=True)
     y = got["toxic"].to_numpy(float)
     size = [len(x) for x in got["hits"]]
     of = np.repeat(np.arange(len(got)), size)
