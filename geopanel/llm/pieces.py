@@ -102,6 +102,8 @@ class Units:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall if pattern else None
         self.shown = byte_letters()
+        # does the pattern take a blank and the letters after it as one?
+        self.words = self.split is not None and all(self.split(x) == [x] for x in ("abc", " Abc", "x", " Zz"))
         self.forget()
 
     def forget(self) -> None:
@@ -197,7 +199,13 @@ class Units:
         if self.split is None:
             return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         known, tokenize, shown, out = self.known, self.tokenizer.model.tokenize, self.shown, []
+        space = shown[32]
         for unit in units:
+            word = unit[1:] if unit[0] == " " else unit
+            if word.isascii() and word.isalpha() and self.words:
+                # one pre-token, and no other unit has it
+                out.append([x.id for x in tokenize(word if word is unit else space + word)])
+                continue
             ids: list[int] = []
             for token in self.split(unit):
                 got = known.get(token)
