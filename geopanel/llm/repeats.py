@@ -39,6 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -491,71 +492,101 @@ def repeated_words(rows: DataFrame, words: int) -> DataFrame:
     """
     size = words + 1
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = [*KEY, "anchor", "w1", "w2", "start", "end", "lead"]
+    names = [*KEY, "anchor", "w1", "w2", "n", "start", "end", "lead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, SMALL_BLOCK):
             data, at = raw(text_array(part))
-            of, *hashes, start, end, lead = word_stretches(data, at, size)
-            taken = [part.column(k).take(pa.array(of)) for k in (0, 1)]
-            columns = [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(start), pa.array(end), pa.array(lead)]
-            yield pa.RecordBatch.from_arrays([*taken, *columns], names)
+            found = word_stretches(data, at, size)
+            order = np.lexsort((found[4], found[3], found[2], found[1], found[0]))
+            of, anchor, w1, w2, start, end, lead = (x[order] for x in found)
+            new = np.ones(len(of), bool)
+            for x in (of, anchor, w1, w2):
+                new[1:] &= x[1:] == x[:-1]
+            new[1:] = ~new[1:]
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(of)))
+            # stretches that repeat inside their document, joined where they touch, without an anchor
+            inside = np.repeat(n, n) > 1
+            order = np.lexsort((start[inside], of[inside]))
+            s_of, s_a, s_b = of[inside][order], start[inside][order], end[inside][order]
+            far = np.maximum.accumulate(s_of * (1 << 40) + s_b) if len(s_of) else s_of
+            opens = np.ones(len(s_of), bool)
+            opens[1:] = s_of[1:] * (1 << 40) + s_a[1:] > far[:-1]
+            head = np.flatnonzero(opens)
+            tail = np.append(head[1:], len(s_of)) - 1 if len(head) else head
+            rows_of = np.concatenate([of[first], s_of[head]])
+            settled = np.arange(len(rows_of)) >= len(first)
+            none = np.zeros(len(head), np.int64)
+
+            def column(x: np.ndarray, y: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+                return pa.array(np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x, y]), mask=mask)
+
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(rows_of)), part.column(1).take(pa.array(rows_of)),
+                    column(anchor[first], none, settled), column(w1[first], none), column(w2[first], none), column(n, none + 1),
+                    column(start[first], s_a[head]), column(end[first], far[tail] - s_of[head] * (1 << 40)), column(lead[first], none),
+                ],
+                names,
+            )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, SMALL_BLOCK):
             data, at = raw(text_array(part))
-            out: list[tuple] = []
+            of, alone, hashes, starts, ends = [], [], [], [], []
             for i, cuts in enumerate(part.column(3).to_pylist()):
                 for c in cuts:
                     piece = data[at[i] + c["start"] : at[i] + c["end"]]
                     s, e, _ = word_spans(piece, np.array([0, len(piece)]))
                     n = len(s) - size + 1
+                    # the anchor and its distance are part of a window's name
+                    place = mix((c["lead"] - np.arange(n)).astype(np.uint64) ^ np.uint64(c["anchor"] & 2**64 - 1))
                     h = [span_hashes(prefix_hashes(piece, x), s[:n], e[size - 1 :], y) for x, y in ((BASE, INVERSE), (BASE_2, INVERSE_2))]
-                    out.append((i, c, s[:n] + c["start"], e[size - 1 :] + c["start"], h, c["lead"] - np.arange(n)))
-            count = np.array([len(x[2]) for x in out], np.int64)
-
-            def joined(values: list, kind: type) -> pa.Array:
-                return pa.array(np.concatenate([np.zeros(0, kind), *values]).astype(kind, copy=False))
-
-            of = np.repeat(np.array([x[0] for x in out], np.int64), count)
-            cut = [pa.array(np.repeat(np.array([x[1][k] for x in out], np.int64), count)) for k in ("anchor", "w1", "w2", "times")]
+                    hashes.append(np.stack([mix(x ^ place) for x in h]))
+                    of.append(np.full(n, i))
+                    alone.append(np.full(n, c["times"] == 1))
+                    starts.append(s[:n] + c["start"])
+                    ends.append(e[size - 1 :] + c["start"])
+            none = np.zeros(0, np.int64)
+            who = np.concatenate([none, *of])
+            # of stretches that repeat as a whole, only the names are needed
+            who = pa.array(who, mask=~np.concatenate([none.astype(bool), *alone]))
+            h = np.concatenate([np.zeros((2, 0), np.uint64), *hashes], 1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), *cut,
-                    joined([x[5] for x in out], np.int64), *(joined([x[4][k].view(np.int64) for x in out], np.int64) for k in (0, 1)),
-                    joined([x[2] for x in out], np.int64), joined([x[3] for x in out], np.int64),
+                    pa.array(h[0]), pa.array(h[1]), part.column(0).take(who), part.column(1).take(who), pa.compute.is_valid(who),
+                    pa.array(np.concatenate([none, *starts])), pa.array(np.concatenate([none, *ends])),
                 ],
-                [*KEY, "anchor", "w1", "w2", "times", "far", "h1", "h2", "start", "end"],
+                ["h1", "h2", *KEY, "alone", "start", "end"],
             )
 
-    schema = f"doc_id {kind}, text_hash long, anchor long, w1 long, w2 long, start long, end long, lead long"
+    schema = f"doc_id {kind}, text_hash long, anchor long, w1 long, w2 long, n long, start long, end long, lead long"
     found = materialize(rows.select(*KEY, "text").mapInArrow(run, schema), "word-stretches")
-    same = F.struct("w1", "w2")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min(same) != F.max(same)).alias("differ"))
-    hits = materialize(found.join(shared.where("times > 1").drop("times"), "anchor"), "word-hits")
+    settled = found.where("anchor IS NULL").select(*KEY, "start", "end")
+    found = found.where("anchor IS NOT NULL")
+    shared = found.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor")
+    hits = materialize(found.join(shared, "anchor"), "word-hits")
     what = ["anchor", "w1", "w2"]
-    kinds = hits.groupBy(*what, "differ").agg(
-        F.count("*").alias("times"), F.min(F.struct(*KEY, "start", "end", "lead")).alias("at")
-    )
+    kinds = hits.groupBy(*what).agg(F.sum("n").alias("times"), F.min(F.struct(*KEY, "start", "end", "lead")).alias("at"))
     kinds = materialize(kinds, "word-kinds")
     full = hits.join(kinds.where("times > 1").select(*what), what).select(*KEY, "start", "end")
-    # one stretch of each kind stands for all
-    cuts = kinds.where("differ").select(*what, "times", "at.*").groupBy(*KEY).agg(
-        F.collect_list(F.struct(*what, "times", "start", "end", "lead")).alias("cuts")
+    # one stretch of each kind stands for all, where an anchor has several kinds
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    cuts = kinds.join(several, "anchor").select("anchor", "times", "at.*").groupBy(*KEY).agg(
+        F.collect_list(F.struct("anchor", "times", "start", "end", "lead")).alias("cuts")
     )
     cuts = materialize(cuts, "word-cuts")
     some = join_bounded(rows.select(*KEY, "text"), cuts.select(*KEY), KEY, "left_semi", null_safe=True)
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))
     with_text = some.join(cuts.withColumnsRenamed({k: f"_{k}" for k in KEY}), on).select(*KEY, "text", "cuts")
-    schema = (
-        f"doc_id {kind}, text_hash long, anchor long, w1 long, w2 long, times long, far long, h1 long, h2 long, start long, end long"
-    )
+    schema = f"h1 long, h2 long, doc_id {kind}, text_hash long, alone boolean, start long, end long"
     made = materialize(with_text.mapInArrow(windows, schema), "word-windows")
-    place = ["anchor", "far", "h1", "h2"]
     # a repeated row brings its windows again, but then its stretches repeat as a whole
-    again = made.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    parts = made.where("times = 1").join(again, place).select(*KEY, "start", "end")
-    return full.union(parts).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    again = made.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    parts = made.where("alone").join(again, ["h1", "h2"]).select(*KEY, "start", "end")
+    spans = settled.union(full).union(parts)
+    return spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(
