@@ -94,7 +94,8 @@ def test_op2_many_components(spark, folder, everything, monkeypatch):
 def test_op3(spark, folder, everything, monkeypatch, bucket):
     monkeypatch.setattr(repeats, "BUCKET", bucket)
     want = [(i, *r[:4]) for (i, _), r in zip(everything, brute.repeats([t for _, t in everything], 400))]
-    assert bag(rows_of(QUERIES["op3_suffix_array_dedup"](spark, folder))) == bag(want)
+    got = QUERIES["op3_suffix_array_dedup"](spark, folder).drop("n_removed_words")  # of its own: test_round4.py
+    assert bag(rows_of(got)) == bag(want)
 
 
 def test_difference_cover_order():
