@@ -149,6 +149,19 @@ def test_op5_order_does_not_matter(spark, folder):
     assert {r.name for r in quality.order_rules(docs)} == {r.name for r in quality.RULES}
 
 
+def test_op5_order_follows_cost_and_what_is_left(spark):
+    from geopanel.llm.quality import Rule, order_rules
+
+    words = "concat_ws(' ', transform(sequence(1, 80), i -> concat('w', id * i)))"
+    docs = spark.range(300).selectExpr("id AS doc_id", f"{words} AS text")
+    slow = " + ".join(f"length(regexp_replace(text, '[{i}w]', ''))" for i in range(8))
+    plain = Rule("plain", "crc32(text) % 3 = 0")
+    dear = Rule("dear", f"{slow} > 0 AND crc32(text) % 3 = 0")
+    other = Rule("other", "crc32(text) % 7 = 1 AND crc32(text) % 3 = 1")
+    ordered = [r.name for r in order_rules(docs, [dear, plain, other])]
+    assert ordered == ["plain", "other", "dear"]
+
+
 def test_op6(spark, folder, everything):
     got = rows_of(QUERIES["op6_consistent_shards"](spark, folder))
     want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in everything]
