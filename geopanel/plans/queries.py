@@ -972,7 +972,7 @@ def smoothed_coefs(spark, sf_dir):
     table = regress.coef_table(bin_fit(spark, sf_dir), spark, "pm25_cat", POLLUTION_BREAKS)
     series = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("value")) for c in ("estimate", "ci_low", "ci_high")])
     points = table.select("outcome", "position", F.inline(series))
-    return rounded(smooth.loess_by_group(points, ["outcome", "series"], "position", "value"), ["value", "smooth"])
+    return rounded(smooth.loess_by_vertices(points, ["outcome", "series"], "position", "value"), ["value", "smooth"])
 
 
 @query
