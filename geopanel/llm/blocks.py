@@ -48,9 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """``base**0 .. base**(n-1)`` modulo 2**64; made anew, as each task has globals of its own."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        np.multiply(out[:more], np.uint64(pow(base, have, 2**64)), out=out[have : have + more])
+        have += more
+    return out
 
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))

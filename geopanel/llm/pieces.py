@@ -1,7 +1,8 @@
 """Encoding with a tokenizer file, each distinct stretch of text once.
 
-Texts are cut at white space into units that the tokenizer treats
-independently of what surrounds them. A unit that was seen before costs one
+Texts are cut into units that the tokenizer treats independently of what
+surrounds them: at white space, or into the pre-tokens of a byte-level pattern
+where that is known. A unit that was seen before costs one
 dictionary lookup; a new one goes through the tokenizers library.
 """
 
@@ -27,6 +28,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: without its last character, or one that is left.
 BLANK_LED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+#: The pattern of byte-level pre-tokenizers whose pre-tokens are found without a regular expression.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: New units that are searched apart from the others until there are so many.
 RECENT = 50_000
@@ -74,6 +77,69 @@ def unit_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[order], ends[order], owners[order]
 
 
+class TokenSpans:
+    """The pre-tokens of :data:`BYTE_LEVEL`, found on UTF-8 bytes."""
+
+    WHITE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+
+    def __init__(self):
+        # classes of code points, those beyond ASCII as they turn up
+        self.classes = np.full(0x110000, self.UNKNOWN, np.uint8)
+        self._classify(range(128))
+        self.ascii = np.append(self.classes[:128], np.full(128, self.UNKNOWN, np.uint8))
+
+    def _classify(self, codes) -> None:
+        kinds = ((r"\s", self.WHITE), (r"\p{L}", self.LETTER), (r"\p{N}", self.NUMBER))
+        for code in codes:
+            found = [kind for pattern, kind in kinds if regex.match(pattern, chr(code))]
+            self.classes[code] = found[0] if found else self.OTHER
+
+    def byte_classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of the character of each byte."""
+        out = self.ascii[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        first = data[lead].astype(np.int64)
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)  # bytes that follow
+        code = first & (0x3F >> more)
+        follows = [lead[more >= k] for k in (1, 2, 3)]
+        for k, at in enumerate(follows, 1):
+            code[more >= k] = code[more >= k] << 6 | (data[at + k] & 0x3F)
+        kind = self.classes[code]
+        if (new := kind == self.UNKNOWN).any():
+            self._classify(np.unique(code[new]).tolist())
+            kind = self.classes[code]
+        out[lead] = kind
+        for k, at in enumerate(follows, 1):
+            out[at + k] = kind[more >= k]
+        return out
+
+    def starts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the pre-tokens start of texts whose white space is ASCII; each ends where the next one starts."""
+        n = len(data)
+        kind = self.byte_classes(data)
+        opens = np.zeros(n + 3, bool)  # places where no string of the text before goes on
+        opens[at] = True
+        opens[n:] = True
+        flag = opens[:n].copy()
+        flag[1:] |= kind[1:] != kind[:-1]
+        # of the white space before another character the last one is apart; a blank belongs to what follows
+        white = kind == self.WHITE
+        turn = np.flatnonzero(white[:-1] & ~white[1:] & ~opens[1:n]) + 1
+        flag[turn - 1] = True
+        flag[turn[data[turn - 1] == 32]] = False
+        # contractions, where an apostrophe starts a pre-token
+        q = np.flatnonzero((data == 39) & flag)
+        q = q[~opens[q + 1]]
+        one = data[q + 1]
+        two = np.where(opens[q + 2], 0, data[np.minimum(q + 2, n - 1)])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        short = np.isin(one, list(b"stmd"))
+        flag[q[long | short] + 1] = False
+        end = np.concatenate([q[short] + 2, q[long] + 3])
+        flag[end[end < n]] = True
+        return np.flatnonzero(flag)
+
+
 def byte_letters() -> list[str]:
     """How byte-level models write bytes: printable ones as themselves, the others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -95,6 +161,8 @@ class Units:
     ``pattern`` is the regular expression of a byte-level pre-tokenizer without
     a normalizer; with it, units are split here and only new pre-tokens go to
     the library's model. Without it new units go through the library whole.
+    If it is :data:`BYTE_LEVEL`, whole blocks are split into pre-tokens by
+    classes of characters, and pre-tokens are the units.
     """
 
     def __init__(self, path: str, pattern: str | None = None):
@@ -102,8 +170,8 @@ class Units:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall if pattern else None
         self.shown = byte_letters()
-        # does the pattern take a blank and the letters after it as one?
-        self.words = self.split is not None and all(self.split(x) == [x] for x in ("abc", " Abc", "x", " Zz"))
+        self.letters = np.array([ord(x) for x in self.shown], "<u2")
+        self.tokens = TokenSpans() if pattern == BYTE_LEVEL else None
         self.forget()
 
     def forget(self) -> None:
@@ -155,8 +223,7 @@ class Units:
         if len(new):
             gc.disable()  # only lists of numbers are made here
             try:
-                spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
-                ids = self.encode_all([data[a:b].tobytes().decode() for a, b in spans])
+                ids = self._encode_spans(data, start[first[new]], end[first[new]])
             finally:
                 gc.enable()
             number[new] = np.arange(len(new)) + len(self.start) - 1
@@ -168,6 +235,15 @@ class Units:
             raise ValueError("two units share a hash")
         return out
 
+    def _encode_spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+        spans = zip(start.tolist(), end.tolist())
+        if self.tokens is None:
+            return self.encode_all([data[a:b].tobytes().decode() for a, b in spans])
+        # one character for each byte, so places stay
+        shown = self.letters[data].tobytes().decode("utf-16-le")
+        tokenize = self.tokenizer.model.tokenize
+        return [[x.id for x in tokenize(shown[a:b])] for a, b in spans]
+
     def encode_block(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a block.
 
@@ -177,14 +253,19 @@ class Units:
         text = data.tobytes()
         whole = {int(np.searchsorted(at, m.start(), "right")) - 1 for s in self.special for m in re.finditer(re.escape(s.encode()), text)}
         cut = set((np.searchsorted(at, other_white(data), "right") - 1).tolist())
-        start, end, owner = unit_spans(data, at)
-        if whole or cut:
-            plain = ~np.isin(owner, sorted(whole | cut))
-            start, end, owner = start[plain], end[plain], owner[plain]
+        if self.tokens is None:
+            start, end, _ = unit_spans(data, at)
+        else:
+            start = self.tokens.starts(data, at)
+            end = np.append(start[1:], len(data))
+        if cut or whole:
+            apart = np.zeros(len(at) - 1, bool)
+            apart[list(cut | whole)] = True
+            plain = np.repeat(~apart, np.diff(np.searchsorted(start, at)))
+            start, end = start[plain], end[plain]
         numbers = self.span_numbers(data, start, end)
-        sizes = self.sizes(numbers)
+        ends = np.concatenate([[0], np.cumsum(self.sizes(numbers))])[np.searchsorted(start, at)]
         ids = self.ids(numbers)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(owner, np.arange(len(at)))]
         out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         for k in cut | whole:
             one = text[at[k] : at[k + 1]].decode()
@@ -199,13 +280,7 @@ class Units:
         if self.split is None:
             return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         known, tokenize, shown, out = self.known, self.tokenizer.model.tokenize, self.shown, []
-        space = shown[32]
         for unit in units:
-            word = unit[1:] if unit[0] == " " else unit
-            if word.isascii() and word.isalpha() and self.words:
-                # one pre-token, and no other unit has it
-                out.append([x.id for x in tokenize(word if word is unit else space + word)])
-                continue
             ids: list[int] = []
             for token in self.split(unit):
                 got = known.get(token)
