@@ -14,10 +14,14 @@ share such a string and each bucket is sorted on its own:
    count: beyond one, all their windows repeat. Only the texts of different
    stretches with one anchor travel.
 3. Buckets are gathered into blocks of bounded size and the suffixes of a block
-   are sorted by their first and last bytes; long ties are settled by ranks of a
-   difference cover: for any two suffixes there is a shift below ``COVER`` that
-   takes both to sampled positions, whose ranks to depth ``length - COVER``
-   were computed once by doubling. Equal neighbours are repeats.
+   are sorted by their distance from the anchor and their first and last bytes;
+   long ties are settled by ranks of a difference cover: for any two suffixes
+   that may be equal there is a shift below ``COVER`` that takes both to sampled
+   positions, whose ranks to depth ``length - COVER`` were computed once by
+   doubling. Anchors are laid at multiples of ``COVER``, so suffixes of one
+   distance share a residue and one sampled residue is a cover; without such
+   buckets (:func:`repeated_windows`) it takes the residues of ``SAMPLED``.
+   Equal neighbours are repeats.
 4. A bucket of more than ``BUCKET`` different stretches (a passage in a large
    part of all documents has two, at its ends) never meets in one task. Its
    windows are halved again and again, by distance from the anchor: a half
@@ -72,10 +76,20 @@ SHIFT = [
 KEY = ["doc_id", "text_hash"]
 #: Words of the hashed strings from which anchors of passages are chosen.
 WORD_GRAM = 8
+#: Low bits of a hash that give way to its place; the same in every block, so equal windows agree on the smallest one.
+PLACE_BITS = LONG_TEXT.bit_length() + 1
 #: Windows of words whose hashes are held at one time.
 WINDOWS = 100_000
 
 
+def _structs(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each element of a column of lists of structs of long, and the fields."""
+    of = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    elements = lists.flatten()
+    names = [elements.type.field(i).name for i in range(elements.type.num_fields)]
+    return of, {k: v.to_numpy(zero_copy_only=False) for k, v in zip(names, elements.flatten())}
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, text) with null texts empty."""
     text = F.coalesce("text", F.lit(""))
@@ -117,7 +131,7 @@ def _stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarra
     sums = prefix_hashes(data)
     begin = np.arange(len(data) - GRAM + 1)
     grams = span_hashes(sums, begin, begin + GRAM)
-    low = np.uint64(max(1, int(len(data)).bit_length()))
+    low = np.uint64(max(PLACE_BITS, len(data).bit_length()))
     key = (grams >> low << low) | begin.astype(np.uint64)
     anchor = (_least(key, length - GRAM + 1) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     windows = np.arange(len(anchor))
@@ -201,12 +215,12 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover_ranks(word: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the sampled positions among strings of ``depth`` bytes, a multiple of ``COVER``.
+def cover_ranks(word: np.ndarray, depth: int, sampled: set[int] = SAMPLED) -> np.ndarray:
+    """Ranks of the positions at ``sampled`` residues among strings of ``depth`` bytes, a multiple of ``COVER``.
 
     ``word[i]`` is the machine word at byte ``i``; -1 marks other positions.
     """
-    at = np.flatnonzero(np.isin(np.arange(len(word)) % COVER, list(SAMPLED)))
+    at = np.flatnonzero(np.isin(np.arange(len(word)) % COVER, list(sampled)))
 
     def joined(x: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
         """Ranks to the depth of ``x`` (n bytes) followed by ``y``."""
@@ -228,32 +242,61 @@ def cover_ranks(word: np.ndarray, depth: int) -> np.ndarray:
     return have
 
 
-def repeated_windows(data: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Which of the ``length``-byte strings at ``windows`` are equal to another one of them."""
-    padded = np.concatenate([data, np.zeros(COVER, np.uint8)])
-    word = np.ndarray((len(data),), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+def _shared(*keys: np.ndarray) -> np.ndarray:
+    """Which rows may be equal to another one: exact but for collisions of a 64-bit hash."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = mix(h ^ k.astype(np.uint64))
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(h), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
+def repeated_windows(data: np.ndarray, windows: np.ndarray, length: int, bucket: np.ndarray | None = None) -> np.ndarray:
+    """Which of the ``length``-byte strings at ``windows`` are equal to another one of them.
+
+    With ``bucket``, strings are compared inside their bucket only, where all
+    must lie at one residue of ``COVER``.
+    """
+    padded = np.concatenate([data, np.zeros(COVER + -len(data) % COVER, np.uint8)])
+    word = np.ndarray((len(padded) - COVER,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
     # the bucket sort: first and last machine word; a string alone with them is done
-    ends = _dense(word[windows], word[windows + length - COVER])
-    open_ = np.bincount(ends)[ends] > 1
+    keys = [word[windows], word[windows + length - COVER]]
+    keys = keys if bucket is None else [bucket, *keys]
     out = np.zeros(len(windows), bool)
-    if not open_.any():
+    open_ = np.flatnonzero(_shared(*keys))
+    if not len(open_):
         return out
-    rank = cover_ranks(word, length - COVER)
-    at, ends = windows[open_], ends[open_]
-    residue = at % COVER
-    members = [np.flatnonzero(residue == r) for r in range(COVER)]
-    place = np.zeros(len(at), np.int64)
-    for r in range(COVER):
-        if not len(members[r]):
-            continue
-        for s in range(COVER):
-            if not len(members[s]):
+    ends = _dense(*(k[open_] for k in keys))
+    at = windows[open_]
+    # only machine words that open strings cover are ranked; residues stay
+    cells = np.zeros(len(word) // COVER + 1, np.int64)
+    np.add.at(cells, at // COVER, 1)
+    np.add.at(cells, (at + length - 1) // COVER + 1, -1)
+    covered = np.cumsum(cells[:-1]) > 0
+    at = (np.cumsum(covered) - 1)[at // COVER] * COVER + at % COVER
+    word = word.reshape(-1, COVER)[covered].ravel()
+    if bucket is not None:
+        # a difference of 0 is all that a cover has to reach
+        place = ends << 32 | cover_ranks(word, length - COVER, {0})[at + -at % COVER]
+    else:
+        rank, residue = cover_ranks(word, length - COVER), at % COVER
+        members = [np.flatnonzero(residue == r) for r in range(COVER)]
+        place = np.zeros(len(at), np.int64)
+        for r in range(COVER):
+            if not len(members[r]):
                 continue
-            shift = SHIFT[r][s]
-            mine = ends[members[r]] << 32 | rank[at[members[r]] + shift]
-            theirs = np.sort(ends[members[s]] << 32 | rank[at[members[s]] + shift])
-            place[members[r]] += np.searchsorted(theirs, mine)
-    # `place` counts the smaller strings of the block: equal strings share it. What a shift
+            for s in range(COVER):
+                if not len(members[s]):
+                    continue
+                shift = SHIFT[r][s]
+                mine = ends[members[r]] << 32 | rank[at[members[r]] + shift]
+                theirs = np.sort(ends[members[s]] << 32 | rank[at[members[s]] + shift])
+                place[members[r]] += np.searchsorted(theirs, mine)
+    # `place` grows with the string inside a bucket: equal strings share it. What a shift
     # compares beyond the last machine word's start is equal in a bucket.
     final = np.unique(place, return_inverse=True)[1]
     out[open_] = np.bincount(final)[final] > 1
@@ -275,14 +318,20 @@ def _ranges(flags: np.ndarray, of: np.ndarray, offset: np.ndarray) -> tuple[np.n
 def _sorted_blocks(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, whole, lo, hi): windows of stretches (anchor, whole, stretch) found in another one of the bucket."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        size = np.array([len(x[2]) for x in rows], np.int64)
-        start = np.cumsum(size) - size
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        size = np.array([len(x[3]) for x in rows], np.int64)
+        left = np.array([x[2] for x in rows], np.int64)
+        anchors = np.array([x[0] for x in rows], np.int64)
+        # anchors lie at multiples of COVER: equal windows, at equal distances from theirs, have equal residues
+        before = -left % COVER
+        after = -(before + size) % COVER
+        data = np.frombuffer(b"".join(bytes(a) + x[3] + bytes(b) for a, x, b in zip(before.tolist(), rows, after.tolist())), np.uint8)
+        start = np.cumsum(before + size + after) - size - after
         count = size - length + 1
         of = np.repeat(np.arange(len(rows)), count)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        data = np.frombuffer(b"".join(x[2] for x in rows), np.uint8)
-        flags = repeated_windows(data, start[of] + offset, length)
+        anchor = np.concatenate([[0], np.cumsum(anchors[1:] != anchors[:-1])])
+        flags = repeated_windows(data, start[of] + offset, length, anchor[of] * length + left[of] - offset)
         who, lo, hi = _ranges(flags, of, offset)
         return pa.RecordBatch.from_arrays(
             [
@@ -295,7 +344,7 @@ def _sorted_blocks(texts: DataFrame, length: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -303,13 +352,13 @@ def _sorted_blocks(texts: DataFrame, length: int) -> DataFrame:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
         if held:
             yield solve(held)
         del held
         release()
 
-    rows = texts.select("anchor", "whole", "stretch").repartition("anchor").sortWithinPartitions("anchor")
+    rows = texts.select("anchor", "whole", "left", "stretch").repartition("anchor").sortWithinPartitions("anchor")
     return rows.mapInArrow(run, "anchor long, whole long, lo long, hi long")
 
 
@@ -400,15 +449,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             data, at = raw(text_array(part))
-            out = []
-            for i, cuts in enumerate(part.column(1).to_pylist()):
-                for c in cuts:
-                    s = data[at[i] + c["a"] : at[i] + c["b"] + length].tobytes()
-                    out.append((c["anchor"], c["whole"], c["p"] - c["a"], s))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            of, cuts = _structs(part.column(1))
+            spans = zip((at[of] + cuts["a"]).tolist(), (at[of] + cuts["b"] + length).tolist())
+            text = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["anchor", "whole", "left", "stretch"]
-            )
+                [
+                    pa.array(cuts["anchor"]), pa.array(cuts["whole"]), pa.array(cuts["p"] - cuts["a"]),
+                    pa.array([text[a:b] for a, b in spans], pa.binary()),
+                ],
+                ["anchor", "whole", "left", "stretch"],
+            )
 
     texts = with_text.mapInArrow(cut, "anchor long, whole long, left long, stretch binary")
     large = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > BUCKET).select("anchor")
@@ -458,7 +508,7 @@ def word_stretches(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.nda
         s, e = s - base, e - base
         n = len(s) - WORD_GRAM + 1
         grams = span_hashes(one, s[:n], e[WORD_GRAM - 1 :])
-        low = np.uint64(max(1, n.bit_length()))
+        low = np.uint64(max(PLACE_BITS, n.bit_length()))
         key = (grams >> low << low) | np.arange(n, dtype=np.uint64)
         anchor = (_least(key, words - WORD_GRAM + 1) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
         windows = np.flatnonzero(of[: last - first] == of[words - 1 :])
@@ -534,32 +584,36 @@ def repeated_words(rows: DataFrame, words: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, SMALL_BLOCK):
             data, at = raw(text_array(part))
-            of, alone, hashes, starts, ends = [], [], [], [], []
-            for i, cuts in enumerate(part.column(3).to_pylist()):
-                for c in cuts:
-                    piece = data[at[i] + c["start"] : at[i] + c["end"]]
-                    s, e, _ = word_spans(piece, np.array([0, len(piece)]))
-                    n = len(s) - size + 1
-                    # the anchor and its distance are part of a window's name
-                    place = mix((c["lead"] - np.arange(n)).astype(np.uint64) ^ np.uint64(c["anchor"] & 2**64 - 1))
-                    h = [span_hashes(prefix_hashes(piece, x), s[:n], e[size - 1 :], y) for x, y in ((BASE, INVERSE), (BASE_2, INVERSE_2))]
-                    hashes.append(np.stack([mix(x ^ place) for x in h]))
-                    of.append(np.full(n, i))
-                    alone.append(np.full(n, c["times"] == 1))
-                    starts.append(s[:n] + c["start"])
-                    ends.append(e[size - 1 :] + c["start"])
-            none = np.zeros(0, np.int64)
-            who = np.concatenate([none, *of])
-            # of stretches that repeat as a whole, only the names are needed
-            who = pa.array(who, mask=~np.concatenate([none.astype(bool), *alone]))
-            h = np.concatenate([np.zeros((2, 0), np.uint64), *hashes], 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[0]), pa.array(h[1]), part.column(0).take(who), part.column(1).take(who), pa.compute.is_valid(who),
-                    pa.array(np.concatenate([none, *starts])), pa.array(np.concatenate([none, *ends])),
-                ],
-                ["h1", "h2", *KEY, "alone", "start", "end"],
-            )
+            of, cuts = _structs(part.column(3))
+            a, b = at[of] + cuts["start"], at[of] + cuts["end"]
+            # a long text a part at a time, others all at once
+            for group in np.unique(a // LONG_TEXT):
+                mine = np.flatnonzero(a // LONG_TEXT == group)
+                first, last = a[mine].min(), b[mine].max()
+                piece = data[first:last]
+                s, e, _ = word_spans(piece, np.clip(at - first, 0, len(piece)))
+                word = np.searchsorted(s, a[mine] - first)
+                n = np.searchsorted(e, b[mine] - first, "right") - word - size + 1
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                which = np.repeat(mine, n)
+                begin = s[np.repeat(word, n) + step]
+                stop = e[np.repeat(word, n) + step + size - 1]
+                # the anchor and its distance are part of a window's name
+                place = mix((cuts["lead"][which] - step).astype(np.uint64) ^ cuts["anchor"][which].astype(np.uint64))
+                h = [
+                    mix(span_hashes(prefix_hashes(piece, x), begin, stop, y) ^ place).view(np.int64)
+                    for x, y in ((BASE, INVERSE), (BASE_2, INVERSE_2))
+                ]
+                # of stretches that repeat as a whole, only the names are needed
+                who = pa.array(of[which], mask=cuts["times"][which] > 1)
+                shift = first - at[of[which]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[0]), pa.array(h[1]), part.column(0).take(who), part.column(1).take(who), pa.compute.is_valid(who),
+                        pa.array(begin + shift), pa.array(stop + shift),
+                    ],
+                    ["h1", "h2", *KEY, "alone", "start", "end"],
+                )
 
     schema = f"doc_id {kind}, text_hash long, anchor long, w1 long, w2 long, n long, start long, end long, lead long"
     found = materialize(rows.select(*KEY, "text").mapInArrow(run, schema), "word-stretches")
