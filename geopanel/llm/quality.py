@@ -16,7 +16,6 @@ read unless asked for.
 
 from __future__ import annotations
 
-import statistics
 import time
 from dataclasses import dataclass
 
@@ -93,11 +92,23 @@ def base_columns(docs: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
+def rule_costs(turns: list[list[float]]) -> list[float]:
+    """Seconds of each rule from turns of (seconds of reading alone, seconds with each rule).
+
+    The least of a rule's runs is the one that other work disturbed least.
+    Rules that take less than the runs of reading differ by cannot be told
+    apart from each other, so that difference is the least cost.
+    """
+    read, *rules = zip(*turns)
+    floor = max(max(read) - min(read), 0.001)
+    return [max(min(runs) - min(read), floor) for runs in rules]
+
+
 def order_rules(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample, most first.
 
     Rejections are conditional: a text counts for a rule only if no rule placed
-    before it rejects it. A rule's time is the median of warmed runs over as
+    before it rejects it. A rule's time is the least of warmed runs over as
     many copies of the sample as make ``COST_BYTES``, without that of reading
     them, so that it stands out from the time a job takes to start.
     """
@@ -110,12 +121,9 @@ def order_rules(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = S
     rejects = [F.coalesce(F.expr(rule.rejects), F.lit(False)) for rule in rules]
 
     def seconds(condition: Column) -> float:
-        runs = []
-        for _ in range(4):
-            began = time.perf_counter()
-            copied.agg(F.count_if(condition)).first()
-            runs.append(time.perf_counter() - began)
-        return statistics.median(runs[1:])
+        began = time.perf_counter()
+        copied.agg(F.count_if(condition)).first()
+        return time.perf_counter() - began
 
     try:
         n_bytes = sample.agg(F.sum(F.octet_length("text"))).first()[0]
@@ -123,8 +131,9 @@ def order_rules(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = S
             return list(rules)
         copies = max(1, COST_BYTES // n_bytes)
         copied = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-        read = seconds(F.octet_length("text") < 0)
-        costs = [max(seconds(condition) - read, 0.001) for condition in rejects]
+        # in turns, so that a busy machine slows all alike; the first turn warms up
+        turns = [[seconds(c) for c in (F.octet_length("text") < 0, *rejects)] for _ in range(4)]
+        costs = rule_costs(turns[1:])
         found = sample.groupBy(*[c.alias(f"_rule{i}") for i, c in enumerate(rejects)]).count().collect()
     finally:
         sample.unpersist()

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-from geopanel.llm import blocks, pieces, repeats
+from geopanel.llm import blocks, pieces, quality, repeats
 from tests.llm.test_round4 import large, passages
 
 
@@ -81,3 +81,11 @@ def test_passages_of_long_texts_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: r["n_passage"] for r in repeats.without_repeats(docs, marked=50).collect()}
     assert [got[k] for k in range(len(texts))] == passages(texts, 50) and got[0] > 0
+
+
+def test_costs_below_the_noise_are_equal():
+    # reading alone was disturbed in two turns: the second rule is not free, and one slow run makes no rule dear
+    turns = [[0.10, 0.16, 0.13, 0.50], [0.13, 0.16, 0.12, 0.49], [0.13, 0.90, 0.13, 0.50]]
+    costs = quality.rule_costs(turns)
+    assert [round(x, 3) for x in costs] == [0.06, 0.03, 0.39]
+    assert quality.rule_costs([[0.1, 0.1]]) == [0.001]
