@@ -6,6 +6,9 @@ return the columns of the documents table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 import geopanel
 from geopanel.llm import decontaminate, langid, neardup, repeats, spm
+from geopanel.llm.blocks import bound_batches
 from geopanel.skew import join_bounded, materialize
 
 # ship the package with the tasks, so workers need no installed copy
@@ -42,6 +46,18 @@ def _single(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     return others.unionByName(once)
 
 
+def _in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage in a session whose Python workers get small batches; executors keep memory from stage to stage."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@_in_small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what has no identifiable language: no text, no letters, or no n-gram that any language has.
 
@@ -53,6 +69,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
 
 
+@_in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group that shares 0.8 of its 5-word shingles: smallest id (null last), then text hash.
 
@@ -64,6 +81,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _single(_without(docs, found.where("NOT leads").select(*SAME)), materialize(again, "repeated"))
 
 
+@_in_small_batches
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out passages that also occur elsewhere (bytes or words); a document of nothing else goes."""
     kept = repeats.without_repeats(docs.select("doc_id", "text"), PASSAGE, PASSAGE_WORDS)
@@ -80,6 +98,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return untouched.unionByName(changed.select(*COLUMNS))
 
 
+@_in_small_batches
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item, verbatim or re-parameterised."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -87,6 +106,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(docs, materialize(found.select("doc_id", "text_hash").distinct(), "contaminated"))
 
 
+@_in_small_batches
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with what decoding them gives."""
     vocabulary = spm.load(public_tokenizers.path("piece_bpe_32k.model"))

@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Text bytes that are held as wide arrays at one time.
 BLOCK_BYTES = 2_000_000
+#: Bytes of a batch that Spark hands to a Python worker (one row at least).
+BATCH_BYTES = "2m"
 #: The same for operators that hold many wide arrays of a block at once.
 SMALL_BLOCK = 256_000
 #: A text of more bytes is worked on in pieces where an operator can.
@@ -82,6 +85,17 @@ def release() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of at most about ``BATCH_BYTES`` for the Python workers of this session; a limit that it has stays.
+
+    Spark's own limit is 64 MB. An executor holds a batch on both sides, with
+    the one before it and room to grow, once for each task. The limit is read
+    when a plan runs, so it stays set.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, BATCH_BYTES))
+
+
 def text_array(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as large strings without nulls (null: empty)."""
     column = batch.column(batch.schema.get_field_index(name))

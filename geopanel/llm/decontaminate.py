@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from geopanel.skew import join_bounded, materialize
 
-from .blocks import LOWER, blocks, mix, prefix_hashes, raw, span_hashes, text_array, word_spans
+from .blocks import LOWER, SMALL_BLOCK, blocks, mix, prefix_hashes, raw, span_hashes, text_array, word_spans
 
 WIDTH, LITERALS, PERCENT = 5, 3, 80
 #: Bits of the bitmap before the join.
@@ -152,7 +152,8 @@ def window_rows(docs: DataFrame, keys: list[str], bitmap: np.ndarray | None = No
     kinds = ", ".join(f"`{k}` {inner.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
+        # every window has a row for each of its words, three times over
+        for part in blocks(batches, SMALL_BLOCK):
             of, place, h, kind, typed, value = windows(text_array(part), item=bitmap is None)
             if bitmap is not None:
                 hit = bitmap[(h & np.uint64(BITS - 1)).astype(np.int64)]
