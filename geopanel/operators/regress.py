@@ -1,8 +1,9 @@
 """Regressions from distributed moments.
 
 Spark computes sums; the driver only ever sees matrices whose size is the
-number of regressors. Fixed effects are absorbed on a table with one row per
-combination of effect (and cluster) levels, never on the raw rows.
+number of regressors, and a bounded list of effect levels with a value for each
+variable. Fixed effects are absorbed on a table with one row per combination of
+effect (and cluster) levels, or on the rows if that table would be larger.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geopanel.functions.bins import bin_labels
-from geopanel.skew import HEAVY_MIN_ROWS, crowded_keys, discard, materialize, repeated, salted
+from geopanel.operators.absorb import NotConverged, absorbed_products
+from geopanel.skew import BROADCAST_BYTES, HEAVY_MIN_ROWS, crowded_keys, discard, materialize, repeated, salted
 
 COEFFICIENTS = T.StructType(
     [
@@ -213,10 +215,6 @@ def two_stage_ls(
     )
 
 
-class NotConverged(RuntimeError):
-    """The fixed effects could not be swept out to the accuracy asked for."""
-
-
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -241,16 +239,19 @@ def fe_regression(
     max_rounds: int = 1000,
     small_sample: bool = True,
     min_rows: int | None = None,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> Fit:
     """Weighted least squares with any number of absorbed fixed effects.
 
     1. Rows are summed up to one row per combination of effect and cluster
-       levels: weight, means and within products. This is the only pass over
-       the data, and it combines before the shuffle.
+       levels: weight, means and within products. If so many combinations
+       occur that this table would be larger, the rows are written as they are.
     2. The effects' level means are swept out of all variables on that table,
-       to a relative accuracy of ``tol``. Each round is written to the shared
-       checkpoint folder.
-    3. The Gram matrix of the swept variables goes to the driver.
+       to a relative accuracy of ``tol``, as :mod:`geopanel.operators.absorb`
+       has it. If the levels of all effects but the largest take more than
+       ``max_bytes``, every round sweeps and writes the whole table.
+    3. Products of the swept variables are summed up by cluster levels; their
+       Gram matrix goes to the driver.
 
     A fit that has not reached ``tol`` after ``max_rounds``, or whose search
     breaks down, raises :class:`NotConverged`; there are no half-swept results.
@@ -270,13 +271,18 @@ def fe_regression(
     names = [f"v{i}" for i in range(m)]
     weight = _q(weights).cast("double") if weights else F.lit(1.0)
     rows = df.select(
-        *[_q(key).alias(at[key]) for key in keys],
+        *[_level(df, key).alias(at[key]) for key in keys],
         weight.alias("_w"),
         *[_q(c).cast("double").alias(v) for c, v in zip(variables, names)],
     ).dropna("any").where(F.col("_w") > 0)
 
+    combinations = F.approx_count_distinct(F.xxhash64(*at.values())) if keys else F.lit(1)
     scale = rows.agg(
-        F.sum("_w"), *[F.sum(F.col("_w") * F.col(v)) for v in names], *[F.stddev_samp(v) for v in names]
+        F.sum("_w"),
+        *[F.sum(F.col("_w") * F.col(v)) for v in names],
+        *[F.stddev_samp(v) for v in names],
+        F.count(F.lit(1)),
+        combinations,
     ).first()
     if not scale[0]:
         raise ValueError("no complete rows")
@@ -285,35 +291,38 @@ def fe_regression(
     rows = rows.withColumns({v: (F.col(v) - means[i]) / sds[i] for i, v in enumerate(names)})
 
     pairs = [(i, j) for i in range(k) for j in range(i, m)] + [(i, i) for i in range(k, m)]
-    summed = rows.groupBy(*at.values()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("_w").alias("w"),
-        *[F.expr(f"sum(_w * v{i}) AS s{i}") for i in range(m)],
-        *[F.expr(f"sum(_w * v{i} * v{j}) AS p{i}_{j}") for i, j in pairs],
-    )
-    cells = summed.selectExpr(
-        *at.values(),
-        "n",
-        "w",
-        *[f"s{i} / w AS d{i}" for i in range(m)],
-        *[f"p{i}_{j} - s{i} * s{j} / w AS c{i}_{j}" for i, j in pairs],
-    )
+    # products inside cells make a row of the summed table wider
+    summing = scale[2 + 2 * m] * (2 + m + len(pairs)) <= scale[1 + 2 * m] * (2 + m)
+    if summing:
+        summed = rows.groupBy(*at.values()).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("_w").alias("w"),
+            *[F.expr(f"sum(_w * v{i}) AS s{i}") for i in range(m)],
+            *[F.expr(f"sum(_w * v{i} * v{j}) AS p{i}_{j}") for i, j in pairs],
+        )
+        cells = summed.selectExpr(
+            *at.values(),
+            "n",
+            "w",
+            *[f"s{i} / w AS d{i}" for i in range(m)],
+            *[f"p{i}_{j} - s{i} * s{j} / w AS c{i}_{j}" for i, j in pairs],
+        )
+    else:
+        cells = rows.selectExpr(*at.values(), "1L AS n", "_w AS w", *[f"v{i} AS d{i}" for i in range(m)])
     cells = materialize(cells, "fe-cells")
 
-    means_now = [f"d{i}" for i in range(m)]
     sizes = _level_counts(cells, [at[e] for e in effects])
-    # the effect with most levels is taken out exactly at the start
-    order = sorted((at[e] for e in effects), key=lambda e: -sizes[e])
-    swept, rounds = _absorb(
-        cells.select(*at.values(), "w", *means_now), order, means_now, tol, max_rounds, min_rows
-    )
-    within = cells.drop("w", *means_now)
-    done = swept.join(within, list(at.values()))
+    by = list(dict.fromkeys(at[c] for c in cluster))
+    found = None
+    if effects:
+        found = absorbed_products(
+            cells, sizes, by, m, pairs, summing, float(scale[0]), tol, max_rounds, max_bytes, min_rows
+        )
+    if found is None:
+        found = _table_products(cells, sizes, by, m, pairs, summing, tol, max_rounds, min_rows)
+    done, rounds = found
+    discard(cells)
 
-    # cross products of the swept variables inside a cell
-    done = done.selectExpr(
-        *at.values(), "n", "w", *[f"c{i}_{j} + w * d{i} * d{j} AS m{i}_{j}" for i, j in pairs]
-    )
     sums = done.agg(F.sum("n"), F.sum("w"), *[F.expr(f"sum(m{i}_{j})") for i, j in pairs]).first()
     n = int(sums[0])
     values = {pair: float(sums[2 + s]) for s, pair in enumerate(pairs)}
@@ -348,12 +357,47 @@ def fe_regression(
         dof = n - len(kept) - absorbed
         rss = np.maximum(total - np.sum(b * right, axis=0), 0)
         errors = np.sqrt(np.outer(np.diag(inv), rss / max(dof, 1)))
+    discard(done)
     ratio = np.array([[sds[k + j] / sds[i] for j in range(m - k)] for i in range(k)])
     missing = np.isnan(beta)
     errors = np.where(missing, np.nan, errors) * ratio
     return Fit(list(regressors), list(outcomes), beta * ratio, errors, n, dof, rounds)
 
 
+def _level(df: DataFrame, key: str) -> Column:
+    """The key, with one zero if it is a floating number."""
+    floating = isinstance(df.select(_q(key)).schema[0].dataType, T.FloatType | T.DoubleType)
+    return _q(key) + F.lit(0.0) if floating else _q(key)
+
+
+def _table_products(
+    cells: DataFrame,
+    sizes: dict[str, int],
+    by: list[str],
+    m: int,
+    pairs: list[tuple[int, int]],
+    within: bool,
+    tol: float,
+    max_rounds: int,
+    min_rows: int | None,
+) -> tuple[DataFrame, int]:
+    """As :func:`geopanel.operators.absorb.absorbed_products`, for any number of levels: rounds over the whole table."""
+    columns = [f"d{i}" for i in range(m)]
+    # the effect with most levels is taken out exactly at the start
+    order = sorted(sizes, key=lambda e: -sizes[e])
+    keys = list(dict.fromkeys([*sizes, *by]))
+    swept, rounds = _absorb(cells.select(*keys, "n", "w", *columns), order, columns, tol, max_rounds, min_rows)
+    parts = swept.selectExpr(*by, "n", "w", *[f"w * d{i} * d{j} AS m{i}_{j}" for i, j in pairs])
+    if within:
+        inside = cells.selectExpr(*by, "0L AS n", "0D AS w", *[f"c{i}_{j} AS m{i}_{j}" for i, j in pairs])
+        parts = parts.unionByName(inside)
+    sums = [F.sum(c).alias(c) for c in ["n", "w", *[f"m{i}_{j}" for i, j in pairs]]]
+    done = materialize(parts.groupBy(*by).agg(*sums), "fe-products")
+    if order:
+        discard(swept)
+    return done, rounds
+
+
 def _level_counts(cells: DataFrame, effects: list[str]) -> dict[str, int]:
     """Number of levels per effect."""
     counts = None

@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,15 +178,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage of iterative work and computes ``df`` exactly once; the
-    written copy survives the loss of executors.
+    written copy survives the loss of executors. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -197,6 +199,18 @@ def discard(written: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What results collected in here have shuffled goes from disk with them, not when the driver's memory is next cleaned."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for condition in conditions[1:]:
